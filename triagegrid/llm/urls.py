@@ -73,12 +73,10 @@ class Segmenter:
 
 
 def tokens(host: str, path: str, split) -> list[str]:
-    """Words of the host's labels, the labels themselves, and the path's runs of letters; digits count as one token."""
+    """Words of the host's runs of letters, and the path's runs of letters; digits count as one token."""
     out = []
-    for label in host.split("."):
-        out.append("h:" + label)
-        for run in PIECES.findall(label):
-            out += ["n:#"] if run[0].isdigit() else ["w:" + w for w in split(run)]
+    for run in PIECES.findall(host):
+        out += ["w:#"] if run[0].isdigit() else ["w:" + w for w in split(run)]
     for run in PIECES.findall(path.lower()):
         out.append("p:#" if run[0].isdigit() else "p:" + run)
     return out
