@@ -113,44 +113,46 @@ class LineModel:
         return out
 
 
-def train(docs: list[tuple[np.ndarray, int]], epochs: int = 6, rate: float = 0.2, decay: float = 1e-4, seed: int = 3) -> LineModel:
+def train(docs: list[tuple[np.ndarray, int]], rounds: int = 3, epochs: int = 5, rate: float = 0.5, decay: float = 1e-4, seed: int = 3) -> LineModel:
     """Fit the field by stochastic gradient ascent of the conditional likelihood, with forward-backward sums.
 
-    docs: (features of the lines, label); every line of a document takes its
-    label. Without both labels the field says content everywhere.
+    docs: (features of the lines, label). Lines of documents with label 1 are
+    content. Lines of label 0 start as boilerplate; from the second round on
+    those that the last round's field decodes as content are content, as poor
+    documents hold good lines too. Without both labels all is content.
     """
     emit, move = np.zeros((FEATURES, 2)), np.zeros((2, 2))
     if len({y for _, y in docs}) < 2:
         emit[0, 1] = 1.0
         return LineModel(emit, move)
     rng = np.random.default_rng(seed)
-    share = np.mean([y for _, y in docs])
-    weight = (0.5 / (1 - share), 0.5 / share)
-    for epoch in range(epochs):
-        for d in rng.permutation(len(docs)):
-            x, y = docs[d]
-            n, lr = len(x), rate * weight[y] / (1 + epoch)
-            psi, trans = x @ emit, np.exp(move)
-            e = np.exp(psi - psi.max(1, keepdims=True))
-            alpha, beta = np.zeros((n, 2)), np.ones((n, 2))
-            alpha[0] = e[0] / e[0].sum()
-            for i in range(1, n):
-                v = (alpha[i - 1] @ trans) * e[i]
-                alpha[i] = v / v.sum()
-            for i in range(n - 2, -1, -1):
-                v = trans @ (e[i + 1] * beta[i + 1])
-                beta[i] = v / v.sum()
-            gamma = alpha * beta
-            gamma /= gamma.sum(1, keepdims=True)
-            gold = np.zeros((n, 2))
-            gold[:, y] = 1
-            emit += lr * (x.T @ (gold - gamma) / n - decay * emit)
-            if n > 1:
-                pair = alpha[:-1, :, None] * trans[None] * (e[1:] * beta[1:])[:, None, :]
-                pair /= pair.sum((1, 2), keepdims=True)
-                want = np.zeros((2, 2))
-                want[y, y] = n - 1
-                move += lr * ((want - pair.sum(0)) / n - decay * move)
+    states = [np.full(len(x), y, np.int8) for x, y in docs]
+    for turn in range(rounds):
+        if turn:
+            model = LineModel(emit, move)
+            states = [s if y else model.decode(x) for (x, y), s in zip(docs, states)]
+        emit, move = np.zeros((FEATURES, 2)), np.zeros((2, 2))
+        for epoch in range(epochs):
+            for d in rng.permutation(len(docs)):
+                x, gold = docs[d][0], np.eye(2)[states[d]]
+                n, lr = len(x), rate / (1 + epoch)
+                psi, trans = x @ emit, np.exp(move)
+                e = np.exp(psi - psi.max(1, keepdims=True))
+                alpha, beta = np.zeros((n, 2)), np.ones((n, 2))
+                alpha[0] = e[0] / e[0].sum()
+                for i in range(1, n):
+                    v = (alpha[i - 1] @ trans) * e[i]
+                    alpha[i] = v / v.sum()
+                for i in range(n - 2, -1, -1):
+                    v = trans @ (e[i + 1] * beta[i + 1])
+                    beta[i] = v / v.sum()
+                gamma = alpha * beta
+                gamma /= gamma.sum(1, keepdims=True)
+                emit += lr * (x.T @ (gold - gamma) / n - decay * emit)
+                if n > 1:
+                    pair = alpha[:-1, :, None] * trans[None] * (e[1:] * beta[1:])[:, None, :]
+                    pair /= pair.sum((1, 2), keepdims=True)
+                    move += lr * ((gold[:-1].T @ gold[1:] - pair.sum(0)) / n - decay * move)
     return LineModel(emit, move)
 
 
