@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagegrid.llm import language, linededup, ngramjoin, packing, quality, secrets, urls, warc
+from triagegrid.llm import covertree, language, linededup, ngramjoin, packing, quality, secrets, urls, warc
 from triagegrid.llm.common import table
 
 
@@ -69,6 +69,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(spark, docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.links(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -78,6 +82,19 @@ def oracle_sql() -> dict[str, str]:
 
 
 ORACLE: dict[str, str] = {
+    "op10_cover_tree": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS l FROM v),
+        z AS (SELECT * FROM u WHERE l > 0),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM z a JOIN z b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.95 * a.l * b.l),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, k.b FROM reach r JOIN link k ON r.b = k.a),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1)
+        SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.component_id = e.vec_id AS kept
+        FROM embeddings e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+    """,
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
