@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagegrid.llm import covertree, language, linededup, ngramjoin, packing, quality, secrets, urls, warc
+from triagegrid.llm import covertree, language, linededup, ngramjoin, packing, pieces, quality, secrets, urls, warc
 from triagegrid.llm.common import table
 
 
@@ -55,6 +55,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # The text goes through encoding and back; what comes back is held against it.
+    done = pieces.encode(spark, docs, tokenizer_path("piece_bpe_32k.model"), keep_text=True)
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
+    return done.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.score_urls(spark, table(spark, sf_dir, "pages"))
 
