@@ -72,28 +72,28 @@ class Tree:
         self.order = np.concatenate(groups) if groups else np.zeros(0, int)
         place = np.empty(len(x), int)
         place[self.order] = np.arange(len(x))
-        self.x = x[self.order]
-        self.levels = []
-        for parents, parts in levels:
+        self.shape = []
+        for _, parts in levels:
             start = np.array([place[p].min() for p in parts])
             size = np.array([len(p) for p in parts])
-            centre = np.stack([self._mid(self.x[a : a + n]) for a, n in zip(start, size)])
-            reach = np.array([_distance((self.x[a : a + n] @ c).min()) for a, n, c in zip(start, size, centre)])
             by = np.argsort(start)
-            self.levels.append((parents[by], start[by], size[by], centre[by], reach[by]))
-        # Parents are numbered as they were made; renumber them by their order.
-        for k in range(1, len(self.levels)):
-            up_start = self.levels[k - 1][1]
-            parent = np.searchsorted(up_start, self.levels[k][1], "right") - 1
-            self.levels[k] = (parent, *self.levels[k][1:])
-        self.levels[0] = (np.zeros(len(self.levels[0][1]), int), *self.levels[0][1:])
-
-    @staticmethod
-    def _mid(rows: np.ndarray) -> np.ndarray:
-        """A node's centre: the mean direction of its rows, or its first row if they cancel out."""
-        m = rows.mean(0)
-        n = np.linalg.norm(m)
-        return m / n if n > 1e-6 else rows[0]
+            self.shape.append((start[by], size[by]))
+        self.fill(x[self.order])
+
+    def fill(self, x: np.ndarray) -> None:
+        """Rows in order, and what follows from them: each level's parents, centres and covering radii.
+
+        A node's centre is the mean direction of its rows, or its first row if they cancel out.
+        """
+        self.x, self.levels, above = x, [], np.zeros(1, int)
+        for start, size in self.shape:
+            centre = np.add.reduceat(x, start) / size[:, None]
+            norm = np.linalg.norm(centre, axis=1, keepdims=True)
+            centre = np.where(norm > 1e-6, centre / np.maximum(norm, 1e-6), x[start])
+            dots = np.einsum("ij,ij->i", x, np.repeat(centre, size, axis=0))
+            reach = _distance(np.minimum.reduceat(dots, start))
+            self.levels.append((np.searchsorted(above, start, "right") - 1, start, size, centre, reach))
+            above = start
 
 
 def _distance(dot: np.ndarray) -> np.ndarray:
@@ -207,7 +207,7 @@ def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vecto
     sample = reps.where(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1_000_003)) < int(share * 1_000_003)).select("rep", "v", "dim").collect()
     dims = {}
     for r in sorted(sample, key=lambda r: r["rep"]):
-        dims.setdefault(r["dim"], []).append(_unit(np.array(r["v"])))
+        dims.setdefault(r["dim"], []).append(_units(np.array(r["v"])))
     tops = {}
     for d, rows in dims.items():
         x = np.stack(rows)
@@ -225,7 +225,7 @@ def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vecto
             nodes = []
             for v in b.column(2).to_pylist():
                 centres = top.value.get(len(v))
-                nodes.append(f"{len(v)}:" + ("none" if centres is None else str(int((centres @ _unit(np.array(v))).argmax()))))
+                nodes.append(f"{len(v)}:" + ("none" if centres is None else str(int((centres @ _units(np.array(v))).argmax()))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(nodes, pa.string())], names=["rep", "mult", "v", "node"])
 
     placed = materialize(spark, reps.select("rep", "mult", "v").mapInArrow(assign, "rep bigint, mult bigint, v array<double>, node string"), "tree-placed")
@@ -248,14 +248,18 @@ def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vecto
     blocked = placed.join(F.broadcast(plan), "node").withColumn("block", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
 
     def build(t: pa.Table) -> pa.Table:
-        x = np.stack([_unit(np.array(v)) for v in t.column("v").to_pylist()])
+        raw = np.array(t.column("v").to_pylist())
+        x = _units(raw)
         tree = Tree(x)
+        mid = x.mean(0)
+        mid = mid / np.linalg.norm(mid) if np.linalg.norm(mid) > 1e-6 else x[0]
+        raw = raw[tree.order]
+        narrow = raw.astype(np.float32)
+        raw = narrow if (narrow == raw).all() else raw  # as they were read, no wider than needed
         ids, mult = (t.column(c).to_numpy()[tree.order] for c in ("rep", "mult"))
-        mid = Tree._mid(x)
-        reach = float(_distance((x @ mid).min()))
-        parts = [np.concatenate([lv[0], lv[1], lv[2]]).astype(np.int64) for lv in tree.levels]
-        blob = pa.array([[ids.astype("<i8").tobytes(), mult.astype("<i8").tobytes(), tree.x.tobytes(), *[p.tobytes() for p in parts], *[lv[3].tobytes() for lv in tree.levels], *[lv[4].tobytes() for lv in tree.levels]]], pa.list_(pa.binary()))
-        return pa.table({"block": t.column("block")[:1], "dim": pa.array([x.shape[1]], pa.int32()), "mid": pa.array([mid.tolist()], pa.list_(pa.float64())), "reach": pa.array([reach]), "tree": blob})
+        shape = [np.concatenate(s).astype("<i4").tobytes() for s in tree.shape]
+        blob = pa.array([[ids.astype("<i8").tobytes(), mult.astype("<i8").tobytes(), raw.tobytes(), *shape]], pa.list_(pa.binary()))
+        return pa.table({"block": t.column("block")[:1], "dim": pa.array([x.shape[1]], pa.int32()), "mid": pa.array([mid.tolist()], pa.list_(pa.float64())), "reach": pa.array([float(_distance((x @ mid).min()))]), "tree": blob})
 
     trees = blocked.select("block", "rep", "mult", "v").groupBy("block").applyInArrow(build, "block int, dim int, mid array<double>, reach double, tree array<binary>")
     trees = materialize(spark, trees, "tree-blocks")
@@ -303,18 +307,15 @@ def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vecto
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max()
-    return v / np.linalg.norm(v)
+def _units(v: np.ndarray) -> np.ndarray:
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(-1, keepdims=True)
+    return v / np.linalg.norm(v, axis=-1, keepdims=True)
 
 
 def _load(parts: list[bytes], dim: int) -> Tree:
     tree = Tree.__new__(Tree)
     tree.ids, tree.mult = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<i8")
-    tree.x = np.frombuffer(parts[2]).reshape(-1, dim)
-    k = len(RADII)
-    tree.levels = []
-    for n in range(k):
-        parent, start, size = np.frombuffer(parts[3 + n], np.int64).reshape(3, -1)
-        tree.levels.append((parent, start, size, np.frombuffer(parts[3 + k + n]).reshape(-1, dim), np.frombuffer(parts[3 + 2 * k + n])))
+    tree.shape = [tuple(np.frombuffer(p, "<i4").astype(int).reshape(2, -1)) for p in parts[3:]]
+    tree.fill(_units(np.frombuffer(parts[2], np.float32 if len(parts[2]) == 4 * dim * len(tree.ids) else np.float64).reshape(-1, dim)))
     return tree
