@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagegrid.llm.common import ensure_workers
-from triagegrid.llm.setjoin import PRIME3, WordHash, hashes, mix
+from triagegrid.llm.wordhash import Texts, mix, words as hashed_words
 
 # The characters that count as symbols, and the limits of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -19,7 +19,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 CONTENT_SHARE = 0.5
 
-MEMO = WordHash()
+PRIME = np.uint64(0xD6E8FEB86659FD93)
 SPACE, SYMBOL, UPPER, LOWER, DIGIT, MARK, WIDE = range(7)
 CLASS = np.full(256, MARK, np.uint8)
 CLASS[list(b" \t\n\v\f\r")] = SPACE
@@ -31,8 +31,9 @@ FEATURES = 9
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a whole text."""
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
-    kinds = np.bincount(CLASS[np.frombuffer(raw, np.uint8)], minlength=7)
+    data = np.frombuffer(raw, np.uint8)
+    h = hashed_words(Texts(data, np.array([0, len(data)])), lower=False).hash
+    kinds = np.bincount(CLASS[data], minlength=7)
     seen: set[bytes] = set()
     dup = 0
     for line in raw.split(b"\n"):
@@ -41,19 +42,18 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
         elif line.strip():
             seen.add(line)
     repeat = 0
-    if len(words) >= 4:
-        h = hashes(words, MEMO)
-        window = mix(mix(mix(h[:-2]) + h[1:-1] * PRIME3) + h[2:])
+    if len(h) >= 4:
+        window = mix(mix(mix(h[:-2]) + h[1:-1] * PRIME) + h[2:])
         order = np.argsort(window)
         same = window[order][1:] == window[order][:-1]
         twice = np.zeros(len(window), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        covered = np.zeros(len(words), bool)
+        covered = np.zeros(len(h), bool)
         for i in range(3):
             covered[i : i + len(window)] |= twice
         repeat = int(covered.sum())
-    return len(words), len(text) - int(kinds[SPACE]), int(kinds[SYMBOL]), dup, repeat
+    return len(h), len(text) - int(kinds[SPACE]), int(kinds[SYMBOL]), dup, repeat
 
 
 def base_failed(n_words: int, n_repeat_words: int) -> bool:
@@ -157,13 +157,16 @@ def train(docs: list[tuple[np.ndarray, int]], rounds: int = 3, epochs: int = 5,
 
 
 def fit_lines(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = 800, longest: int = 20_000) -> LineModel:
-    """Train on a bounded sample: about `sample` documents of each label 0 and 1, of at most longest characters, chosen by a hash of the id."""
+    """Train on a bounded sample: about `sample` documents of each label 0 and 1, of at most longest characters, chosen by a hash of the id.
+
+    The chosen ids, about 2 * sample at any size of the tables, are broadcast.
+    """
     ensure_workers(spark)
     good = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = {r["quality"]: r["count"] for r in good.groupBy("quality").count().collect()}
     share = F.when(F.col("quality") == 1, min(1.0, sample / n.get(1, 1))).otherwise(min(1.0, sample / n.get(0, 1)))
     chosen = good.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) < share * 1_000_003)
-    texts = docs.select("doc_id", "text").where(F.length("text") <= longest).join(chosen, "doc_id").select("quality", "text")
+    texts = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").select("quality", "text")
     rows = [(line_features(r["text"])[0], int(r["quality"])) for r in texts.collect()]
     rows = sorted(((x, y) for x, y in rows if len(x)), key=lambda r: (r[1], len(r[0]), r[0].tobytes()))
     return train(rows)
