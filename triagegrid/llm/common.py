@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -42,20 +44,25 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver's memory is collected, which may not happen for
+    long while executors' disks fill up. Called between the steps of long jobs,
+    after a step's result was written.
+    """
+    for _ in range(2):  # the first lets go of the driver's handles, the second finds what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table that materialize() wrote and nothing needs any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ of a text, A-Z lower-cased, as UTF-8.
-
-    bytes.lower() and bytes.split() are ASCII only, which is that definition.
-    """
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,23 +6,28 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagegrid.llm import setjoin
+from triagegrid.llm import setjoin, wordhash
 from triagegrid.llm.common import materialize
 
 MIN_TOKENS = 3
-MEMO = setjoin.WordHash()
+BITS = 22
+# Lines of under 32 words may meet in three common words, of under 256 in two, by how often the rarest occurs.
+SUBSETS = setjoin.Subsets(((32, 3), (256, 2)), (500.0, 20_000.0))
 
 
-def line_sets(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of every line of at least MIN_TOKENS words: (line numbers, offsets, hashes)."""
-    lines = [x.split() for x in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
-    keep = [i for i, w in enumerate(lines) if len(w) >= MIN_TOKENS]
-    h = setjoin.hashes([w for i in keep for w in lines[i]], MEMO)
-    return np.array(keep, np.int32), np.concatenate([[0], np.cumsum([len(lines[i]) for i in keep])]).astype(np.int64), h
-
-
-def all_words(text: str) -> np.ndarray:
-    return setjoin.hashes(text.encode("utf-8", "surrogatepass").lower().split(), MEMO)
+def line_sets(texts: wordhash.Texts) -> setjoin.Sets:
+    """Word hashes of every line of at least MIN_TOKENS words."""
+    w = wordhash.words(texts)
+    line = wordhash.line_numbers(texts, w)
+    if not len(line):
+        return setjoin.Sets(w.row, line, line, w.hash)
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (w.row[1:] != w.row[:-1])
+    of = np.cumsum(new) - 1
+    long = np.bincount(of) >= MIN_TOKENS
+    keep = long[of]
+    first = np.flatnonzero(new)[long]
+    return setjoin.Sets(w.row[first], line[first], (np.cumsum(long) - 1)[of[keep]], w.hash[keep])
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,14 +42,14 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     whose lines do not match themselves.
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("hi"), F.col(text_col).alias("text")).where("hi is not null")
-    counts, _ = setjoin.count_tokens(spark, src, all_words)
-    rank = setjoin.ranks(counts)
-    found = setjoin.join_candidates(spark, src, line_sets, rank, float(counts.mean()), unique_is_zero=True)
+    rarity, _, _ = setjoin.count_tokens(spark, src, line_sets, BITS, distinct=False)
+    found = setjoin.join_candidates(spark, src, line_sets, rarity, SUBSETS, unique_is_zero=True, short=512, near=64)
     pairs = found.where("kind = 'pair'").select("a_hi", "a_lo", "b_hi", "b_lo", "sure")
     equal = pairs.where("sure").select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo")).distinct()
     # A line with an equal line before it needs no other reason to go.
     open_ = pairs.where("not sure").drop("sure").distinct().join(equal.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo")), ["b_hi", "b_lo"], "left_anti")
-    near = setjoin.similar_pairs(spark, src, open_, line_sets, rank).select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"))
+    sets = setjoin.fetch_sets(spark, src, setjoin.items_of(found), line_sets, rarity)
+    near = setjoin.similar_pairs(spark, open_, sets).select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"))
     gone = materialize(spark, equal.union(near).distinct(), "line-gone")
     # Lines that met only the first of a long list and found no match there meet all before them.
     lists = found.where("kind = 'list'")
@@ -52,7 +57,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         left = lists.where("later").join(gone.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo")), ["a_hi", "a_lo"], "left_anti")
         before = (F.col("b_hi") < F.col("a_hi")) | ((F.col("b_hi") == F.col("a_hi")) & (F.col("b_lo") < F.col("a_lo")))
         again = setjoin.overlapping(left, lists, before)
-        more = setjoin.similar_pairs(spark, src, again, line_sets, rank).select(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo"))
+        more = setjoin.similar_pairs(spark, again, sets).select(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo"))
         gone = gone.union(more).distinct()
     return gone.groupBy("hi").agg(F.array_sort(F.collect_set("lo")).alias("los"))
 

@@ -6,30 +6,35 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagegrid.llm import setjoin
-from triagegrid.llm.common import connected_components, materialize, words_of
+from triagegrid.llm import setjoin, wordhash
+from triagegrid.llm.common import connected_components, materialize
 
 WORDS = 5
+BITS = 20
 ROUNDS = 2
-MEMO = setjoin.WordHash()
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str) -> np.ndarray:
-    """Distinct hashes of the text's 5-word shingles; of fewer words the whole sequence as one."""
-    w = setjoin.hashes(words_of(text), MEMO)
-    if not len(w):
-        return w
-    size = min(WORDS, len(w))
-    h = w[: len(w) - size + 1] + np.uint64(size)
-    for i in range(1, size):
-        h = (h ^ (h >> np.uint64(29))) * PRIME + w[i : len(w) - size + 1 + i]
-    return np.unique(setjoin.mix(h))
-
-
-def shingle_sets(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h = shingles(text)
-    return np.zeros(1, np.int32), np.array([0, len(h)], np.int64), h
+def shingle_sets(texts: wordhash.Texts) -> setjoin.Sets:
+    """Hashes of each text's 5-word shingles; of fewer words the whole sequence as one. Texts without words have no set."""
+    w = wordhash.words(texts)
+    number = np.bincount(w.row, minlength=len(texts.offsets) - 1)
+    first = np.cumsum(number) - number
+    rows, hashes = [], []
+    for size in range(1, WORDS + 1):
+        if size < WORDS:
+            at = first[number == size]
+        else:
+            at = np.arange(max(0, len(w.row) - WORDS + 1))
+            at = at[w.row[at] == w.row[at + WORDS - 1]]
+        h = w.hash[at] + np.uint64(size)
+        for i in range(1, size):
+            h = (h ^ (h >> np.uint64(29))) * PRIME + w.hash[at + i]
+        rows.append(w.row[at])
+        hashes.append(wordhash.mix(h))
+    full = np.flatnonzero(number)
+    item = np.cumsum(number > 0) - 1
+    return setjoin.Sets(full, np.zeros(len(full), np.int64), item[np.concatenate(rows)], np.concatenate(hashes))
 
 
 def light_boundary(counts: np.ndarray) -> int:
@@ -63,17 +68,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     member per class against the list's first, then all that is left.
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("hi"), F.col(text_col).alias("text"))
-    counts, sizes = setjoin.count_tokens(spark, src, shingles)
-    rank = setjoin.ranks(counts)
+    rarity, counts, sizes = setjoin.count_tokens(spark, src, shingle_sets, BITS)
     named = src.where("hi is not null")
-    found = setjoin.join_candidates(spark, named, shingle_sets, rank, float(counts.mean()), light_below=light_boundary(counts), base_first=True)
+    light = setjoin.Subsets(((light_boundary(counts), 2),), (-np.inf, np.inf))
+    found = setjoin.join_candidates(spark, named, shingle_sets, rarity, light, base_first=True, short=16)
     pairs = found.where("kind = 'pair'").select("a_hi", "a_lo", "b_hi", "b_lo", "sure")
     sure = pairs.where("sure").select("a_hi", "b_hi").distinct()
     rest = pairs.where("not sure").drop("sure").distinct()
-    near = setjoin.similar_pairs(spark, named, rest, shingle_sets, rank).select("a_hi", "b_hi")
+    sets = setjoin.fetch_sets(spark, named, setjoin.items_of(found), shingle_sets, rarity)
+    near = setjoin.similar_pairs(spark, rest, sets).select("a_hi", "b_hi")
     links = materialize(spark, sure.union(near).toDF("a", "b"), "ngram-links")
     classes = connected_components(spark, links)
-    lists = found.where("kind = 'list'").select("key", "a_hi", "a_lo", "pos", "n", "b0", "b1", "light")
+    lists = found.where("kind = 'list'").select("key", "a_hi", "a_lo", "pos", "n", "b0", "b1")
     for turn in range(ROUNDS + 1):
         if lists.isEmpty():
             break
@@ -85,13 +91,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             break
         lists = known.drop("label")
         if turn < ROUNDS:
-            every = F.struct("pos", "a_hi", "a_lo", "n", "b0", "b1", "light", "label")
+            every = F.struct("pos", "a_hi", "a_lo", "n", "b0", "b1", "label")
             one = known.groupBy("key", "label").agg(F.min(every).alias("m")).select("key", "m.*")
-            head = one.groupBy("key").agg(F.min(F.struct("pos", "a_hi", "a_lo", "n", "b0", "b1", "light", "label")).alias("m")).select("key", "m.*")
+            head = one.groupBy("key").agg(F.min(F.struct("pos", "a_hi", "a_lo", "n", "b0", "b1", "label")).alias("m")).select("key", "m.*")
             again = setjoin.overlapping(head, one, F.col("label") != F.col("ylabel"))
         else:
             again = setjoin.overlapping(known, known, (F.col("label") < F.col("ylabel")))
-        new = setjoin.similar_pairs(spark, named, again, shingle_sets, rank).select(F.col("a_hi").alias("a"), F.col("b_hi").alias("b"))
+        new = setjoin.similar_pairs(spark, again, sets).select(F.col("a_hi").alias("a"), F.col("b_hi").alias("b"))
         links = materialize(spark, links.union(new), "ngram-links")
         classes = connected_components(spark, links)
     out = sizes.join(classes.select(F.col("node").alias("hi"), "component"), "hi", "left")
