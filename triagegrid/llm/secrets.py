@@ -17,6 +17,16 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 # A run of 16 or more such characters with a digit and a letter among them.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
 
+# Labelled examples of ordinary identifiers, so that the model knows some in any corpus.
+ORDINARY = """
+get_user_name set_default_value is_valid_email parse_config_file read_from_stream write_to_buffer update_customer_record delete_old_entries
+find_first_match sort_by_date_created convert_to_string load_module_settings create_database_connection close_file_handle check_access_rights
+calculate_total_price send_welcome_message build_search_index open_network_socket start_background_task stop_running_service max_retry_count
+default_page_size current_working_directory environment_variable_name request_header_value response_status_code function_argument_list
+some_ordinary_name another_useful_helper example_test_case product_category_page shopping_cart_items order_history_view previous_next_button
+background-image-style container-fluid-wide navigation-bar-link footer-copyright-text article-main-content sidebar-left-column
+""".split()
+
 
 def _found(text: Column, pattern: str, kind: int, group: int | None = None, least: int = 0) -> Column:
     """Array of (start, kind, end, value) of the pattern's matches, in code points, end exclusive.
@@ -62,8 +72,8 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     Random strings are generated: hexadecimal, base 64 and upper-case digests of
     numbers, random_strings of each. Ordinary identifiers come from a bounded
     sample of about sample_docs documents, chosen by a hash of the id: their
-    words of letters, single, joined by _ or -, and with a number behind. With no
-    documents the ordinary model is uniform.
+    words of letters, single, joined by _ or -, and with a number behind; and from
+    the labelled examples ORDINARY, which stand alone where there are no documents.
     """
     key = F.sha2(F.concat(F.lit("random"), F.col("id").cast("string")), 256)
     made = spark.range(0, random_strings, 1, 4)
@@ -73,7 +83,8 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1_000_003)) < int(min(1.0, sample_docs / n) * 1_000_003)
     words = docs.where(part).select(F.slice(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z]{3,}"), F.lit(0)), 1, 2000).alias("w"))
     joined = F.transform(F.col("w"), lambda w, i: F.concat(w, F.when(i % 4 == 0, F.lit("_")).when(i % 4 == 1, F.lit("-")).when(i % 4 == 2, F.concat(F.pmod(F.hash(w), F.lit(100)).cast("string"), F.lit("_"))).otherwise(F.lit("")), F.coalesce(F.get(F.col("w"), i + 1), F.lit(""))))
-    ordinary = words.select(F.explode(joined).alias("s"))
+    known = spark.range(0, 50, 1, 1).select(F.explode(F.array(*[F.concat(F.lit(w), F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise("")) for w in ORDINARY])).alias("s"))
+    ordinary = words.select(F.explode(joined).alias("s")).union(known)
     p, q = _transitions(random, "s"), _transitions(ordinary, "s")
     return [p[a, b] - q[a, b] for a in range(len(ALPHABET)) for b in range(len(ALPHABET))]
 
