@@ -22,7 +22,7 @@ from triagegrid.llm.common import ensure_workers
 SPACE = "▁"
 # No piece holds a space mark behind another character: every such place is a boundary on all paths.
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 SHORT = 64
 
 
@@ -47,6 +47,8 @@ class Pieces:
                 self.score[piece] = model.get_score(i)
         self.longest = max(map(len, self.id))
         self.value = {i: b for b, i in self.byte.items()}
+        # Neighbours inside some piece; between any others every path has a boundary.
+        self.inside = {piece[i : i + 2] for piece in self.id for i in range(len(piece) - 1)}
         self.follows: dict[tuple[str, str], bool] = {}
         self.own: dict[str, bool] = {}
         self.edge: dict[str, tuple[list, list]] = {}
@@ -237,7 +239,11 @@ class Encoder(dict):
 
     def __missing__(self, stretch: str) -> bytes:
         blob = self.old.get(stretch)
-        if blob is None:
+        inside = self.pieces.inside
+        cuts = [i for i in range(1, len(stretch)) if stretch[i - 1 : i + 1] not in inside] if blob is None else ()
+        if cuts:
+            blob = b"".join([self[stretch[i:j]] for i, j in zip([0, *cuts], [*cuts, len(stretch)])])
+        elif blob is None:
             found = search_short(stretch, self.pieces) if len(stretch) <= SHORT else search(stretch, self.pieces)
             ids = self.pieces.id
             blob = b"".join([ids[p].to_bytes(4, "little") if p in ids else self.pieces.raw(p) for p in found])
