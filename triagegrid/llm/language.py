@@ -17,6 +17,7 @@ UNKNOWN = "und"
 BITS = 14
 ORDERS = (2, 3, 4)
 CHUNK = 1 << 20
+REJECT_MOST = 0.35
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -73,13 +74,14 @@ def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: flo
     Each text counts once whole and twice as a random window of 20 to 200
     characters, so that short texts are learned too. A fifth of the rows is
     held back: on it the temperature is chosen by log loss, and reject_below
-    is the 0.1 % quantile of the scores of right answers, 0.5 at most.
+    is the 0.1 % quantile of the scores of right answers, REJECT_MOST at most, so
+    that texts in two known languages stay.
     """
     rng = np.random.default_rng(seed)
     rows = sorted(rows)
     langs = sorted({x for _, x in rows})
     if not langs:
-        return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.5)
+        return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32), 1.0, REJECT_MOST)
     order = rng.permutation(len(rows))
     held = set(order[: len(rows) // 5].tolist()) if len(rows) >= 50 else set()
 
@@ -118,7 +120,7 @@ def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: flo
             out -= lr * np.outer(hidden, g)
             bias -= lr * 0.1 * g
             emb[at] -= (lr * 20.0) * np.outer(v, down)
-    model = LanguageModel(langs, emb @ out, bias, 1.0, 0.5)
+    model = LanguageModel(langs, emb @ out, bias, 1.0, REJECT_MOST)
     if check:
         y = np.array([k for *_, k in check])
         z = np.stack([v @ model.scores[at] + bias for at, v, _ in check])
@@ -134,7 +136,7 @@ def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: flo
         p /= p.sum(1, keepdims=True)
         right = p.max(1)[p.argmax(1) == y]
         if len(right):
-            model.reject_below = float(min(0.5, np.quantile(right, 0.001)))
+            model.reject_below = float(min(REJECT_MOST, np.quantile(right, 0.001)))
     return model
 
 
