@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagegrid.llm import language, linededup, ngramjoin, packing, secrets
-from triagegrid.llm.common import materialize, table
+from triagegrid.llm.common import materialize, number_texts, table, text_digest
 from triagegrid.llm.queries import tokenizer_path
 
 ORACLE_SQL = None  # language and secret models and the tokenizer are beyond SQL; tests/llm holds run() against a brute-force version
@@ -27,7 +27,20 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every class of near copies the document with the smallest id."""
+    """Of every class of near copies the document with the smallest id; of rows that repeat an id and its text, one.
+
+    Different texts of one id are documents of their own. Rows with a null id stay.
+    """
+    names = number_texts(spark, docs)
+    if names is not None:
+        unnamed = docs.where("doc_id is null")
+        own = docs.withColumn("__digest", text_digest())
+        told = names.select(F.col("hi").alias("__hi"), F.col("digest").alias("__named"), F.col("uid").alias("__uid"))
+        own = own.join(told, (F.col("doc_id").cast("bigint") == F.col("__hi")) & (F.col("__digest") == F.col("__named"))).dropDuplicates(["__uid"])
+        own = materialize(spark, own.select(*docs.columns, "__uid"), "copies-told-apart")
+        classes = ngramjoin.near_duplicates(spark, own.select(F.col("__uid").alias("doc_id"), "text"))
+        losers = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+        return own.join(losers, own["__uid"] == F.col("__gone"), "left_anti").select(docs.columns).unionByName(unnamed)
     classes = ngramjoin.near_duplicates(spark, docs)
     losers = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(losers, docs["doc_id"] == F.col("__gone"), "left_anti").select(docs.columns)

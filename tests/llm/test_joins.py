@@ -4,8 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from tests.llm import fixtures as X
-from triagegrid.llm import linededup, ngramjoin, setjoin, wordhash
+from triagegrid.llm import linededup, ngramjoin, queries, setjoin, wordhash
 from triagegrid.llm.common import connected_components
 
 
@@ -85,6 +86,24 @@ def test_dropping_lines_keeps_the_rest(spark):
     assert {(r["doc_id"], r["text"], r["dropped"]) for r in out.collect()} == {(1, "a b c\n\nd e f\n", 0), (2, "x\ng h i", 1), (3, None, 0)}
 
 
+def test_a_repeated_id_keeps_a_copy_of_every_line(spark, tmp_path):
+    """Nothing stands before the repeated id: equal texts keep their lines, of different ones only later copies go."""
+    equal = X.frame(spark, [(5, "a b c d", "en", "s", 7), (5, "a b c d", "en", "s", 7), (9, "p q r s\na b c d", "en", "s", 15)])
+    gone = linededup.repeated_lines(spark, equal)
+    assert [(r["hi"], r["los"]) for r in gone.collect()] == [(9, [1])]
+    left = corpus_pipeline.remove_repeated_lines(spark, equal, "")
+    assert sorted(r["text"] for r in left.collect()) == ["a b c d", "a b c d", "p q r s"]
+    assert sorted(r["text"] for r in corpus_pipeline.keep_one_of_each_class(spark, left, "").collect()) == ["a b c d", "p q r s"]
+    texts = ["k l m n\nshared line stands here", "w x y z\nshared line stands here", "e f g h\nnothing like it elsewhere"]
+    other = X.frame(spark, [(5, t, "en", "s", 1) for t in texts])
+    left = [r["text"] for r in corpus_pipeline.remove_repeated_lines(spark, other, "").collect()]
+    lines = sorted(x for t in left for x in t.split("\n"))
+    assert lines == sorted({x for t in texts for x in t.split("\n")}) and texts[2] in left
+    other.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["removed"] for r in queries.op5_line_dedup(spark, f"file://{tmp_path}").collect()) == ["", "", "1"]
+    assert corpus_pipeline.keep_one_of_each_class(spark, other, "").count() == 3
+
+
 def test_empty_tables(spark):
     none = X.frame(spark, [])
     assert ngramjoin.near_duplicates(spark, none).count() == 0

@@ -67,6 +67,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def number_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """Numbers that tell the texts of repeated ids apart: (hi, digest, uid), or None where no id repeats.
+
+    Every distinct text of every id has a uid, which rises with (id, digest).
+    Null ids have none.
+    """
+    ids = docs.select(F.col(id_col).cast("bigint").alias("hi"), text_digest(text_col).alias("digest")).where("hi is not null")
+    if ids.groupBy("hi").count().where("count > 1").isEmpty():
+        return None
+    ordered = ids.distinct().repartitionByRange("hi", "digest").sortWithinPartitions("hi", "digest")
+    return materialize(spark, ordered.withColumn("uid", F.monotonically_increasing_id()), "text-numbers")
+
+
+def text_digest(text_col: str = "text"):
+    """What number_texts() knows a text by; null text has one too."""
+    return F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit(""))
+
+
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of edges(a, b): rows (node, component).
 

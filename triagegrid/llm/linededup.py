@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagegrid.llm import setjoin, wordhash
-from triagegrid.llm.common import materialize
+from triagegrid.llm.common import materialize, number_texts, text_digest
 
 MIN_TOKENS = 3
 BITS = 22
@@ -38,10 +38,16 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     brackets and rules of tables, never match. A line matches an earlier one, by
     (id, line number), if the Jaccard similarity of the sets is 3/4 or more,
     whether the earlier one stays or not. Null text has no lines. Lines of rows
-    with a null id are left alone; rows that repeat an id count as one document,
-    whose lines do not match themselves.
+    with a null id are left alone; rows that repeat an id and its text count as one
+    document, whose lines do not match themselves. Different texts of one id are
+    documents of their own, one after the other by their digest; where any id
+    repeats, the column `digest` says which text of the id the numbers belong to.
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("hi"), F.col(text_col).alias("text")).where("hi is not null")
+    names = number_texts(spark, src, "hi")
+    if names is not None:
+        told = src.withColumn("digest", text_digest()).join(names, ["hi", "digest"])
+        src = materialize(spark, told.select(F.col("uid").alias("hi"), "text").dropDuplicates(["hi"]), "line-texts")
     rarity, _, _ = setjoin.count_tokens(spark, src, line_sets, BITS, distinct=False)
     found = setjoin.join_candidates(spark, src, line_sets, rarity, SUBSETS, unique_is_zero=True, short=512, near=64)
     pairs = found.where("kind = 'pair'").select("a_hi", "a_lo", "b_hi", "b_lo", "sure")
@@ -59,13 +65,27 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         again = setjoin.overlapping(left, lists, before)
         more = setjoin.similar_pairs(spark, again, sets).select(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo"))
         gone = gone.union(more).distinct()
-    return gone.groupBy("hi").agg(F.array_sort(F.collect_set("lo")).alias("los"))
+    out = gone.groupBy("hi").agg(F.array_sort(F.collect_set("lo")).alias("los"))
+    if names is None:
+        return out
+    return out.withColumnRenamed("hi", "uid").join(names, "uid").select("hi", "los", "digest")
+
+
+def with_gone(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the column __los: the numbers in gone of every row's lines, null where none goes."""
+    told = [F.col("digest").alias("__digest")] if "digest" in gone.columns else []
+    right = gone.select(F.col("hi").alias("__hi"), F.col("los").alias("__los"), *told)
+    same = F.col(id_col).cast("bigint") == F.col("__hi")
+    if told:
+        docs = docs.withColumn("__own", text_digest(text_col))
+        same &= F.col("__own") == F.col("__digest")
+    return docs.join(right, same, "left").drop("__hi", "__digest", "__own")
 
 
 def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the lines in gone(hi, los), with the column `dropped`: how many went from the row."""
+    """docs without the lines that repeated_lines() found, with the column `dropped`: how many went from the row."""
     names = docs.columns
-    all_ = docs.join(gone.select(F.col("hi").alias("__hi"), F.col("los").alias("__los")), F.col(id_col).cast("bigint") == F.col("__hi"), "left")
+    all_ = with_gone(docs, gone, id_col, text_col)
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__los"), i)), "\n")
     text = F.when(F.col("__los").isNull(), F.col(text_col)).otherwise(kept)

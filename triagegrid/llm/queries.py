@@ -45,13 +45,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n", -1)).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n"))
     gone = linededup.repeated_lines(spark, table(spark, sf_dir, "documents"))
-    return docs.join(gone, docs["doc_id"] == gone["hi"], "left").select(
+    return linededup.with_gone(docs, gone).select(
         "doc_id",
         F.when(F.col("n") < 0, 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("los"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.array_join("los", ","), F.lit("")).alias("removed"),
+        F.coalesce(F.size("__los"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join("__los", ","), F.lit("")).alias("removed"),
     )
 
 
