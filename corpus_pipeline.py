@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that are similar to an earlier one; those of which no word is left go."""
-    gone = linededup.repeated_lines(spark, docs)
+    gone = linededup.repeated_lines(spark, docs, least=1)
     left = linededup.drop_lines(docs, gone).where((F.col("dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return _with_length(left.drop("dropped"), docs)
 

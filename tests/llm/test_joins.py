@@ -86,6 +86,14 @@ def test_dropping_lines_keeps_the_rest(spark):
     assert {(r["doc_id"], r["text"], r["dropped"]) for r in out.collect()} == {(1, "a b c\n\nd e f\n", 0), (2, "x\ng h i", 1), (3, None, 0)}
 
 
+def test_lines_of_one_and_two_words_go_with_least_1(spark, tmp_path):
+    texts = ["Read more\nq\nalpha beta gamma", "more read\n\n}\nRead", "READ\n}\nread more more\nalpha beta"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    X.frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["removed"] for r in queries.op5_line_dedup(spark, f"file://{tmp_path}").collect()}
+    assert got == {0: "", 1: "0", 2: "0,1,2"}
+
+
 def test_a_repeated_id_keeps_a_copy_of_every_line(spark, tmp_path):
     """Nothing stands before the repeated id: equal texts keep their lines, of different ones only later copies go."""
     equal = X.frame(spark, [(5, "a b c d", "en", "s", 7), (5, "a b c d", "en", "s", 7), (9, "p q r s\na b c d", "en", "s", 15)])

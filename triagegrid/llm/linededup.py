@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,8 @@ BITS = 22
 SUBSETS = setjoin.Subsets(((32, 3), (256, 2)), (500.0, 20_000.0))
 
 
-def line_sets(texts: wordhash.Texts) -> setjoin.Sets:
-    """Word hashes of every line of at least MIN_TOKENS words."""
+def line_sets(texts: wordhash.Texts, least: int = MIN_TOKENS) -> setjoin.Sets:
+    """Word hashes of every line of at least `least` words."""
     w = wordhash.words(texts)
     line = wordhash.line_numbers(texts, w)
     if not len(line):
@@ -24,18 +26,19 @@ def line_sets(texts: wordhash.Texts) -> setjoin.Sets:
     new = np.ones(len(line), bool)
     new[1:] = (line[1:] != line[:-1]) | (w.row[1:] != w.row[:-1])
     of = np.cumsum(new) - 1
-    long = np.bincount(of) >= MIN_TOKENS
+    long = np.bincount(of) >= least
     keep = long[of]
     first = np.flatnonzero(new)[long]
     return setjoin.Sets(w.row[first], line[first], (np.cumsum(long) - 1)[of[keep]], w.hash[keep])
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_TOKENS) -> DataFrame:
     """Lines with a similar line before them: (hi, los) is a document's id and its lines' numbers from 0.
 
     Lines are cut at \\n; a line is the set of its words [^\\x20\\x09-\\x0D]+ with
-    A-Z lower-cased. Lines of fewer than MIN_TOKENS words, such as blanks,
-    brackets and rules of tables, never match. A line matches an earlier one, by
+    A-Z lower-cased. Lines of fewer than `least` words never match; with 1
+    all but blank lines take part, and those of one or two distinct words match equal
+    sets alone, as 3/4 asks. A line matches an earlier one, by
     (id, line number), if the Jaccard similarity of the sets is 3/4 or more,
     whether the earlier one stays or not. Null text has no lines. Lines of rows
     with a null id are left alone; rows that repeat an id and its text count as one
@@ -48,13 +51,14 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     if names is not None:
         told = src.withColumn("digest", text_digest()).join(names, ["hi", "digest"])
         src = materialize(spark, told.select(F.col("uid").alias("hi"), "text").dropDuplicates(["hi"]), "line-texts")
-    rarity, _, _ = setjoin.count_tokens(spark, src, line_sets, BITS, distinct=False)
-    found = setjoin.join_candidates(spark, src, line_sets, rarity, SUBSETS, unique_is_zero=True, short=512, near=64)
+    cut = partial(line_sets, least=least)
+    rarity, _, _ = setjoin.count_tokens(spark, src, cut, BITS, distinct=False)
+    found = setjoin.join_candidates(spark, src, cut, rarity, SUBSETS, unique_is_zero=True, short=512, near=64)
     pairs = found.where("kind = 'pair'").select("a_hi", "a_lo", "b_hi", "b_lo", "sure")
     equal = pairs.where("sure").select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo")).distinct()
     # A line with an equal line before it needs no other reason to go.
     open_ = pairs.where("not sure").drop("sure").distinct().join(equal.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo")), ["b_hi", "b_lo"], "left_anti")
-    sets = setjoin.fetch_sets(spark, src, setjoin.items_of(found), line_sets, rarity)
+    sets = setjoin.fetch_sets(spark, src, setjoin.items_of(found), cut, rarity)
     near = setjoin.similar_pairs(spark, open_, sets).select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"))
     gone = materialize(spark, equal.union(near).distinct(), "line-gone")
     # Lines that met only the first of a long list and found no match there meet all before them.

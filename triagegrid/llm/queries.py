@@ -46,7 +46,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n"))
-    gone = linededup.repeated_lines(spark, table(spark, sf_dir, "documents"))
+    gone = linededup.repeated_lines(spark, table(spark, sf_dir, "documents"), least=1)
     return linededup.with_gone(docs, gone).select(
         "doc_id",
         F.when(F.col("n") < 0, 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_lines"),
