@@ -14,8 +14,9 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_MIN = 6
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-# A run of 16 or more such characters with a digit and a letter among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
+# A run of LEAST or more such characters; the models' ratio decides what it is.
+LEAST = 8
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}"
 
 # Labelled examples of ordinary identifiers, so that the model knows some in any corpus.
 ORDINARY = """
@@ -71,9 +72,11 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
     Random strings are generated: hexadecimal, base 64 and upper-case digests of
     numbers, random_strings of each. Ordinary identifiers come from a bounded
-    sample of about sample_docs documents, chosen by a hash of the id: their
+    sample of about sample_docs documents, chosen by a hash of the id: all their
     words of letters, single, joined by _ or -, and with a number behind; and from
     the labelled examples ORDINARY, which stand alone where there are no documents.
+    Both count in upper case too. Numbers, dates and rules of one character are
+    generated, as no word of letters tells how ordinary they are.
     """
     key = F.sha2(F.concat(F.lit("random"), F.col("id").cast("string")), 256)
     made = spark.range(0, random_strings, 1, 4)
@@ -81,10 +84,15 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     random = made.select(F.explode(F.array(key, plain, F.substring(F.upper(F.regexp_replace(plain, "[+/]", "A")), 1, 20))).alias("s"))
     n = max(1, docs.count())
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1_000_003)) < int(min(1.0, sample_docs / n) * 1_000_003)
-    words = docs.where(part).select(F.slice(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z]{3,}"), F.lit(0)), 1, 2000).alias("w"))
+    words = docs.where(part).select(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("w"))
     joined = F.transform(F.col("w"), lambda w, i: F.concat(w, F.when(i % 4 == 0, F.lit("_")).when(i % 4 == 1, F.lit("-")).when(i % 4 == 2, F.concat(F.pmod(F.hash(w), F.lit(100)).cast("string"), F.lit("_"))).otherwise(F.lit("")), F.coalesce(F.get(F.col("w"), i + 1), F.lit(""))))
     known = spark.range(0, 50, 1, 1).select(F.explode(F.array(*[F.concat(F.lit(w), F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise("")) for w in ORDINARY])).alias("s"))
-    ordinary = words.select(F.explode(joined).alias("s")).union(known)
+    named = words.select(F.explode(joined).alias("s")).union(known)
+    number = F.pmod(F.xxhash64("id"), F.lit(10**12)).cast("string")
+    date = F.date_add(F.lit("1970-01-01").cast("date"), (F.col("id") * 7).cast("int")).cast("string")
+    rule = F.repeat(F.substring(F.lit("-=_+/"), (F.col("id") % 5 + 1).cast("int"), F.lit(1)), 40)
+    plainly = spark.range(0, 3000, 1, 4).select(F.explode(F.array(number, date, F.translate(date, "-", "/"), rule)).alias("s"))
+    ordinary = named.union(named.select(F.upper("s"))).union(plainly)
     p, q = _transitions(random, "s"), _transitions(ordinary, "s")
     return [p[a, b] - q[a, b] for a in range(len(ALPHABET)) for b in range(len(ALPHABET))]
 
@@ -102,14 +110,31 @@ def _ratio(value: Column, table: list[float]) -> Column:
     return F.aggregate(codes, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
 
 
+def _left_over(run: Column, spans: Column) -> Column:
+    """The parts of a run, of LEAST characters or more, that lie in none of the spans, which are sorted by start."""
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), add(acc, b["start"]).alias("out"))
+
+    def add(acc: Column, end: Column) -> Column:
+        value = F.substring(run["value"], acc["at"] - run["start"] + 1, end - acc["at"])
+        one = F.struct(acc["at"].alias("start"), run["kind"].alias("kind"), end.alias("end"), value.alias("value"))
+        return F.when(end - acc["at"] >= LEAST, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+
+    zero = F.struct(run["start"].alias("at"), none.alias("out"))
+    return F.aggregate(spans, zero, step, lambda acc: add(acc, run["end"]))
+
+
 def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), odds: float = 9.2) -> DataFrame:
     """Spans of secrets in every whole text: (id, *keep, base, spans).
 
     base and spans are arrays of (start, kind, end, value), sorted by start,
     then by kind; kind is an index into KINDS, places are code points, end
     exclusive. base has the matches of the three patterns, leftmost and
-    non-overlapping for each kind. spans adds every CANDIDATE run whose
-    log-likelihood ratio exceeds odds and which no base span overlaps. Null and
+    non-overlapping for each kind. spans adds of every CANDIDATE run what base spans
+    leave over, in parts of LEAST characters or more, where the log-likelihood
+    ratio of a part exceeds odds. Null and
     empty text have no spans; repeated rows give repeated results.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -117,8 +142,9 @@ def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col:
     t = F.col("__text")
     base = F.concat(_found(t, ASSIGN, 0, 2, ASSIGN_MIN), _found(t, ACCESS, 1), _found(t, HEX, 2))
     df = df.withColumn("base", F.array_sort(base)).withColumn("__seen", _found(t, CANDIDATE, 3))
-    clear = lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.filter(F.col("__seen"), lambda s: clear(s) & (_ratio(s["value"], table) > odds))
+    touching = lambda s: F.filter(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    parts = F.flatten(F.transform(F.col("__seen"), lambda s: _left_over(s, touching(s))))
+    more = F.filter(F.when(F.size("base") > 0, parts).otherwise(F.col("__seen")), lambda s: _ratio(s["value"], table) > odds)
     return df.withColumn("spans", F.when(F.size("__seen") > 0, F.array_sort(F.concat(F.col("base"), more))).otherwise(F.col("base"))).drop("__text", "__seen")
 
 
