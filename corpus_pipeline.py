@@ -54,7 +54,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's tokens, cut into sequences: one row per piece."""
-    return packing.pack(spark, docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(spark, docs, tokenizer_path("byte_bpe_50k.json"), added=True)
 
 
 def _with_length(df: DataFrame, docs: DataFrame) -> DataFrame:

@@ -42,6 +42,15 @@ def test_packing_is_a_gapless_cut_of_the_library_ids(spark):
     assert packing.pack(spark, X.frame(spark, []), BPE).count() == 0
 
 
+def test_packing_query_gives_the_library_default_ids(spark, tmp_path):
+    texts = ["<|endoftext|>", "a <|endoftext|>  b<|endoftext|><|endoftext|>\n", " x  <|endoftext|> é <|endoftext|", "no such token", None]
+    X.frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    tok = Tokenizer.from_file(BPE)
+    want = {i: np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t in enumerate(texts)}
+    got = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in queries.op2_packing(spark, f"file://{tmp_path}").collect()}
+    assert got == {i: (len(ids), zlib.crc32(ids.tobytes())) for i, ids in want.items()} and 50256 in want[0]
+
+
 def test_pieces_equal_the_library_and_come_back(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=SP)
     odd = ["a   b", "    ", "x    y", "▁", "\n\n", "日本語 😀", "q" * 500, "ab" * 3000, " " * 77 + "x" + " " * 33, "the" * 90 + " a b", "<s> </s>"]

@@ -18,26 +18,33 @@ WINDOW = 2048
 END_ID = 1
 
 
-@lru_cache(2)
-def encoder(path: str):
+@lru_cache(4)
+def encoder(path: str, added: bool = False):
     """Encoder for a byte-level BPE vocabulary file of the tokenizers library.
 
     The ids are those of that library's own encoder (a test holds the two
-    against each other); tiktoken takes a fifth of its time.
+    against each other); tiktoken takes a fifth of its time. With added, the
+    file's added tokens have their own ids wherever they stand in a text, as by the
+    library's default; without, they are ordinary text, as with encode_special_tokens.
     """
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        read = json.load(f)
+    vocab, own = read["model"]["vocab"], {}
+    if added:
+        if any(t[k] for t in read["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path} has added tokens that match by more than their text")
+        own = {t["content"]: t["id"] for t in read["added_tokens"]}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocab.items() if all(c in byte_of for c in piece)}
     ranks = {k: v for k, v in ranks.items() if not k.startswith(b"<|endoftext|>")}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=own)
 
 
-def tokenize(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def tokenize(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, added: bool = False) -> DataFrame:
     """First pass: (id, part, local_start, n, ids) with ids as little-endian unsigned 16-bit numbers.
 
     local_start counts the ids before the document within its input partition.
@@ -47,11 +54,11 @@ def tokenize(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, at = encoder(path, added), TaskContext.get().partitionId(), 0
         for b in batches:
             starts, sizes, blobs = [], [], []
             for t in b.column(1):
-                ids = enc.encode_ordinary(t.as_py() or "")
+                ids = enc.encode(t.as_py() or "", allowed_special="all", disallowed_special=())
                 ids.append(end_id)
                 starts.append(at)
                 sizes.append(len(ids))
@@ -65,7 +72,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc
     return src.mapInArrow(run, f"doc_id {kind}, part int, local_start bigint, n bigint, ids binary")
 
 
-def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, added: bool = False) -> DataFrame:
     """Cut the concatenation of all documents into sequences of window ids: one row per piece.
 
     (doc_id, start, length, ids, doc_tokens, sequence_id, offset): ids holds the
@@ -77,7 +84,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = WINDOW,
     partitions, one row each, are summed up and every piece finds its place
     without a shuffle of tokens.
     """
-    done = materialize(spark, tokenize(spark, docs, path, id_col, text_col, end_id), "pack-ids")
+    done = materialize(spark, tokenize(spark, docs, path, id_col, text_col, end_id, added), "pack-ids")
     totals = done.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
