@@ -13,8 +13,7 @@ from triagegrid.llm.common import materialize, number_texts, text_digest
 
 MIN_TOKENS = 3
 BITS = 22
-# Lines of under 32 words may meet in three common words, of under 256 in two, by how often the rarest occurs.
-SUBSETS = setjoin.Subsets(((32, 3), (256, 2)), (500.0, 20_000.0))
+LIST = 1000.0  # a key gets one more word where its list is expected to be longer: then comparing costs as much as writing the list
 
 
 def line_sets(texts: wordhash.Texts, least: int = MIN_TOKENS) -> setjoin.Sets:
@@ -53,28 +52,38 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         src = materialize(spark, told.select(F.col("uid").alias("hi"), "text").dropDuplicates(["hi"]), "line-texts")
     cut = partial(line_sets, least=least)
     rarity, _, _ = setjoin.count_tokens(spark, src, cut, BITS, distinct=False)
-    found = setjoin.join_candidates(spark, src, cut, rarity, SUBSETS, unique_is_zero=True, short=512, near=64)
-    pairs = found.where("kind = 'pair'").select("a_hi", "a_lo", "b_hi", "b_lo", "sure")
-    equal = pairs.where("sure").select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo")).distinct()
+    found = setjoin.close_pairs(spark, src, cut, rarity, setjoin.Lengths(LIST, rarity.sets), unique_is_zero=True)
+    pairs = found.where("posts is null")
+    equal = materialize(spark, pairs.where("sure").select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo")).distinct(), "line-equal")
     # A line with an equal line before it needs no other reason to go.
-    open_ = pairs.where("not sure").drop("sure").distinct().join(equal.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo")), ["b_hi", "b_lo"], "left_anti")
-    sets = setjoin.fetch_sets(spark, src, setjoin.items_of(found), cut, rarity)
-    near = setjoin.similar_pairs(spark, open_, sets).select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"))
-    gone = materialize(spark, equal.union(near).distinct(), "line-gone")
-    # Lines that met only the first of a long list and found no match there meet all before them.
-    lists = found.where("kind = 'list'")
-    if not lists.isEmpty():
-        left = lists.where("later").join(gone.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo")), ["a_hi", "a_lo"], "left_anti")
-        before = (F.col("b_hi") < F.col("a_hi")) | ((F.col("b_hi") == F.col("a_hi")) & (F.col("b_lo") < F.col("a_lo")))
-        again = setjoin.overlapping(left, lists, before)
-        more = setjoin.similar_pairs(spark, again, sets).select(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo"))
-        gone = gone.union(more).distinct()
+    told = equal.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"))
+    near = pairs.where("not sure").groupBy("b_hi", "b_lo", "a_hi", "a_lo").agg(F.max("more").alias("more")).join(told, ["b_hi", "b_lo"], "left_anti")
+    near = materialize(spark, near, "line-candidates")
+    gone = equal.union(_verified(spark, src, near.where("a_hi is not null").drop("more"), cut, rarity))
+    gone = materialize(spark, gone.distinct(), "line-gone")
+    # Lines of which no candidate was similar and that have others.
+    left = near.where("more").select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo")).distinct().join(gone, ["hi", "lo"], "left_anti")
+    if not left.isEmpty():
+        again = setjoin.open_candidates(spark, found, left)
+        gone = gone.union(_verified(spark, src, again, cut, rarity)).distinct()
     out = gone.groupBy("hi").agg(F.array_sort(F.collect_set("lo")).alias("los"))
     if names is None:
         return out
     return out.withColumnRenamed("hi", "uid").join(names, "uid").select("hi", "los", "digest")
 
 
+def _verified(spark: SparkSession, src: DataFrame, pairs: DataFrame, cut: setjoin.SetsOf, rarity: setjoin.Rarity) -> DataFrame:
+    """(hi, lo) of the later lines of the pairs that are similar."""
+    ends = pairs.select(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).union(pairs.select("b_hi", "b_lo")).distinct()
+    sets = setjoin.fetch_sets(spark, src, ends, cut, rarity, _lines)
+    return setjoin.similar_pairs(spark, pairs, sets).select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"))
+
+
+def _lines(text: str, numbers: list[int]) -> list[str]:
+    lines = text.split("\n")
+    return [lines[i] for i in numbers]
+
+
 def with_gone(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the column __los: the numbers in gone of every row's lines, null where none goes."""
     told = [F.col("digest").alias("__digest")] if "digest" in gone.columns else []

@@ -2,12 +2,15 @@
 
 A word's hash is a polynomial over its bytes modulo 2**64, with a random number
 for each byte value: differences of one running sum, so the work is a few
-passes over the bytes, whatever the number of words.
+passes over the bytes, whatever the number of words. Long words could be built
+to collide there (Thue-Morse orders of two letters); words of more than LONG
+bytes have a BLAKE2 digest instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -15,6 +18,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15 | 1
 SLICE = 1 << 18
+LONG = 32
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -104,7 +108,11 @@ def words(texts: Texts, lower: bool = True) -> Words:
         parts.append(mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)))
         lo = hi
     row = np.repeat(np.arange(len(texts.offsets) - 1), np.diff(np.searchsorted(start, texts.offsets)))
-    return Words(np.concatenate(parts) if parts else np.zeros(0, np.uint64), row, start)
+    made = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    for i in np.flatnonzero(end - start > LONG):
+        raw = texts.data[start[i] : end[i]]
+        made[i] = int.from_bytes(blake2b((LOWER[raw] if lower else raw).tobytes(), digest_size=8).digest(), "little")
+    return Words(made, row, start)
 
 
 def line_numbers(texts: Texts, w: Words) -> np.ndarray:
