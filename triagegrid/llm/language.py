@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +16,12 @@ UNKNOWN = "und"
 BITS = 14
 ORDERS = (2, 3, 4)
 CHUNK = 1 << 20
-REJECT_MOST = 0.35
-LETTER = re.compile(r"[^\W\d_]")
+REJECTED = 0.001
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode category L stands in the text."""
+    return any(map(str.isalpha, text))
 
 
 def subword_counts(text: str, bits: int = BITS) -> np.ndarray:
@@ -55,10 +58,11 @@ class LanguageModel:
     temperature: float
     reject_below: float
     bits: int = BITS
+    foreign_rejected: float = 0.0
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, calibrated probability); (UNKNOWN, 0.0) for null, without letters or without a learned language."""
-        if text is None or not self.langs or not LETTER.search(text):
+        if text is None or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
         counts = subword_counts(text, self.bits)
         logits = (counts @ self.scores / max(1.0, float(counts.sum())) + self.bias) / self.temperature
@@ -73,15 +77,17 @@ def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: flo
 
     Each text counts once whole and twice as a random window of 20 to 200
     characters, so that short texts are learned too. A fifth of the rows is
-    held back: on it the temperature is chosen by log loss, and reject_below
-    is the 0.1 % quantile of the scores of right answers, REJECT_MOST at most, so
-    that texts in two known languages stay.
+    held back: on it the temperature is chosen by log loss, and reject_below is the
+    quantile that leaves REJECTED of what must stay below it: right answers, and
+    texts half in one known language and half in another, which are made of
+    held-back ones. foreign_rejected tells how many texts of no known language
+    (held-back ones with their letters in another order) it rejects.
     """
     rng = np.random.default_rng(seed)
     rows = sorted(rows)
     langs = sorted({x for _, x in rows})
     if not langs:
-        return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32), 1.0, REJECT_MOST)
+        return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     order = rng.permutation(len(rows))
     held = set(order[: len(rows) // 5].tolist()) if len(rows) >= 50 else set()
 
@@ -90,14 +96,21 @@ def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: flo
         at = np.flatnonzero(c)
         return at, (c[at] / max(1.0, c.sum())).astype(np.float32)
 
-    fit, check = [], []
+    fit, check, mixed, foreign, last = [], [], [], [], ("", "")
     for i, (text, lang) in enumerate(rows):
         own = check if i in held else fit
         own.append((*sparse(text), langs.index(lang)))
+        if own is check:
+            part = text[:2000]
+            if last[1] not in ("", lang):
+                size = min(len(part), len(last[0]))
+                mixed.append(sparse(last[0][:size] + " " + part[:size]))
+            foreign.append(sparse("".join(rng.permutation(list(part)))))
+            last = (part, lang)
         for _ in range(2):
             n = int(rng.integers(20, 201))
             at = int(rng.integers(0, max(1, len(text) - n)))
-            if LETTER.search(text[at : at + n]):
+            if has_letter(text[at : at + n]):
                 own.append((*sparse(text[at : at + n]), langs.index(lang)))
     size = 1 << BITS
     emb = rng.normal(0, 0.1, (size, dim)).astype(np.float32)
@@ -120,57 +133,60 @@ def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: flo
             out -= lr * np.outer(hidden, g)
             bias -= lr * 0.1 * g
             emb[at] -= (lr * 20.0) * np.outer(v, down)
-    model = LanguageModel(langs, emb @ out, bias, 1.0, REJECT_MOST)
+    model = LanguageModel(langs, emb @ out, bias, 1.0, 0.0)
     if check:
         y = np.array([k for *_, k in check])
-        z = np.stack([v @ model.scores[at] + bias for at, v, _ in check])
+        logits = lambda rows: np.stack([v @ model.scores[at] + bias for at, v, *_ in rows])
 
-        def log_loss(t: float) -> float:
-            s = z / t
-            s = s - s.max(1, keepdims=True)
-            return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(y)), y]).mean())
+        def spread(z: np.ndarray, t: float) -> np.ndarray:
+            p = np.exp((z - z.max(1, keepdims=True)) / t)
+            return p / p.sum(1, keepdims=True)
 
+        z = logits(check)
+        log_loss = lambda t: -float(np.log(spread(z, t)[np.arange(len(y)), y] + 1e-12).mean())
         model.temperature = min((0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=log_loss)
-        s = z / model.temperature
-        p = np.exp(s - s.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        right = p.max(1)[p.argmax(1) == y]
-        if len(right):
-            model.reject_below = float(min(REJECT_MOST, np.quantile(right, 0.001)))
+        p = spread(z, model.temperature)
+        stay = p.max(1)[p.argmax(1) == y]
+        if mixed:
+            stay = np.concatenate([stay, spread(logits(mixed), model.temperature).max(1)])
+        if len(stay):
+            model.reject_below = float(np.quantile(stay, REJECTED))
+        model.foreign_rejected = float((spread(logits(foreign), model.temperature).max(1) < model.reject_below).mean())
     return model
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1200, longest: int = 20_000) -> LanguageModel:
     """Train on a bounded sample of labelled rows: about per_lang texts of each language, of at most longest characters.
 
-    Rows are chosen by a hash of their id, alike at every size. Texts that are
-    null or have no letter and null languages are not learned from.
+    Rows are chosen by a hash of their id, alike at every size; of a longer text
+    the sample holds a window of that length, which starts at a place chosen by the
+    hash. Texts that are null or have no letter and null languages are not learned
+    from; an empty table gives a model that answers UNKNOWN.
     """
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    known = known.where(F.col("l").isNotNull() & F.col("i").isNotNull() & (F.length("t") <= longest) & F.col("t").rlike(r"\p{L}"))
-    counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return train([])
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("l") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64("i", F.lit(9)), F.lit(1_000_003)) < share * 1_000_003)
-    return train([(r["t"], r["l"]) for r in chosen.select("t", "l").collect()])
-
-
-def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    known = known.where(F.col("l").isNotNull() & F.col("i").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    counts = known.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    chance = F.pmod(F.xxhash64("i", F.lit(9)), F.lit(1_000_003)) * F.col("n") < F.lit(per_lang) * 1_000_003
+    at = F.pmod(F.xxhash64("i", F.lit(10)), F.greatest(F.lit(1), F.length("t") - longest + 1)).cast("int") + 1
+    chosen = known.join(counts, "l").where(chance).select(F.substring("t", at, F.lit(longest)).alias("t"), "l").where(F.col("t").rlike(r"\p{L}"))
+    return train([(r["t"], r["l"]) for r in chosen.collect()])
+
+
+def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """Language of every whole text: (id, *keep, lang_pred, score, rejected).
 
     Null text, empty text and text without letters: 'und', score 0, rejected.
     Rejected otherwise where the calibrated score is under the model's reject_below.
-    Repeated rows give repeated results; an empty table gives an empty result;
-    columns other than id, text and keep are not read.
+    Of languages with the same probability the first by name is told. Repeated
+    rows give repeated results; an empty table gives an empty result; columns other
+    than id, text and keep are not read. Kept columns may not be called lang_pred,
+    score or rejected; `prefix` names the three otherwise.
     """
     ensure_workers(spark)
     shared = spark.sparkContext.broadcast(model)
     src = docs.select(F.col(id_col), *[F.col(c) for c in keep if c != text_col], F.col(text_col).alias("__text"))
     rest = [f for f in src.schema.fields if f.name != "__text"]
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ([f"`{text_col}` string"] if text_col in keep else []) + ["lang_pred string", "score double", "rejected boolean"])
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ([f"`{text_col}` string"] if text_col in keep else []) + [f"{prefix}lang_pred string", f"{prefix}score double", f"{prefix}rejected boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -180,7 +196,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, id_col:
             cols = [b.column(i) for i in range(len(rest))] + ([texts] if text_col in keep else [])
             names = [f.name for f in rest] + ([text_col] if text_col in keep else [])
             cols += [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] == UNKNOWN or g[1] < m.reject_below for g in got], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *(prefix + c for c in ("lang_pred", "score", "rejected"))])
 
     return src.mapInArrow(run, ddl)
 
