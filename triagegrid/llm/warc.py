@@ -6,6 +6,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -96,21 +97,50 @@ def write_archives(spark: SparkSession, records: DataFrame, folder: str, level:
     return records.mapInArrow(run, "path string, size bigint")
 
 
-def _member(head: memoryview, read) -> tuple[bytes, int] | None:
-    """The gzip member that begins head, decompressed, and its size; None if it is none or does not begin a WARC record."""
+class Bytes:
+    """A file read forwards in blocks of READ bytes, of which one is held."""
+
+    def __init__(self, f, size: int):
+        self.f, self.size, self.base, self.block = f, size, 0, b""
+
+    def at(self, place: int, least: int = 1) -> int:
+        """Offset of place in the block, which then holds `least` bytes from there on unless the file ends; past the end the block's length."""
+        if not self.base <= place <= self.base + len(self.block) - least:
+            if place >= self.size:
+                return len(self.block)
+            if not (self.base <= place < self.base + len(self.block) and self.base + len(self.block) == self.size):
+                self.base, self.block = place, self.f.read_at(min(READ, self.size - place), place)
+        return place - self.base
+
+    def find(self, mark: bytes, place: int, stop: int) -> int | None:
+        """Where mark first begins in [place, stop)."""
+        while place < stop:
+            at = self.at(place, len(mark))
+            hit = self.block.find(mark, at)
+            if hit >= 0:
+                return self.base + hit if self.base + hit < stop else None
+            if self.base + len(self.block) >= self.size:
+                return None
+            place = max(place + 1, self.base + len(self.block) - len(mark) + 1)
+        return None
+
+
+def _member(data: Bytes, place: int) -> tuple[bytes, int] | None:
+    """The gzip member that begins at place, decompressed, and where it ends; None if it is none or does not begin a WARC record."""
     unpack = zlib.decompressobj(31)
-    out, fed = [], 0
+    out: list[bytes] = []
     try:
         while True:
-            piece = head[fed : fed + STEP] or read()
+            at = data.at(place)
+            piece = data.block[at : at + STEP]
             if not piece:
                 return None
             out.append(unpack.decompress(piece))
-            fed += len(piece)
+            place += len(piece)
             if len(out) == 1 and not out[0].startswith(b"WARC/"[: len(out[0])]):
                 return None
             if unpack.eof:
-                return b"".join(out), fed - len(unpack.unused_data)
+                return b"".join(out), place - len(unpack.unused_data)
     except zlib.error:
         return None
 
@@ -128,43 +158,104 @@ def parse(raw: bytes) -> dict | None:
     return fields
 
 
+def _walk(data: Bytes, start: int, end: int) -> Iterator[tuple[int, int, dict]]:
+    """(start, end, fields) of records whose member starts in [start, end): each where the one before ends, or at the next magic bytes that begin one."""
+    at = data.find(MAGIC, start, end)
+    while at is not None:
+        got = _member(data, at)
+        found = parse(got[0]) if got else None
+        if found is None:
+            at = data.find(MAGIC, at + 1, end)
+            continue
+        yield at, got[1], found
+        at = data.find(MAGIC, got[1], end)
+
+
 def records_in(store, path: str, start: int, end: int, size: int) -> Iterator[dict]:
-    """Records whose gzip member starts in [start, end): found by scanning for the magic bytes, owned by where they start."""
+    """Records whose gzip member starts in [start, end), read from start on."""
     with store.open_input_file(path) as f:
-        buffer, base, at = b"", start, start  # buffer holds the bytes from base on
-
-        def more() -> bytes:
-            nonlocal buffer
-            place = base + len(buffer)
-            got = f.read_at(min(READ, size - place), place) if place < size else b""
-            buffer += got
-            return got
-
-        while at < end:
-            hit = buffer.find(MAGIC, at - base)
-            if hit < 0:
-                # The magic bytes may lie across the buffer's end.
-                at = max(at, base + len(buffer) - len(MAGIC) + 1)
-                buffer, base = buffer[at - base :], at
-                if not more():
-                    return
-                continue
-            at = base + hit
-            if at >= end:
-                return
-            got = _member(memoryview(buffer)[hit:], more)
-            found = parse(got[0]) if got else None
-            if found is None:
-                at += 1
-                continue
-            yield found
-            at += got[1]
-            if at - base >= READ // 2:
-                buffer, base = buffer[at - base :], at
+        for _, _, fields in _walk(Bytes(f, size), start, end):
+            yield fields
+
+
+def ways_through(store, path: str, start: int, end: int, size: int) -> dict[int, int]:
+    """For each place in [start, end) where a member may start: where the first member at or past end starts, if one starts here.
+
+    A payload may hold members itself, so what looks like one is not always one of
+    the archive. Each candidate is followed until it meets the way of another.
+    Where nothing starts any more the file's size is told.
+    """
+    out: dict[int, int] = {}
+    with store.open_input_file(path) as f:
+        data = Bytes(f, size)
+        ahead = Bytes(f, size)
+        at = data.find(MAGIC, start, end)
+        while at is not None:
+            if at not in out:
+                way, leads, place = [], None, at
+                while leads is None:
+                    got = _member(ahead, place)
+                    if got is None or parse(got[0]) is None:
+                        if not way:
+                            break  # no member: nothing starts here
+                        after = ahead.find(MAGIC, place + 1, end)
+                    else:
+                        way.append(place)
+                        after = ahead.find(MAGIC, got[1], size)
+                    if after is None:
+                        leads = size if got else end
+                    elif after >= end:
+                        leads = after
+                    elif after in out:
+                        leads = out[after]
+                    else:
+                        place = after
+                for x in way:
+                    out[x] = leads
+            at = data.find(MAGIC, at + 1, end)
+    return out
+
+
+def true_starts(spark: SparkSession, ranges: DataFrame) -> DataFrame:
+    """ranges(path, size, start, end) with start moved to where the first member of the archive in the range starts; ranges without one go.
+
+    Tasks tell the ways through their ranges; per file these are strung together
+    from its beginning, a few numbers for each range.
+    """
+
+    def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for path, size, start, end in zip(*(b.column(i).to_pylist() for i in range(4))):
+                store, name = arrow_fs.FileSystem.from_uri(path)
+                found = ways_through(store, name, start, end, size)
+                # Most members of a range lead to the same place; only others are told one by one.
+                most = Counter(found.values()).most_common(1)[0][0] if found else end
+                odd = {k: v for k, v in found.items() if v != most}
+                made.append((path, size, start, end, most, list(odd), list(odd.values())))
+            kinds = [pa.string(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), kinds)], names=["path", "size", "start", "end", "most", "odd", "leads"])
+
+    def string(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["start"])
+        kept, at = [], 0
+        for r in rows:
+            if at < r["end"]:
+                kept.append((r["path"], r["size"], max(at, r["start"]), r["end"]))
+                at = max(r["end"], dict(zip(r["odd"], r["leads"])).get(at, r["most"]))
+        return pa.table([pa.array([k[i] for k in kept], x) for i, x in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["path", "size", "start", "end"])
+
+    told = ranges.select("path", "size", "start", "end").mapInArrow(ways, "path string, size bigint, start bigint, end bigint, most bigint, odd array<bigint>, leads array<bigint>")
+    return told.groupBy("path").applyInArrow(string, "path string, size bigint, start bigint, end bigint")
 
 
 def read_archives(spark: SparkSession, files: DataFrame, split: int = 16 << 20) -> DataFrame:
-    """Records of the archives in files(path, size): one task for each byte range of about split bytes.
+    """Records of the archives in files(path, size), in byte ranges of about split bytes, dealt over tasks.
+
+    Twice over the bytes: first tasks find what may start a record by scanning
+    their ranges for gzip magic and decoding headers, and from that follows where
+    the first record of each range starts; then each range reads the records that
+    start inside it.
 
     (page_id, url, record_type, refers_to, payload, payload_digest, payload_bytes).
     Of a response the digest and length are those of the payload that was read;
@@ -175,7 +266,8 @@ def read_archives(spark: SparkSession, files: DataFrame, split: int = 16 << 20)
     starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("bigint"))
     ranges = files.where("size > 0").select("path", "size", F.explode(starts).alias("start")).withColumn("end", F.least(F.col("start") + split, F.col("size")))
     width = 4 * spark.sparkContext.defaultParallelism
-    ranges = ranges.repartition(max(width, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path", "start")
+    tasks = max(width, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = true_starts(spark, ranges.repartition(tasks, "path", "start")).repartition(tasks, "path", "start")
     ddl = "page_id bigint, url string, record_type string, refers_to bigint, payload binary, payload_digest string, payload_bytes bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +309,8 @@ def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, sp
 
     Null html is an empty payload; rows that repeat a page_id are written again,
     and do not revisit themselves; a null page_id never wins over another. An
-    empty table writes no archive and returns no rows.
+    empty table writes no archive and returns no rows. Columns other than the three
+    are not read.
     """
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     files = write_archives(spark, plan_records(pages, id_col, url_col, body_col), folder)
