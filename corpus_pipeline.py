@@ -13,17 +13,25 @@ ORACLE_SQL = None  # language and secret models and the tokenizer are beyond SQL
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not rejected. The model learns from the labelled rows among them."""
+    """Documents whose language is not rejected. The model learns from the labelled rows among them.
+
+    Null texts and those without letters go, as nothing tells their language; rows
+    with a null id are judged like any other, repeated rows alike.
+    """
     model = language.fit_languages(docs)
-    known = language.identify(spark, docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return known.where(~F.col("rejected")).select(docs.columns)
+    known = language.identify(spark, docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"), prefix="__")
+    return known.where(~F.col("__rejected")).select(docs.columns)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that are similar to an earlier one; those of which no word is left go."""
+    """Documents without lines that are similar to an earlier one; those of which no word is left go.
+
+    A text without words that lost no line stays, as do null texts and rows with a
+    null id, whole. Rows that repeat an id and its text lose the same lines.
+    """
     gone = linededup.repeated_lines(spark, docs, least=1)
-    left = linededup.drop_lines(docs, gone).where((F.col("dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return _with_length(left.drop("dropped"), docs)
+    left = linededup.drop_lines(docs, gone, dropped="__dropped").where((F.col("__dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return _with_length(left.drop("__dropped"), docs)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +55,13 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced by a mask."""
-    found = secrets.scan(docs, secrets.train(spark, docs), keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return _with_length(found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans"))), docs)
+    """All documents, with secrets in their texts replaced by a mask; null texts stay null, n_chars follows the text."""
+    found = secrets.scan(docs, secrets.train(spark, docs), keep=tuple(c for c in docs.columns if c != "doc_id"), prefix="__")
+    return _with_length(found.withColumn("text", secrets.redacted(F.col("text"), F.col("__spans"))), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's tokens, cut into sequences: one row per piece."""
+    """Every document's tokens, cut into sequences: one row per piece. Null text is the end id alone; repeated rows are packed again."""
     return packing.pack(spark, docs, tokenizer_path("byte_bpe_50k.json"), added=True)
 
 
