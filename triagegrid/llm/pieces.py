@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-For a BPE model the best path is the one that BPE itself takes: a piece may
-follow another only if BPE of the two joined gives these two again. With this
-as transition (allowed or not), every place of a text has exactly one surviving
-piece that ends there, found from the places a piece's length before it.
+Of the ways to spell a text in pieces the one with the greatest sum of weights
+is taken. For a unigram model a piece weighs its score. For a BPE model scores
+only say in which order pairs are joined, so every piece weighs nothing and the
+path is held to what BPE would do: a piece may follow another only if BPE of the
+two joined gives these two again.
 """
 
 from __future__ import annotations
@@ -20,46 +21,83 @@ from pyspark.sql import functions as F
 from triagegrid.llm.common import ensure_workers
 
 SPACE = "▁"
-# No piece holds a space mark behind another character: every such place is a boundary on all paths.
+# Where no piece holds a space mark behind another character, every such place is a boundary on all paths.
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 REMEMBERED = 400_000
 SHORT = 64
 
 
+UNIGRAM = 1
+UNKNOWN_PENALTY = 10.0
+
+
+def model_kind(raw: bytes) -> int:
+    """model_type of the trainer's settings in a model file: field 3 of field 2 of its protocol buffer; UNIGRAM where none is set."""
+
+    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            out = shift = 0
+            while True:
+                out |= (data[at] & 127) << shift
+                at, shift = at + 1, shift + 7
+                if data[at - 1] < 128:
+                    return out
+
+        while at < len(data):
+            tag = number()
+            if tag & 7 == 0:
+                yield tag >> 3, number()
+            else:
+                size = number() if tag & 7 == 2 else {1: 8, 5: 4}[tag & 7]
+                yield tag >> 3, data[at : at + size]
+                at += size
+
+    for name, value in fields(raw):
+        if name == 2 and isinstance(value, bytes):
+            return next((v for k, v in fields(value) if k == 3 and isinstance(v, int)), UNIGRAM)
+    return UNIGRAM
+
+
 class Pieces:
-    """Vocabulary of a model file: id and score by piece, bytes for characters outside it."""
+    """Vocabulary of a model: id and score by piece, bytes or the unknown id for characters outside it."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.text: list[str] = []
-        self.score: dict[str, float] = {}
-        self.id: dict[str, int] = {}
-        self.byte: dict[int, int] = {}
-        for i in range(model.get_piece_size()):
-            piece = model.id_to_piece(i)
-            self.text.append(piece)
-            if model.is_byte(i):
-                self.byte[int(piece[3:5], 16)] = i
-            elif not (model.is_unknown(i) or model.is_control(i) or model.is_unused(i)):
-                self.id[piece] = i
-                self.score[piece] = model.get_score(i)
-        self.longest = max(map(len, self.id))
-        self.value = {i: b for b, i in self.byte.items()}
+        names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        byte = {int(names[i][3:5], 16): i for i in range(len(names)) if model.is_byte(i)}
+        other = lambda i: model.is_byte(i) or model.is_unknown(i) or model.is_control(i) or model.is_unused(i)
+        with open(path, "rb") as f:
+            kind = model_kind(f.read())
+        self.fill(names, {names[i]: (i, model.get_score(i)) for i in range(len(names)) if not other(i)}, byte, model.unk_id(), kind == UNIGRAM)
+
+    def fill(self, names: list[str], pieces: dict[str, tuple[int, float]], byte: dict[int, int], unknown: int, unigram: bool) -> Pieces:
+        """names by id, (id, score) by piece, ids of bytes, the id of what is unknown, whether scores are weights."""
+        self.text, self.byte, self.unknown, self.unigram = names, byte, unknown, unigram
+        self.id = {p: i for p, (i, _) in pieces.items()}
+        self.score = {p: s for p, (_, s) in pieces.items()}
+        self.outside = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY if unigram else 0.0
+        self.longest = max(map(len, self.id), default=1)
+        self.value = {i: b for b, i in byte.items()}
         # Neighbours inside some piece; between any others every path has a boundary.
         self.inside = {piece[i : i + 2] for piece in self.id for i in range(len(piece) - 1)}
+        self.stretches = not any(pair[0] != SPACE == pair[1] for pair in self.inside)
         self.follows: dict[tuple[str, str], bool] = {}
         self.own: dict[str, bool] = {}
         self.edge: dict[str, tuple[list, list]] = {}
-        # A node of the trie: children by character, and the piece that ends there or None.
+        # A node of the trie: children by character, the piece that ends there or None, its weight.
         self.trie: dict = {}
         for piece in self.id:
             kids, node = self.trie, None
             for c in piece:
-                node = kids.setdefault(c, [{}, None])
+                node = kids.setdefault(c, [{}, None, 0.0])
                 kids = node[0]
-            node[1] = piece
+            node[1:] = piece, self.score[piece] if unigram else 0.0
+        return self
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """BPE of a short string, and the last pair that was joined.
@@ -100,6 +138,8 @@ class Pieces:
         the order of scores; at equal scores the left one of two pairs goes first.
         Runs of space marks share one score and are put together in full.
         """
+        if self.unigram:
+            return True
         got = self.follows.get((left, right))
         if got is None:
             own = self.own.get(right)
@@ -130,49 +170,54 @@ class Pieces:
                 return True
 
     def raw(self, char: str) -> bytes:
-        """Ids of the bytes of a character outside the vocabulary."""
+        """Ids of the bytes of a character outside the vocabulary, or the unknown id."""
+        if not self.byte:
+            return self.unknown.to_bytes(4, "little")
         return b"".join(self.byte[b].to_bytes(4, "little") for b in char.encode("utf-8", "surrogatepass"))
 
 
 def search(stretch: str, pieces: Pieces) -> Iterator[str]:
     """Pieces of a stretch, committed as soon as all surviving paths agree on them.
 
-    Held are the backpointers since the last committed boundary. From every place
-    that a path reaches, all pieces that begin there are tried. Once a window of
-    four longest pieces is full, the paths that may go on (those that end within
-    the longest piece of the front) are followed back; what lies before the last
-    boundary they share is committed.
+    From every place that a path reaches all pieces that begin there are tried;
+    a place keeps the best path to it, of equal ones that whose last piece begins
+    first. Held is a window of five longest pieces since the last committed
+    boundary: once four of them are read, the paths that may go on (those that end
+    within the longest piece of the front) are followed back, and what lies before
+    the last boundary they share is committed.
     """
-    longest, trie, follows, allowed = pieces.longest, pieces.trie, pieces.follows, pieces.allowed
-    size = len(stretch)
+    longest, trie, follows, allowed, unigram, outside = pieces.longest, pieces.trie, pieces.follows, pieces.allowed, pieces.unigram, pieces.outside
+    size, window = len(stretch), 4 * longest
     base = 0  # place of the last committed boundary
-    # By place less base: where the piece begins that ends there; that piece, None for a character outside the vocabulary, "" for no path.
-    back: list[int] = [0]
-    last: list[str | None] = [None]
-    check = 4 * longest
-    for j in range(size):
-        left = last[j - base] if j - base < len(last) else ""
-        if left == "":
-            continue
-        node = trie.get(stretch[j])
-        if node is None:
-            _reach(last, back, j + 1 - base, None, j)
-        else:
-            i = j + 1
-            while True:
-                kids, piece = node
-                if piece is not None and (i - base >= len(last) or last[i - base] == ""):
-                    good = follows.get((left, piece))
-                    if good or good is None and allowed(left, piece):
-                        _reach(last, back, i - base, piece, j)
-                if i == size:
-                    break
-                node = kids.get(stretch[i])
-                if node is None:
+    held = min(size, window + longest) + 1
+    # By place less base: the best weight to there; where its last piece begins; that piece, None for a character outside the vocabulary, "" for no path.
+    best, back = [-np.inf] * held, [0] * held
+    last: list[str | None] = [""] * held
+    best[0], last[0] = 0.0, None
+    j, check = 0, window
+    while j < size:
+        left = last[j - base]
+        if left != "":
+            so_far = best[j - base]
+            node = trie.get(stretch[j])
+            i = j - base + 1
+            if (node is None or node[1] is None and unigram) and best[i] < so_far + outside:
+                best[i], last[i], back[i] = so_far + outside, None, j
+            while node is not None:
+                kids, piece, weight = node
+                if piece is not None and best[i] < so_far + weight:
+                    good = unigram or follows.get((left, piece))
+                    if good is None:
+                        good = allowed(left, piece)
+                    if good:
+                        best[i], last[i], back[i] = so_far + weight, piece, j
+                if i + base == size:
                     break
+                node = kids.get(stretch[i + base])
                 i += 1
-        if j - base >= check:
-            paths = {k + base for k in range(j + 1 - base, len(last)) if last[k] != ""}
+        j += 1
+        if j - base >= check and j < size:
+            paths = {k + base for k in range(j - base, len(last)) if last[k] != ""}
             while len(paths) > 1:
                 top = max(paths)
                 paths.discard(top)
@@ -180,19 +225,17 @@ def search(stretch: str, pieces: Pieces) -> Iterator[str]:
             low = paths.pop()
             if base < low <= j:
                 yield from _path(stretch, back, base, low)
-                back, last = back[low - base :], last[low - base :]
+                cut = low - base
+                best, back, last = best[cut:] + [-np.inf] * cut, back[cut:] + [0] * cut, last[cut:] + [""] * cut
                 base = low
-            check = j - base + 4 * longest
+            # Paths that have not met yet are looked at again a piece's length later, in a wider window.
+            check = max(window, j - base + longest)
+            short = check + longest + 1 - len(last)
+            if short > 0:
+                best, back, last = best + [-np.inf] * short, back + [0] * short, last + [""] * short
     yield from _path(stretch, back, base, size)
 
 
-def _reach(last: list, back: list, at: int, piece: str | None, begin: int) -> None:
-    while len(last) <= at:
-        last.append("")
-        back.append(0)
-    last[at], back[at] = piece, begin
-
-
 def _path(stretch: str, back: list[int], base: int, end: int) -> list[str]:
     out = []
     while end > base:
@@ -201,36 +244,6 @@ def _path(stretch: str, back: list[int], base: int, end: int) -> list[str]:
     return out[::-1]
 
 
-def search_short(stretch: str, pieces: Pieces) -> list[str]:
-    """search() for a stretch that is no longer than its window, so that all paths end in its last place."""
-    trie, follows, allowed = pieces.trie, pieces.follows, pieces.allowed
-    size = len(stretch)
-    back = [0] * (size + 1)
-    last: list[str | None] = [""] * (size + 1)
-    last[0] = None
-    for j in range(size):
-        left = last[j]
-        if left == "":
-            continue
-        node = trie.get(stretch[j])
-        i = j + 1
-        if node is None:
-            last[i], back[i] = None, j
-        while node is not None:
-            kids, piece = node
-            if piece is not None and last[i] == "":
-                good = follows.get((left, piece))
-                if good is None:
-                    good = allowed(left, piece)
-                if good:
-                    last[i], back[i] = piece, j
-            if i == size:
-                break
-            node = kids.get(stretch[i])
-            i += 1
-    return _path(stretch, back, 0, size)
-
-
 class Encoder(dict):
     """Ids of stretches as little-endian unsigned 32-bit numbers; short ones are remembered, in two generations of bounded size."""
 
@@ -244,9 +257,8 @@ class Encoder(dict):
         if cuts:
             blob = b"".join([self[stretch[i:j]] for i, j in zip([0, *cuts], [*cuts, len(stretch)])])
         elif blob is None:
-            found = search_short(stretch, self.pieces) if len(stretch) <= SHORT else search(stretch, self.pieces)
             ids = self.pieces.id
-            blob = b"".join([ids[p].to_bytes(4, "little") if p in ids else self.pieces.raw(p) for p in found])
+            blob = b"".join([ids[p].to_bytes(4, "little") if p in ids else self.pieces.raw(p) for p in search(stretch, self.pieces)])
         if len(stretch) <= SHORT:
             if len(self) > REMEMBERED:
                 self.old = dict(self)
@@ -257,7 +269,8 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        return b"".join([self[x] for x in STRETCH.findall(SPACE + text.replace(" ", SPACE))])
+        marked = SPACE + text.replace(" ", SPACE)
+        return b"".join([self[x] for x in (STRETCH.findall(marked) if self.pieces.stretches else [marked])])
 
     def decode(self, blob: bytes) -> str:
         """The text of ids: pieces joined, runs of bytes as UTF-8, space marks as spaces without the first."""
@@ -288,7 +301,10 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_i
     The ids are those of the sentencepiece library for the same model file.
     decoded is the text that they give back: the text itself, with the space
     mark U+2581 as a space. Null and empty texts have no ids and decode to
-    the empty text; repeated rows give repeated results.
+    the empty text; repeated rows give repeated results, null ids like any other;
+    an empty table gives no rows; columns other than id and text are not read.
+    What a text holds in memory is its ids and the window of the search, however
+    long its words are.
     """
     ensure_workers(spark)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
