@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 from triagegrid.llm.common import connected_components, ensure_workers, materialize
 
 THRESHOLD = 0.95
-RADII = (1.0, 0.5, 0.25)
+SMALLEST = 1 / 32
 BLOCK = 4096
-SAMPLE = 4096
-TOP = 256
+SAMPLE = 2048
+FAN = 64
+DEPTH = 24
 SLACK = 1e-7
 PAIRS = 1 << 21
 
@@ -50,49 +52,45 @@ def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """Levels of nodes over unit vectors: node = (centre, covering radius), each level's nodes children of the level above.
+    """Cover tree of unit vectors: levels of nodes with radii 1, 1/2, 1/4 ..., each level's nodes children of the level above.
 
-    Rows are ordered so that the members of every node stand together; a node of
-    the level below the last one is a single row.
+    A node is a row, its centre, and the rows it covers; the centre is the centre
+    of one of its own children too. Rows are ordered so that the members of every
+    node stand together, the centre first. Levels end where every node is one row
+    or the radius is SMALLEST.
     """
 
     def __init__(self, x: np.ndarray):
         groups = [np.arange(len(x))]
-        levels = []
-        for radius in RADII:
-            parents, finer = [], []
-            for p, rows in enumerate(groups):
+        self.shape, starts, radius = [], [], 1.0
+        while True:
+            finer = []
+            for rows in groups:
+                if len(rows) == 1:
+                    finer.append(rows)
+                    continue
                 centres, owner = net(x[rows], radius)
-                order = np.argsort(owner, kind="stable")
-                for part in np.split(rows[order], np.flatnonzero(np.diff(owner[order])) + 1):
-                    finer.append(part)
-                    parents.append(p)
+                first = np.ones(len(rows), bool)
+                first[centres] = False
+                order = np.lexsort((first, owner))
+                finer += np.split(rows[order], np.flatnonzero(np.diff(owner[order])) + 1)
             groups = finer
-            levels.append((np.array(parents), groups))
-        self.order = np.concatenate(groups) if groups else np.zeros(0, int)
-        place = np.empty(len(x), int)
-        place[self.order] = np.arange(len(x))
-        self.shape = []
-        for _, parts in levels:
-            start = np.array([place[p].min() for p in parts])
-            size = np.array([len(p) for p in parts])
-            by = np.argsort(start)
-            self.shape.append((start[by], size[by]))
+            starts.append(np.array([len(g) for g in groups]))
+            if len(groups) == len(x) or radius <= SMALLEST:
+                break
+            radius /= 2
+        self.order = np.concatenate(groups)
+        # Groups of every level stand in the order of the last one, as each level only splits those above.
+        self.shape = [(np.cumsum(size) - size, size) for size in starts]
         self.fill(x[self.order])
 
     def fill(self, x: np.ndarray) -> None:
-        """Rows in order, and what follows from them: each level's parents, centres and covering radii.
-
-        A node's centre is the mean direction of its rows, or its first row if they cancel out.
-        """
+        """Rows in order, and what follows from them: each level's parents, first rows, which are the centres, sizes and covering radii."""
         self.x, self.levels, above = x, [], np.zeros(1, int)
         for start, size in self.shape:
-            centre = np.add.reduceat(x, start) / size[:, None]
-            norm = np.linalg.norm(centre, axis=1, keepdims=True)
-            centre = np.where(norm > 1e-6, centre / np.maximum(norm, 1e-6), x[start])
-            dots = np.einsum("ij,ij->i", x, np.repeat(centre, size, axis=0))
-            reach = _distance(np.minimum.reduceat(dots, start))
-            self.levels.append((np.searchsorted(above, start, "right") - 1, start, size, centre, reach))
+            dots = np.einsum("ij,ij->i", x, np.repeat(x[start], size, axis=0))
+            reach = np.where(size > 1, _distance(np.minimum.reduceat(dots, start)), 0.0)
+            self.levels.append((np.searchsorted(above, start, "right") - 1, start, size, x[start], reach))
             above = start
 
 
@@ -125,41 +123,72 @@ def _product(fa: np.ndarray, na: np.ndarray, fb: np.ndarray, nb: np.ndarray) ->
         lo = hi
 
 
-def dual_pairs(a: Tree, b: Tree, same: bool, threshold: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i in a, j in b) with a dot product of at least threshold; of one tree with itself i < j.
+class Found(NamedTuple):
+    """Links between places of two trees: pairs (p, q), or with whole all pairs of the ranges [p, p + np) and [q, q + nq)."""
+
+    p: np.ndarray
+    q: np.ndarray
+    np: np.ndarray | None = None
+    nq: np.ndarray | None = None
+
 
-    Node pairs whose centres lie farther apart than their covering radii and the
-    threshold's distance are dropped with all below them.
+def dual_pairs(a: Tree, b: Tree, same: bool, threshold: float = THRESHOLD) -> Iterator[Found]:
+    """Places (i in a, j in b) with a dot product of at least threshold; of one tree with itself i < j, or whole nodes with themselves.
+
+    Pairs of nodes go down both trees together. A pair whose centres lie farther
+    apart than the covering radii and the threshold's distance is dropped with all
+    below it; one whose farthest members are close enough is told as a whole. What
+    is left at the last level is compared member by member, in one product where it
+    is most of the two trees.
     """
     tau = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    frontier: list[tuple[np.ndarray, np.ndarray]] = []
-    la, lb = a.levels[0], b.levels[0]
-    for lo in range(0, len(la[1]), 2048):
-        near = _distance(la[3][lo : lo + 2048] @ lb[3].T) <= la[4][lo : lo + 2048, None] + lb[4][None] + tau + SLACK
-        i, j = np.nonzero(near)
-        frontier.append((i + lo, j))
-    for k in range(1, len(RADII)):
+    i, j = np.zeros(1, int), np.zeros(1, int)
+    frontier = [(i, j)]
+    deep = min(len(a.levels), len(b.levels))
+    for k in range(deep):
         la, lb = a.levels[k], b.levels[k]
         below = []
         for i, j in frontier:
-            if same:
-                keep = i <= j
-                i, j = i[keep], j[keep]
             fa, na = _children(la, i)
             fb, nb = _children(lb, j)
             for _, p, q in _product(fa, na, fb, nb):
-                near = _distance(np.einsum("ij,ij->i", la[3][p], lb[3][q])) <= la[4][p] + lb[4][q] + tau + SLACK
                 if same:
-                    near &= p <= q
+                    p, q = p[p <= q], q[p <= q]
+                apart = _distance(np.einsum("ij,ij->i", la[3][p], lb[3][q]))
+                if same:
+                    apart[p == q] = 0.0
+                close = apart + la[4][p] + lb[4][q] + 4 * SLACK <= tau
+                if close.any():
+                    x, y = p[close], q[close]
+                    yield Found(la[1][x], lb[1][y], la[2][x], lb[2][y])
+                near = ~close & (apart <= la[4][p] + lb[4][q] + tau + SLACK)
                 below.append((p[near], q[near]))
         frontier = below
-    la, lb = a.levels[-1], b.levels[-1]
+    la, lb = a.levels[deep - 1], b.levels[deep - 1]
+    left = sum(int((la[2][i] * lb[2][j]).sum()) for i, j in frontier)
+    if left > 0.05 * len(a.x) * len(b.x):
+        # Which nodes each row may still meet, as a mask for the product.
+        allowed = np.zeros((len(la[1]), len(lb[1])), bool)
+        for i, j in frontier:
+            allowed[i, j] = True
+        column = np.repeat(np.arange(len(lb[1])), lb[2])
+        row = np.repeat(np.arange(len(la[1])), la[2])
+        step = max(1, PAIRS // len(b.x))
+        for lo in range(0, len(a.x), step):
+            hi = min(len(a.x), lo + step)
+            p, q = np.nonzero(a.x[lo:hi] @ b.x.T >= threshold - 1e-9)
+            p += lo
+            good = allowed[row[p], column[q]] & (np.einsum("ij,ij->i", a.x[p], b.x[q]) >= threshold)
+            if same:
+                good &= (p < q) | (row[p] != column[q])
+            yield Found(p[good], q[good])
+        return
     for i, j in frontier:
-        for _, p, q in _product(la[1][i], la[2][i], lb[1][j], lb[2][j]):
+        for which, p, q in _product(la[1][i], la[2][i], lb[1][j], lb[2][j]):
             good = np.einsum("ij,ij->i", a.x[p], b.x[q]) >= threshold
             if same:
-                good &= p < q
-            yield p[good], q[good]
+                good &= (p < q) | (i[which] != j[which])
+            yield Found(p[good], q[good])
 
 
 def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -176,6 +205,136 @@ def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             return root
 
 
+class Tally:
+    """Links counted for the rows of two trees that stand one after the other, and a forest of what they connect."""
+
+    def __init__(self, mult_a: np.ndarray, mult_b: np.ndarray, same: bool):
+        self.shift = 0 if same else len(mult_a)
+        self.mult = mult_a if same else np.concatenate([mult_a, mult_b])
+        self.same, size = same, len(self.mult)
+        self.sum = np.concatenate([[0], np.cumsum(self.mult)])
+        self.count = np.zeros(size, np.int64)
+        self.added, self.own = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+        self.root = np.arange(size)
+
+    def add(self, found: Found) -> None:
+        p, q = found.p, found.q + self.shift
+        if not len(p):
+            return
+        size = len(self.mult)
+        if found.np is None:
+            self.count += np.bincount(p, self.mult[q], size).astype(np.int64) + np.bincount(q, self.mult[p], size).astype(np.int64)
+            self._join(p, q)
+            return
+        p_end, q_end = p + found.np, q + found.nq
+        self_ = (p == q) if self.same else np.zeros(len(p), bool)
+        # Every row of a range gains what the other range weighs; in a node with itself all but its own.
+        for at, end, gain in ((p, p_end, self.sum[q_end] - self.sum[q]), (q[~self_], q_end[~self_], (self.sum[p_end] - self.sum[p])[~self_])):
+            np.add.at(self.added, at, gain)
+            np.add.at(self.added, end, -gain)
+        np.add.at(self.own, p[self_], 1)
+        np.add.at(self.own, p_end[self_], -1)
+        # One row of either side holds the other side together.
+        for first, start, number in ((q, p, found.np), (p, q, found.nq)):
+            which = np.repeat(np.arange(len(start)), number)
+            place = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number)
+            self._join(first[which], place)
+
+    def _join(self, p: np.ndarray, q: np.ndarray) -> None:
+        at = np.flatnonzero(self.root != np.arange(len(self.root)))
+        self.root = _roots(len(self.root), [(at, self.root[at]), (p, q)])
+
+    def counts(self) -> np.ndarray:
+        return self.count + np.cumsum(self.added)[:-1] - np.cumsum(self.own)[:-1] * self.mult
+
+
+def _net_of_node(t: pa.Table, wanted: int) -> np.ndarray:
+    """Centres for the children of a node, from a sample of its rows: the net of the largest radius of 1, 1/2, 1/4 ... with at least `wanted` of them, or the first `wanted`."""
+    x = _units(np.array(t.column("v").to_pylist()))
+    radius = 1.0
+    while True:
+        centres, _ = net(x, radius)
+        if len(centres) >= wanted or radius < 1e-6:
+            return x[centres[:wanted]]
+        radius /= 2
+
+
+def split_nodes(spark: SparkSession, reps: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """(rows with the leaf they stand in, nodes, levels): the upper part of the tree, down to leaves of BLOCK rows at most.
+
+    reps(rep, mult, v, dim) start in one root for each dim. Level by level a node
+    with more rows is given centres of children by a net over a bounded sample of
+    its rows (about SAMPLE), and every row goes to the nearest; nodes(parent, node,
+    centre, reach) has each child's covering radius, measured over all its rows.
+    Where a node's rows cannot be told apart by distance its children share them by
+    a hash and one centre.
+    """
+    placed, tree, depth = reps.select("rep", "mult", "v", F.col("dim").cast("string").alias("node")), None, 0
+    while depth < DEPTH:
+        big = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+        big = materialize(spark, big, "tree-big")
+        if big.isEmpty():
+            break
+        drawn = F.pmod(F.xxhash64("rep", F.lit(11 + depth)), F.lit(1_000_003)) * F.col("n") < F.lit(SAMPLE) * 1_000_003
+        sample = placed.join(big, "node").where(drawn).select("node", "n", "v")
+
+        def centres(t: pa.Table) -> pa.Table:
+            x = _net_of_node(t, int(min(FAN, max(2, 2 * t.column("n")[0].as_py() // BLOCK))))
+            if len(x) == 1:
+                x = np.repeat(x, 2, axis=0)
+            return pa.table({"node": pa.array([t.column("node")[0].as_py()], pa.string()), "centres": pa.array([x.tolist()], pa.list_(pa.list_(pa.float64())))})
+
+        kids = materialize(spark, sample.groupBy("node").applyInArrow(centres, "node string, centres array<array<double>>"), "tree-centres")
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                parents, nodes, far = [], [], []
+                vectors, own = b.column(2).to_pylist(), b.column(3).to_pylist()
+                known: dict[str, np.ndarray] = {}
+                for rep, v, node, c in zip(b.column(0).to_pylist(), vectors, own, b.column(4)):
+                    if not c.is_valid:
+                        parents.append(None)
+                        nodes.append(node)
+                        far.append(None)
+                        continue
+                    if node not in known:
+                        known[node] = np.array(c.as_py())
+                    dots = known[node] @ _units(np.array(v))
+                    k = rep % len(dots) if np.ptp(known[node], axis=0).max() == 0 else int(dots.argmax())
+                    parents.append(node)
+                    nodes.append(f"{node}.{k}")
+                    far.append(float(_distance(dots[k])))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(nodes, pa.string()), pa.array(parents, pa.string()), pa.array(far, pa.float64())], names=["rep", "mult", "v", "node", "parent", "far"])
+
+        moved = placed.join(kids, "node", "left").select("rep", "mult", "v", "node", "centres").mapInArrow(assign, "rep bigint, mult bigint, v array<double>, node string, parent string, far double")
+        moved = materialize(spark, moved, "tree-placed")
+        reach = moved.where("parent is not null").groupBy("parent", "node").agg(F.max("far").alias("reach"))
+        named = kids.select(F.col("node").alias("p"), F.posexplode("centres").alias("k", "centre")).select(F.concat_ws(".", "p", "k").alias("node"), "centre")
+        level = materialize(spark, reach.join(named, "node").select("parent", "node", "centre", "reach"), "tree-nodes")
+        tree = level if tree is None else tree.union(level)
+        placed, depth = moved.select("rep", "mult", "v", "node"), depth + 1
+    return placed, tree, depth
+
+
+def leaf_pairs(spark: SparkSession, leaves: DataFrame, tree: DataFrame | None, depth: int, threshold: float) -> DataFrame:
+    """(i, j) of the leaves, i <= j, that covering radii cannot rule out: pairs of nodes go down the upper tree together, level by level."""
+    roots = leaves.select(F.substring_index("node", ".", 1).alias("i")).distinct()
+    none = F.lit(None).cast("array<double>")
+    pairs = roots.select("i", F.col("i").alias("j"), none.alias("ic"), none.alias("jc"), F.lit(2.0).alias("ir"), F.lit(2.0).alias("jr"))
+    tau = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    for _ in range(depth):
+        left = tree.select(F.col("parent").alias("i"), F.col("node").alias("ni"), F.col("centre").alias("nic"), F.col("reach").alias("nir"))
+        right = tree.select(F.col("parent").alias("j"), F.col("node").alias("nj"), F.col("centre").alias("njc"), F.col("reach").alias("njr"))
+        down = pairs.join(left, "i", "left").join(right, "j", "left").select(
+            F.col("i").eqNullSafe(F.col("j")).alias("same"),
+            *[F.coalesce(f"n{c}", c).alias(c) for c in ("i", "j", "ic", "jc", "ir", "jr")],
+        )
+        dot = F.aggregate(F.zip_with("ic", "jc", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        near = F.coalesce(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= F.col("ir") + F.col("jr") + tau + 4 * SLACK, F.lit(True))
+        pairs = materialize(spark, down.where(near & (~F.col("same") | (F.col("i") <= F.col("j")))).drop("same"), "tree-pairs")
+    return pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+
+
 def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of vectors: (vec_id, n_links, component_id, kept).
 
@@ -186,12 +345,12 @@ def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vecto
     do vectors of different lengths. A null id takes no part; its component is
     null and it is kept.
 
-    Equal vectors go on as one with their number. The top of the tree is a net
-    over a bounded sample (SAMPLE rows, chosen by a hash of the id), to which
-    every vector is assigned; its nodes, cut to blocks of about BLOCK rows, get
-    a cover tree each. Pairs of blocks that their covering radii cannot rule out
-    are traversed in tasks of their own, which send back counts and roots by
-    row, never pairs.
+    Equal vectors go on as one with their number. A cover tree is grown over all
+    vectors: its upper levels as tables (split_nodes), down to leaves of BLOCK rows,
+    the rest within each leaf. Both are gone down twice at once: pairs of nodes that
+    their covering radii rule out are dropped with all below them. The pairs of
+    leaves that remain are traversed in tasks of their own, which send back counts
+    and roots by row, never pairs.
     """
     ensure_workers(spark)
     src = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -203,72 +362,24 @@ def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vecto
     total = reps.count()
     if not total:
         return src.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    share = min(1.0, SAMPLE / total)
-    sample = reps.where(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1_000_003)) < int(share * 1_000_003)).select("rep", "v", "dim").collect()
-    dims = {}
-    for r in sorted(sample, key=lambda r: r["rep"]):
-        dims.setdefault(r["dim"], []).append(_units(np.array(r["v"])))
-    tops = {}
-    for d, rows in dims.items():
-        x = np.stack(rows)
-        radius, wanted = 2.0, min(TOP, max(1, total // BLOCK))
-        while True:
-            centres, _ = net(x, radius)
-            if len(centres) >= wanted or radius < 0.3:
-                break
-            radius /= 2
-        tops[d] = x[centres[:TOP]]
-    top = spark.sparkContext.broadcast(tops)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes = []
-            for v in b.column(2).to_pylist():
-                centres = top.value.get(len(v))
-                nodes.append(f"{len(v)}:" + ("none" if centres is None else str(int((centres @ _units(np.array(v))).argmax()))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(nodes, pa.string())], names=["rep", "mult", "v", "node"])
-
-    placed = materialize(spark, reps.select("rep", "mult", "v").mapInArrow(assign, "rep bigint, mult bigint, v array<double>, node string"), "tree-placed")
-    # Few rows, one for each top node: how many blocks of BLOCK rows it is cut to; small nodes share a block by their order.
-    sizes = placed.groupBy("node").count().orderBy("node").collect()
-    cut, name, filled = {}, 0, {}
-    for node, n in sizes:
-        d = node.split(":")[0]
-        if n >= BLOCK:
-            parts = -(-n // BLOCK)
-            cut[node] = (name, parts)
-            name += parts
-        else:
-            at, used = filled.get(d, (None, BLOCK))
-            if used + n > BLOCK:
-                at, used, name = name, 0, name + 1
-            cut[node] = (at, 1)
-            filled[d] = (at, used + n)
-    plan = spark.createDataFrame([(k, v, p) for k, (v, p) in cut.items()], "node string, first int, parts int")
-    blocked = placed.join(F.broadcast(plan), "node").withColumn("block", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    placed, upper, depth = split_nodes(spark, reps)
+    blocked = placed.withColumnRenamed("node", "block")
 
     def build(t: pa.Table) -> pa.Table:
         raw = np.array(t.column("v").to_pylist())
         x = _units(raw)
         tree = Tree(x)
-        mid = x.mean(0)
-        mid = mid / np.linalg.norm(mid) if np.linalg.norm(mid) > 1e-6 else x[0]
         raw = raw[tree.order]
         narrow = raw.astype(np.float32)
         raw = narrow if (narrow == raw).all() else raw  # as they were read, no wider than needed
         ids, mult = (t.column(c).to_numpy()[tree.order] for c in ("rep", "mult"))
         shape = [np.concatenate(s).astype("<i4").tobytes() for s in tree.shape]
         blob = pa.array([[ids.astype("<i8").tobytes(), mult.astype("<i8").tobytes(), raw.tobytes(), *shape]], pa.list_(pa.binary()))
-        return pa.table({"block": t.column("block")[:1], "dim": pa.array([x.shape[1]], pa.int32()), "mid": pa.array([mid.tolist()], pa.list_(pa.float64())), "reach": pa.array([float(_distance((x @ mid).min()))]), "tree": blob})
+        return pa.table({"block": t.column("block")[:1], "dim": pa.array([x.shape[1]], pa.int32()), "tree": blob})
 
-    trees = blocked.select("block", "rep", "mult", "v").groupBy("block").applyInArrow(build, "block int, dim int, mid array<double>, reach double, tree array<binary>")
+    trees = blocked.select("block", "rep", "mult", "v").groupBy("block").applyInArrow(build, "block string, dim int, tree array<binary>")
     trees = materialize(spark, trees, "tree-blocks")
-    tau = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    left = trees.select(F.col("block").alias("i"), F.col("dim"), F.col("mid").alias("im"), F.col("reach").alias("ir"))
-    right = trees.select(F.col("block").alias("j"), F.col("dim").alias("jd"), F.col("mid").alias("jm"), F.col("reach").alias("jr"))
-    dot = F.aggregate(F.zip_with("im", "jm", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    near = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= F.col("ir") + F.col("jr") + tau + 4 * SLACK
-    work = left.join(right, (F.col("dim") == F.col("jd")) & (F.col("i") <= F.col("j"))).where((F.col("i") == F.col("j")) | near).select("i", "j")
+    work = leaf_pairs(spark, blocked.select(F.col("block").alias("node")), upper, depth, threshold)
     both = work.join(trees.select(F.col("block").alias("i"), "dim", F.col("tree").alias("a")), "i").join(trees.select(F.col("block").alias("j"), F.col("tree").alias("b")), "j")
     both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "i", "j")
 
@@ -279,19 +390,12 @@ def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vecto
                 i, j, dim = (one.column(one.schema.get_field_index(c))[0].as_py() for c in ("i", "j", "dim"))
                 a = _load(one.column(one.schema.get_field_index("a"))[0].as_py(), dim)
                 b = a if i == j else _load(one.column(one.schema.get_field_index("b"))[0].as_py(), dim)
-                shift = 0 if i == j else len(a.x)
                 ids = a.ids if i == j else np.concatenate([a.ids, b.ids])
-                count, found = np.zeros(len(ids), np.int64), []
-                for p, q in dual_pairs(a, b, i == j, threshold):
-                    count[: len(a.x)] += np.bincount(p, b.mult[q], len(a.x)).astype(np.int64)
-                    count[shift : shift + len(b.x)] += np.bincount(q, a.mult[p], len(b.x)).astype(np.int64)
-                    # Of each chunk of pairs only a forest is held.
-                    if len(p):
-                        root = _roots(len(ids), [*found, (p, q + shift)])
-                        at = np.flatnonzero(root != np.arange(len(ids)))
-                        found = [(at, root[at])]
+                tally = Tally(a.mult, b.mult, i == j)
+                for found in dual_pairs(a, b, i == j, threshold):
+                    tally.add(found)
+                count, root = tally.counts(), tally.root
                 linked = np.flatnonzero(count)
-                root = _roots(len(ids), found)
                 # By place: the smallest id of the class stands for it.
                 low = np.full(len(ids), np.iinfo(np.int64).max)
                 np.minimum.at(low, root, ids)
