@@ -53,7 +53,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     cut = partial(line_sets, least=least)
     rarity, _, _ = setjoin.count_tokens(spark, src, cut, BITS, distinct=False)
     found = setjoin.close_pairs(spark, src, cut, rarity, setjoin.Lengths(LIST, rarity.sets), unique_is_zero=True)
-    pairs = found.where("posts is null")
+    pairs = found.where("lists is null")
     equal = materialize(spark, pairs.where("sure").select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo")).distinct(), "line-equal")
     # A line with an equal line before it needs no other reason to go.
     told = equal.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"))
@@ -75,15 +75,10 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 def _verified(spark: SparkSession, src: DataFrame, pairs: DataFrame, cut: setjoin.SetsOf, rarity: setjoin.Rarity) -> DataFrame:
     """(hi, lo) of the later lines of the pairs that are similar."""
     ends = pairs.select(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).union(pairs.select("b_hi", "b_lo")).distinct()
-    sets = setjoin.fetch_sets(spark, src, ends, cut, rarity, _lines)
+    sets = setjoin.fetch_sets(spark, src, ends, cut, rarity, by_line=True)
     return setjoin.similar_pairs(spark, pairs, sets).select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"))
 
 
-def _lines(text: str, numbers: list[int]) -> list[str]:
-    lines = text.split("\n")
-    return [lines[i] for i in numbers]
-
-
 def with_gone(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the column __los: the numbers in gone of every row's lines, null where none goes."""
     told = [F.col("digest").alias("__digest")] if "digest" in gone.columns else []
@@ -95,11 +90,14 @@ def with_gone(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col
     return docs.join(right, same, "left").drop("__hi", "__digest", "__own")
 
 
-def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the lines that repeated_lines() found, with the column `dropped`: how many went from the row."""
+def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped: str = "dropped") -> DataFrame:
+    """docs without the lines that repeated_lines() found, with the column `dropped`, or as named: how many went from the row.
+
+    Null text stays null, an empty table empty; columns named __los, __hi, __digest or __own are not allowed.
+    """
     names = docs.columns
     all_ = with_gone(docs, gone, id_col, text_col)
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__los"), i)), "\n")
     text = F.when(F.col("__los").isNull(), F.col(text_col)).otherwise(kept)
-    return all_.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], F.coalesce(F.size("__los"), F.lit(0)).alias("dropped"))
+    return all_.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], F.coalesce(F.size("__los"), F.lit(0)).alias(dropped))
