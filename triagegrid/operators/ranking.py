@@ -8,32 +8,72 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def tied_blocks(df: DataFrame, score: str, label: str, by: Sequence[str] = (), parts: int = 0) -> DataFrame:
+def _cut(blocks: DataFrame, by: Sequence[str], score: str, parts: int, number: str) -> DataFrame:
+    """blocks with the number of the range that the score falls into, from the highest down; ranges are each ranker's own.
+
+    Their bounds are about `parts` of the ranker's distinct scores, drawn by a
+    hash, so that every run cuts alike and the ranges are of like size whatever
+    the scores' distribution.
+    """
+    drawn = blocks.where(F.col(score) > float("-inf")).groupBy(*by, F.pmod(F.xxhash64(score), F.lit(parts)).alias("__h")).agg(F.min_by(score, F.xxhash64(score, F.lit(7))).alias("__b"))
+    bounds = drawn.groupBy(*by).agg(F.collect_list("__b").alias("__bounds"))
+    met = _beside(blocks, bounds, by)
+    return met.withColumn(number, F.coalesce(F.size(F.filter("__bounds", lambda x: x > F.col(score))), F.lit(0))).drop("__bounds")
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """left with the columns of the one row of right that has its keys, null keys included; Spark chooses how to join."""
+    if not keys:
+        return left.join(right, F.lit(True), "left")
+    named = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same &= left[k].eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(named, same, "left").drop(*[f"__r_{k}" for k in keys])
+
+
+def running(blocks: DataFrame, by: Sequence[str], score: str, sums: dict[str, str], parts: int = 64) -> DataFrame:
+    """blocks with sums over all higher scores of the same ranker: sums names the summed column of each new one.
+
+    In two steps, so that no task sums the whole list of one ranker: within ranges
+    of scores, then over the ranges' totals, which are `parts` rows and a few more.
+    parts = 0 sums each ranker in one task.
+    """
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long")
+    above = lambda w: w.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    if not parts:
+        return blocks.select("*", *[total(c, above(Window.partitionBy(*by))).alias(n) for n, c in sums.items()])
+    cut = _cut(blocks, by, score, parts, "__part")
+    ranges = cut.groupBy(*by, "__part").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
+    w = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*by, "__part", *[total(f"__s_{n}", w).alias(f"__b_{n}") for n in sums])
+    met = _beside(cut, ranges, [*by, "__part"])
+    w = above(Window.partitionBy(*by, "__part"))
+    return met.select(*blocks.columns, *[(total(c, w) + F.col(f"__b_{n}")).alias(n) for n, c in sums.items()])
+
+
+def tied_blocks(df: DataFrame, score: str, label: str, by: Sequence[str] = (), parts: int = 64) -> DataFrame:
     """(by, score, g, h, before, hits_before): a row per distinct score, best first.
 
     g rows of which h are positive share the score; before rows, of which
     hits_before are positive, stand above it. Null and NaN scores come last, as
     minus infinity. The rows shrink to distinct scores before anything is
-    ordered. With parts, the running sums go in two steps, so that a long list
-    of scores of one ranker is not summed in one task: bounds from approximate
-    quantiles cut the scores into ranges, whose totals are a few rows.
+    ordered, and the running sums go in two steps (see running).
     """
     s = F.coalesce(F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double")), F.lit(float("-inf")))
     blocks = df.groupBy(*by, s.alias("score")).agg(F.count(F.lit(1)).alias("g"), F.sum(F.coalesce(F.col(label).cast("long"), F.lit(0))).alias("h"))
-    above = lambda w: w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long")
-    if not parts:
-        w = above(Window.partitionBy(*by))
-        return blocks.withColumn("before", total("g", w)).withColumn("hits_before", total("h", w))
-    bounds = sorted(set(blocks.where(F.col("score") > float("-inf")).approxQuantile("score", [i / parts for i in range(1, parts)], 0.01)))
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: b > F.col("score")))
-    blocks = blocks.withColumn("__part", part)
-    sums = blocks.groupBy(*by, "__part").agg(F.sum("g").alias("pg"), F.sum("h").alias("ph"))
-    w = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*by, "__part", total("pg", w).alias("g0"), total("ph", w).alias("h0"))
-    joined = blocks.join(F.broadcast(sums), [*by, "__part"])
-    w = above(Window.partitionBy(*by, "__part"))
-    return joined.select(*by, "score", "g", "h", (total("g", w) + F.col("g0")).alias("before"), (total("h", w) + F.col("h0")).alias("hits_before"))
+    return running(blocks, by, "score", {"before": "g", "hits_before": "h"}, parts)
+
+
+def cume_dist(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "percentile", parts: int = 64) -> DataFrame:
+    """df with the share of its group's rows whose value is the same or lower; nulls stand first. Groups may be large: values are counted, then summed in two steps."""
+    low = F.coalesce(-F.col(value).cast("double"), F.lit(float("inf")))
+    counts = df.groupBy(*by, low.alias("__low")).agg(F.count(F.lit(1)).alias("__g"))
+    # Higher is lower here: what stands above the negated value is what is lower.
+    sums = running(counts, by, "__low", {"__before": "__g"}, parts)
+    totals = counts.groupBy(*by).agg(F.sum("__g").alias("__n"))
+    shares = _beside(sums, totals, by).select(*by, "__low", ((F.col("__before") + F.col("__g")) / F.col("__n")).alias(name))
+    return _beside(df.withColumn("__low", low), shares, [*by, "__low"]).drop("__low")
 
 
 def _d(c: str) -> Column:
@@ -86,7 +126,7 @@ def average_precision() -> Column:
 def report(blocks: DataFrame, by: Sequence[str] = (), at: Sequence[int] = (100, 500), recall: Sequence[int] = (1000,), efforts: Sequence[float] = (0.9,)) -> DataFrame:
     """One row per ranker with every metric; empty rankers have no row."""
     sums = blocks.groupBy(*by).agg(rows().alias("__n"), positives().alias("__p"))
-    joined = blocks.join(F.broadcast(sums), list(by)) if by else blocks.crossJoin(F.broadcast(sums))
+    joined = _beside(blocks, sums, by)
     aggs = [rows().cast("long").alias("n"), positives().cast("long").alias("positives"), roc_auc().alias("roc_auc"), average_precision().alias("avg_precision"), mean_rank().alias("mean_rank")]
     aggs += [effort_to_cover(f, F.col("__n"), F.col("__p")).alias(f"effort_{round(100 * f)}") for f in efforts]
     aggs += [precision_at(k).alias(f"precision_{k}") for k in at] + [recall_at(k).alias(f"recall_{k}") for k in recall]

@@ -44,3 +44,43 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, by:
     counts = df.where(F.col(value).between(low, high)).groupBy(*by, number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(*by)) if by else F.sum("n").over(Window.partitionBy(F.lit(1)))
     return counts.withColumn("density", F.col("n") / (total * F.lit(width)))
+
+
+def kth_smallest(df: DataFrame, value: str, places: Sequence[int], enough: int = 200_000) -> list[float | None]:
+    """The values at the given places (from 0) of the column's order without nulls; null where there is none.
+
+    The range that holds a place is narrowed by approximate quantiles and counts,
+    each a pass that sends a few numbers back, until at most `enough` rows are left in it.
+    """
+    rows = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    out: list[float | None] = []
+    for place in places:
+        left, target = rows, place
+        while True:
+            n = left.count()
+            if not 0 <= target < n:
+                out.append(None)
+                break
+            if n <= enough:
+                out.append(left.select(F.array_sort(F.collect_list("v"))[target].alias("v")).first()["v"])
+                break
+            a, b = left.approxQuantile("v", [max(0.0, target / n - 0.01), min(1.0, target / n + 0.01)], 0.002)
+            count = lambda c: F.count(F.when(c, 1))
+            under, upto = left.agg(count(F.col("v") < a), count(F.col("v") <= b)).first()
+            if target < under:
+                left = left.where(F.col("v") < a)
+            elif target >= upto:
+                left, target = left.where(F.col("v") > b), target - upto
+            elif a == b:
+                out.append(float(a))
+                break
+            else:
+                left, target = left.where(F.col("v").between(a, b)), target - under
+    return out
+
+
+def exact_median(df: DataFrame, value: str) -> float | None:
+    """The middle value, or the mean of the two, without nulls; null of nothing. See kth_smallest."""
+    n = df.where(F.col(value).isNotNull()).count()
+    found = kth_smallest(df, value, sorted({(n - 1) // 2, n // 2}))
+    return None if not n else sum(found) / len(found)  # type: ignore[arg-type]

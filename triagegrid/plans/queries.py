@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagegrid import constants as K
@@ -452,9 +452,9 @@ def left_enrich(spark, sf):
 @query("WITH p AS (SELECT median(s_acctbal) AS prior FROM supplier) SELECT l_orderkey, l_linenumber, coalesce(s_acctbal, prior) AS p_model, CASE WHEN s_acctbal IS NULL THEN 'prior' ELSE 'model' END AS p_source FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 4 <> 0) ON l_suppkey = s_suppkey, p")
 def prior_fallback(spark, sf):
     s = table(spark, sf, "supplier")
-    prior = s.agg(F.median("s_acctbal").alias("prior"))
-    joined = table(spark, sf, "lineitem").join(s.where("s_suppkey % 4 <> 0"), F.col("l_suppkey") == F.col("s_suppkey"), "left").crossJoin(F.broadcast(prior))
-    return joined.select("l_orderkey", "l_linenumber", F.coalesce("s_acctbal", "prior").alias("p_model"), F.when(F.col("s_acctbal").isNull(), "prior").otherwise("model").alias("p_source"))
+    prior = F.lit(rows.exact_median(s, "s_acctbal")).cast("double")
+    joined = table(spark, sf, "lineitem").join(s.where("s_suppkey % 4 <> 0"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    return joined.select("l_orderkey", "l_linenumber", F.coalesce(F.col("s_acctbal"), prior).alias("p_model"), F.when(F.col("s_acctbal").isNull(), "prior").otherwise("model").alias("p_source"))
 
 
 @query("""WITH live AS (SELECT user_id, max(value) AS epss FROM events WHERE event_id % 3 = 0 GROUP BY 1), snap AS (SELECT user_id, min(value) AS epss FROM events GROUP BY 1), kev AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
@@ -507,8 +507,9 @@ def top_k_frequency(spark, sf):
 @query(f"SELECT {R('median(l_extendedprice)', 4)} AS median_all, {R('median(CASE WHEN l_shipdate < TIMESTAMP ' + chr(39) + '1995-01-01' + chr(39) + ' THEN l_extendedprice END)', 4)} AS median_before FROM lineitem")
 def exact_median(spark, sf):
     li = table(spark, sf, "lineitem")
-    before = F.when(F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp_ntz"), F.col("l_extendedprice"))
-    return li.agg(F.median("l_extendedprice").alias("median_all"), F.median(before).alias("median_before")).select(_r("median_all", 4), _r("median_before", 4))
+    before = li.where(F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp_ntz"))
+    made = {"median_all": rows.exact_median(li, "l_extendedprice"), "median_before": rows.exact_median(before, "l_extendedprice")}
+    return spark.range(1).select(*[F.lit(v).cast("double").alias(n) for n, v in made.items()]).select(_r("median_all", 4), _r("median_before", 4))
 
 
 @query(f"SELECT CAST(year(l_shipdate) AS INT) AS year, count(*) AS n, CAST(sum({Y}) AS BIGINT) AS positives, {R(f'sum({Y}) / count(*)')} AS rate FROM lineitem GROUP BY 1")
@@ -539,7 +540,8 @@ LAG = "date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))"
 def lag_stats(spark, sf):
     j = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     lag = F.datediff("l_shipdate", "o_orderdate")
-    return j.agg(F.median(lag).cast("double").alias("median_days"), F.avg((lag > 30).cast("double")).alias("late_share")).select("median_days", _r("late_share"))
+    middle = F.lit(rows.exact_median(j.select(lag.alias("lag")), "lag")).cast("double")
+    return j.agg(F.avg((lag > 30).cast("double")).alias("late_share")).select(middle.alias("median_days"), _r("late_share"))
 
 
 @query("SELECT user_id, min(ts) AS first_ts, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1")
@@ -646,8 +648,8 @@ def asset_normalise(spark, sf):
 
 @query(f"SELECT event_id, {R('cume_dist() OVER (PARTITION BY event_type ORDER BY value)', 9)} AS percentile FROM events")
 def cume_dist(spark, sf):
-    w = Window.partitionBy("event_type").orderBy("value")
-    return table(spark, sf, "events").select("event_id", half_up(F.cume_dist().over(w), 9).alias("percentile"))
+    e = table(spark, sf, "events").select("event_id", "event_type", "value")
+    return ranking.cume_dist(e, "value", by=["event_type"]).select("event_id", half_up(F.col("percentile"), 9).alias("percentile"))
 
 
 @query("SELECT CAST(year(o_orderdate) AS INT) AS id_year, count(*) AS n FROM orders GROUP BY 1")
