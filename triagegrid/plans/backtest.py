@@ -97,11 +97,12 @@ def write_ablation(ablation: DataFrame, path: str) -> None:
     ablation.select("case", F.col("ranker").alias("variant"), four("effort_90", "%.4f").alias("effort_90"), four("delta", "%+.4f").alias("delta")).write.csv(path, header=True, nullValue="", mode="overwrite")
 
 
-def write_shards(intel: DataFrame, path: str) -> None:
+def write_shards(intel: DataFrame, path: str, files: int = 8) -> None:
     """Intelligence by the year in the CVE's name, so that a lookup reads its year's files alone."""
     mask = F.col("poc_github").cast("int") + F.col("poc_exploitdb").cast("int") * 2
     rows = intel.select("cve", F.bround("p_model", 5).alias("p_model"), F.bround("epss", 5).alias("epss"), "kev", mask.alias("poc_mask"), F.bround("cvss_impact", 1).alias("cvss_impact"), "scope_changed", F.bround("cvss_base", 1).alias("cvss_base"), F.substring("cve", 5, 4).cast("int").alias("id_year"))
-    rows.repartition("id_year").write.partitionBy("id_year").mode("overwrite").parquet(path)
+    # A year's rows are dealt over a few tasks, so that the largest year is not one task's.
+    rows.repartition("id_year", F.pmod(F.xxhash64("cve"), F.lit(files))).write.partitionBy("id_year").mode("overwrite").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

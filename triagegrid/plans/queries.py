@@ -16,7 +16,7 @@ from triagegrid import constants as K
 from triagegrid.functions import cvss, text
 from triagegrid.functions.numbers import half_up, risk_tier, sigmoid, soft_ceiling
 from triagegrid.operators import correlate as C
-from triagegrid.operators import graph, ranking, rates, rows, scoring
+from triagegrid.operators import graph, live, ranking, rates, rows, scoring
 from triagegrid.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -461,10 +461,10 @@ def prior_fallback(spark, sf):
     SELECT s.user_id, coalesce(l.epss, s.epss) AS epss, l.epss IS NOT NULL AS live, k.user_id IS NOT NULL AS kev FROM snap s LEFT JOIN live l USING (user_id) LEFT JOIN kev k ON k.user_id = s.user_id""")
 def live_override(spark, sf):
     e = table(spark, sf, "events")
-    live = e.where("event_id % 3 = 0").groupBy("user_id").agg(F.max("value").alias("live_epss"))
-    snap = e.groupBy("user_id").agg(F.min("value").alias("snap_epss"))
-    kev = e.where("event_type = 'purchase'").select("user_id").distinct().withColumn("k", F.lit(True))
-    return snap.join(live, "user_id", "left").join(kev, "user_id", "left").select("user_id", F.coalesce("live_epss", "snap_epss").alias("epss"), F.col("live_epss").isNotNull().alias("live"), F.coalesce("k", F.lit(False)).alias("kev"))
+    now = e.where("event_id % 3 = 0").select("user_id", F.col("value").alias("epss"))
+    snap = e.groupBy("user_id").agg(F.min("value").alias("epss")).withColumn("kev", F.lit(False))
+    out = live.override(snap, now, e.where("event_type = 'purchase'"), key="user_id")
+    return out.select("user_id", "epss", (F.col("epss_source") == "live").alias("live"), "kev")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")

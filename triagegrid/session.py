@@ -23,15 +23,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def persisted(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir: later reads survive lost executors.
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new place in the folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests on one machine) a folder of our own is made.
+    Only where that setting is absent and Spark runs on one machine (as in tests) a
+    folder of our own is made; on a cluster a local folder would be each machine's
+    own, so there its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="triagegrid-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def persisted(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: later reads survive lost executors."""
+    path = shared_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from triagegrid import constants as K
 from triagegrid.functions import cvss, text
@@ -24,7 +25,7 @@ ITEM = (
 WRAPPED = f"array<struct<cve:{ITEM}>>"
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, body): whole text files, plain, .gz or .xz. Spark has no codec for the last; tasks unpack it."""
     plain = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -38,14 +39,22 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return plain.mapInPandas(unpack, "path string, body string")
 
 
+def spark_type(ddl: str) -> StructType:
+    """The type that a struct<...> names."""
+    return StructType.fromDDL(f"x {ddl}")["x"].dataType  # type: ignore[return-value]
+
+
 def records(documents: DataFrame) -> DataFrame:
     """(path, item_ord, item) of all records, whichever of the four document shapes holds them; those without an id are left out."""
     body = F.col("body")
     shapes = F.from_json(body, f"struct<cve_items:array<{ITEM}>,vulnerabilities:{WRAPPED}>")
-    older = F.from_json(body, f"struct<CVE_Items:array<{ITEM}>>")
+    # Items of the older list may stand for themselves or be wrapped like those of the newer one.
+    either = F.from_json(body, f"struct<CVE_Items:array<{ITEM[:-1]},cve:{ITEM}>>>")
+    names = [x.name for x in spark_type(ITEM).fields]
+    older = F.transform(either["CVE_Items"], lambda w: F.coalesce(w["cve"], F.struct(*[w[n].alias(n) for n in names])))
     listed = F.from_json(body, f"array<{ITEM}>")
     bare = body.rlike(r"^\s*\[")
-    items = F.when(bare, listed).otherwise(F.coalesce(shapes["cve_items"], F.transform(shapes["vulnerabilities"], lambda w: w["cve"]), older["CVE_Items"]))
+    items = F.when(bare, listed).otherwise(F.coalesce(shapes["cve_items"], F.transform(shapes["vulnerabilities"], lambda w: w["cve"]), older))
     return documents.select("path", F.posexplode(items).alias("item_ord", "item")).where("item.id is not null")
 
 
@@ -94,9 +103,25 @@ def flat_records(items: DataFrame) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the files at path, flat; of a CVE in several files the last counts, by file name and place."""
-    return keep_last(flat_records(records(read_documents(spark, path))), ["cve"], ["path", "item_ord"]).drop("path", "item_ord")
+def read_records(spark: SparkSession, path: str, of_years: Sequence[int] | None = None) -> DataFrame:
+    """All records of the files at path, flat; of a CVE in several files the last counts, by file name and place.
+
+    With of_years path is a folder of which each year's file CVE-<year>.json is
+    read, packed as .xz rather than .gz rather than plain; years without one are
+    passed over, and ValueError if there is none at all. Then the last year's record counts.
+    """
+    if of_years is None:
+        return keep_last(flat_records(records(read_documents(spark, path))), ["cve"], ["path", "item_ord"]).drop("path", "item_ord")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "CVE-*.json*").load(path).select("path")
+    name = F.regexp_extract("path", r"CVE-(\d{4})\.json(\.xz|\.gz|)$", 1)
+    packed = F.regexp_extract("path", r"CVE-\d{4}\.json(\.xz|\.gz|)$", 1)
+    order = F.when(packed == ".xz", 0).when(packed == ".gz", 1).otherwise(2)
+    chosen = listed.where(name.isin([str(y) for y in of_years])).groupBy(name.alias("year")).agg(F.min_by("path", order).alias("path")).collect()
+    if not chosen:
+        raise ValueError(f"no records of {list(of_years)} at {path}")
+    documents = read_documents(spark, [r["path"] for r in chosen])
+    year = F.regexp_extract("path", r"CVE-(\d{4})\.json", 1)
+    return keep_last(flat_records(records(documents)).withColumn("__y", year), ["cve"], ["__y", "item_ord"]).drop("path", "item_ord", "__y")
 
 
 def read_exploited(spark: SparkSession, path: str) -> DataFrame:
