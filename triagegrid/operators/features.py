@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagegrid import constants as K
@@ -47,6 +47,7 @@ class Encoder:
     """Columns that depend on the label, learned from training rows: frequent weaknesses and smoothed rates by vendor and product."""
 
     def __init__(self, train: DataFrame, label: str, top: int = K.TOP_CWES, smoothing: float = K.SMOOTHING):
+        self._spark = train.sparkSession
         real = train.where(F.col("cwe").startswith("CWE-"))
         self.cwes = [r["cwe"] for r in rows.top_k(real, "cwe", top).collect()]
         self.prior = float(train.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0)
@@ -80,3 +81,19 @@ class Encoder:
                 out = out.join(self.tables[key].withColumnRenamed("rate", name), key, "left")
             out = out.withColumn(name, F.coalesce(name, F.lit(self.prior)))
         return out.drop("__fold")
+
+    def save(self, path: str) -> None:
+        """What was learned, as tables under path: the settings and the rates by vendor and product."""
+        settings = (self.cwes, self.prior, self.label, self.smoothing)
+        self._spark.createDataFrame([settings], "cwes array<string>, prior double, label string, smoothing double").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+        for key, rates_ in self.tables.items():
+            rates_.write.mode("overwrite").parquet(f"{path}/{key}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Encoder:
+        """The encoder that save() wrote; its rates are read, not learned again."""
+        out = cls.__new__(cls)
+        told = spark.read.parquet(f"{path}/settings").first()
+        out._spark, out.cwes, out.prior, out.label, out.smoothing = spark, list(told["cwes"]), told["prior"], told["label"], told["smoothing"]
+        out.tables = {key: spark.read.parquet(f"{path}/{key}") for key in ("vendor", "product")}
+        return out

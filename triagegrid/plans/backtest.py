@@ -60,6 +60,29 @@ def population(intel: DataFrame, at: Column, scored_only: bool = True) -> DataFr
     return rows.select("*", F.lit(0).alias("fanin"), F.lit(0).alias("max_fanin"), F.lit(False).alias("has_context"), F.array().cast(scoring._SERVICES).alias("services"), F.lit(None).cast("string").alias("maturity_override"))
 
 
+def freeze_findings(matched: DataFrame, intel: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(findings that were there at the date, excluded): what an application's matched findings were then.
+
+    excluded(reason, cve) has a row for each CVE left out: published_after for those
+    published at the date or later, unknown for those without a record. The
+    scores of kept findings are the record's where it has an impact.
+    """
+    known = intel.select(F.col("cve").alias("__cve"), F.col("published").alias("__published"), F.col("cvss_base").alias("__base"), F.col("cvss_impact").alias("__impact"), F.col("scope_changed").alias("__scope"), F.col("exploited_later").alias("__later"))
+    j = matched.join(known, matched["cve_id"] == F.col("__cve"), "left")
+    reason = F.when(F.col("__cve").isNull(), "unknown").when(F.coalesce(F.col("__published") >= at, F.lit(False)), "published_after")
+    j = j.withColumn("__reason", reason)
+    scored = F.col("__impact").isNotNull()
+    own = {"cvss_base": F.when(scored, F.col("__base")).otherwise(F.col("cvss_base")), "cvss_impact": F.coalesce("__impact", "cvss_impact"), "scope_changed": F.when(scored, F.col("__scope")).otherwise(F.col("scope_changed")), "vector_source": F.when(scored, "nvd").otherwise(F.col("vector_source"))}
+    kept = j.where("__reason is null").select(*[own[c].alias(c) if c in own else F.col(c) for c in matched.columns], F.col("__later").alias("exploited_later"))
+    return kept, j.where("__reason is not null").select(F.col("__reason").alias("reason"), F.col("cve_id").alias("cve")).distinct()
+
+
+def headline(all_rows: DataFrame, case: str = "case") -> DataFrame:
+    """(case, effort_formula, effort_cvss, saved): the part of the list to work through for nine tenths, and how much less of it than by CVSS alone."""
+    by = lambda r, n: all_rows.where(F.col("ranker") == r).select(case, F.col("effort_90").alias(n))
+    return by("ml", "effort_formula").join(by("cvss", "effort_cvss"), case).withColumn("saved", half_up(F.col("effort_cvss") - F.col("effort_formula"), 4))
+
+
 def evaluate(findings: DataFrame, label: str = "exploited_later", at: Sequence[int] = (10, 25), case: str = "case") -> dict[str, DataFrame]:
     """Metrics of five rankers, on all findings and on those not known to be exploited, and of every ablation; one plan each.
 

@@ -255,6 +255,29 @@ def app_counters(spark, sf):
     return live.counters(found, C.matched(found))
 
 
+# Records of two in three suppliers; every fourth of these is published only after the freeze.
+CASE_SQL = f"""WITH v AS ({TRIVY_SQL}), r AS (SELECT v.*, CASE WHEN k % 3 = 2 THEN 'unknown' WHEN k % 4 = 1 THEN 'published_after' END AS reason FROM v)"""
+
+
+def _case(spark, sf) -> tuple[DataFrame, DataFrame]:
+    components, _, _ = scans.read_bom(spark, _bom(spark, sf))
+    matched = C.matched(C.correlate(scans.read_trivy(spark, _trivy(spark, sf)), components))
+    k = F.col("s_suppkey")
+    day = F.when(k % 4 == 1, "2024-01-01").otherwise("2023-12-31").cast("timestamp")
+    records = table(spark, sf, "supplier").where("s_suppkey % 3 <> 2").select(_cat("CVE-2020-", 1000 + k).alias("cve"), day.alias("published"), F.lit(4.0).alias("cvss_base"), F.when(k % 2 == 0, F.lit(3.6)).alias("cvss_impact"), F.lit(False).alias("scope_changed"), (k % 5 == 0).alias("exploited_later"))
+    return backtest.freeze_findings(matched, records, F.lit("2024-01-01").cast("timestamp"))
+
+
+@query(CASE_SQL + "SELECT cve_id, CASE WHEN k % 2 = 0 THEN 4.0::DOUBLE ELSE cvss_base END AS cvss_base, CASE WHEN k % 2 = 0 THEN 3.6::DOUBLE ELSE cvss_impact END AS cvss_impact, CASE WHEN k % 2 = 0 THEN 'nvd' ELSE vector_source END AS vector_source, k % 5 = 0 AS exploited_later FROM r WHERE reason IS NULL")
+def case_findings(spark, sf):
+    return _case(spark, sf)[0].select("cve_id", "cvss_base", "cvss_impact", "vector_source", "exploited_later")
+
+
+@query(CASE_SQL + "SELECT DISTINCT reason, cve_id AS cve FROM r WHERE reason IS NOT NULL")
+def case_exclusions(spark, sf):
+    return _case(spark, sf)[1]
+
+
 @query("SELECT 'CVE-' || (2015 + s_suppkey % 5) || '-' || (10000 + s_suppkey) AS cve, CAST(2015 + s_suppkey % 5 AS INT) AS id_year, s_suppkey % 2 = 1 AS poc_github, s_suppkey % 3 = 1 AS poc_exploitdb, CAST((s_suppkey % 8) / 8.0 AS DOUBLE) AS p_model FROM supplier WHERE s_suppkey % 5 IN (1, 2)")
 def shard_lookup(spark, sf):
     k = F.col("s_suppkey")
