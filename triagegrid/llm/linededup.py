@@ -44,6 +44,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     document, whose lines do not match themselves. Different texts of one id are
     documents of their own, one after the other by their digest; where any id
     repeats, the column `digest` says which text of the id the numbers belong to.
+    An empty table gives no rows; columns other than id and text are not read.
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("hi"), F.col(text_col).alias("text")).where("hi is not null")
     names = number_texts(spark, src, "hi")

@@ -82,7 +82,8 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = WINDOW,
     the last sequence is short. Two passes: the tokens are written once to the
     shared folder with their place in their partition, then the totals of the
     partitions, one row each, are summed up and every piece finds its place
-    without a shuffle of tokens.
+    without a shuffle of tokens. Null ids are kept; a text of any length is one
+    document; columns other than id and text are not read, so their names cannot clash.
     """
     done = materialize(spark, tokenize(spark, docs, path, id_col, text_col, end_id, added), "pack-ids")
     totals = done.groupBy("part").agg(F.sum("n").alias("total"))

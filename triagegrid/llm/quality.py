@@ -179,7 +179,10 @@ def judge(spark: SparkSession, docs: DataFrame, model: LineModel, id_col: str =
     base_failed, n_lines, n_content_lines, content_words, kept). n_lines counts
     lines with a word. kept: the base rules hold and at least CONTENT_SHARE of
     the words stand in lines that are marked content. Null and empty texts have
-    no words and fail; repeated rows give repeated results.
+    no words and fail; repeated rows give repeated results, null ids like any other;
+    an empty table gives no rows; columns other than id and text are not read. Of
+    equally likely labellings of lines the one that Viterbi meets first counts. A
+    text of any length is read whole.
     """
     ensure_workers(spark)
     shared = spark.sparkContext.broadcast(model)
