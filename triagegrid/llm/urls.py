@@ -24,6 +24,7 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 BUCKETS = 1 << 15
+SMOOTHING = 100.0  # tokens' worth of the common distribution
 PIECES = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -171,8 +172,13 @@ def score_urls(spark: SparkSession, pages: DataFrame, rules=RULES, id_col: str =
     table = {"allow": np.zeros(BUCKETS), "block": np.zeros(BUCKETS)}
     for r in seen.union(paths).groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect():
         table[r["label"]][r["bucket"]] = r["n"]
-    log = {k: np.log((v + 0.5) / (v.sum() + 0.5 * BUCKETS)) for k, v in table.items()}
-    gains = spark.sparkContext.broadcast(log["block"] - log["allow"])
+    # Both are smoothed towards their common distribution, so neither gains by having more pages, and a word that neither knows says nothing.
+    share = {k: v / max(v.sum(), 1.0) for k, v in table.items()}
+    seen_labels = [v for k, v in share.items() if table[k].any()]
+    common = sum(seen_labels) / len(seen_labels) if seen_labels else np.zeros(BUCKETS)
+    p = {k: (v + SMOOTHING * common) / (v.sum() + SMOOTHING) for k, v in table.items()}
+    known = common > 0
+    gains = spark.sparkContext.broadcast(np.where(known, np.log(np.where(known, p["block"], 1.0)) - np.log(np.where(known, p["allow"], 1.0)), 0.0))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = gains.value
