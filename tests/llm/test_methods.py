@@ -144,8 +144,9 @@ def test_rejection_comes_from_what_was_held_back():
 
 
 def test_url_verdicts_follow_words(spark):
-    good = [f"https://www.good{i}.com/garden/flowers/{i}" for i in range(30)]
-    bad = [f"https://spam{i}.net/es/casino/bonus/{i}" for i in range(30)]
+    # Words of hosts are learned from hosts; whole and joined names hold the same words.
+    good = [f"https://garden-flowers{i}.com/page/{i}" for i in range(30)]
+    bad = [f"https://casino-bonus{i}.net/es/{i}" for i in range(30)]
     rows = good + bad + ["https://casino-bonus.example.org/", "https://garden-flowers.example.org/", "https://casinobonus.org/x", "https://gardenflowers.org/x"]
     df = spark.createDataFrame([(i, u, "<title>garden flowers casino bonus</title>") for i, u in enumerate(rows)], "page_id long, url string, html string")
     out = {r["page_id"]: r["verdict"] for r in urls.score_urls(spark, df).collect()}
