@@ -66,16 +66,17 @@ def kth_smallest(df: DataFrame, value: str, places: Sequence[int], enough: int =
                 break
             a, b = left.approxQuantile("v", [max(0.0, target / n - 0.01), min(1.0, target / n + 0.01)], 0.002)
             count = lambda c: F.count(F.when(c, 1))
-            under, upto = left.agg(count(F.col("v") < a), count(F.col("v") <= b)).first()
+            under, at_a, upto = left.agg(count(F.col("v") < a), count(F.col("v") <= a), count(F.col("v") <= b)).first()
+            # Every turn leaves some value out, however often the values repeat.
             if target < under:
                 left = left.where(F.col("v") < a)
-            elif target >= upto:
-                left, target = left.where(F.col("v") > b), target - upto
-            elif a == b:
+            elif target < at_a:
                 out.append(float(a))
                 break
+            elif target < upto:
+                left, target = left.where((F.col("v") > a) & (F.col("v") <= b)), target - at_a
             else:
-                left, target = left.where(F.col("v").between(a, b)), target - under
+                left, target = left.where(F.col("v") > b), target - upto
     return out
 
 
