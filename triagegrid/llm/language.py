@@ -94,7 +94,7 @@ def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: flo
     def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
         c = subword_counts(text)
         at = np.flatnonzero(c)
-        return at, (c[at] / max(1.0, c.sum())).astype(np.float32)
+        return at.astype(np.uint16), (c[at] / max(1.0, c.sum())).astype(np.float32)  # BITS are fewer than 16; the sample is the driver's largest table
 
     fit, check, mixed, foreign, last = [], [], [], [], ("", "")
     for i, (text, lang) in enumerate(rows):
