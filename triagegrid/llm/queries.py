@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagegrid.llm import covertree, language, linededup, ngramjoin, packing, pieces, quality, secrets, urls, warc
+from triagegrid.llm import covertree, language, linededup, ngramjoin, packing, phrases, pieces, quality, secrets, urls, warc
 from triagegrid.llm.common import table
 
 
@@ -81,6 +81,10 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.links(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -103,6 +107,30 @@ ORACLE: dict[str, str] = {
         SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.component_id = e.vec_id AS kept
         FROM embeddings e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
     """,
+    "op11_phrases": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws, count(*) AS m FROM p GROUP BY ALL),
+        g AS (SELECT lang, m, unnest(ws) AS w1, unnest(ws[2:]) AS w2, unnest(ws[3:]) AS w3 FROM w),
+        one AS (SELECT lang, w1, sum(m) AS f FROM g GROUP BY ALL),
+        two AS (SELECT lang, w1, w2, sum(m) AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL),
+        three AS (SELECT lang, w1, w2, w3, sum(m) AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING sum(m) >= 10),
+        size AS (SELECT lang, sum(f) AS n FROM one GROUP BY 1),
+        longer AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, w1 AS x, w2 AS y, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL),
+        c2 AS (
+            SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, a.f AS l, b.f AS r, 1 AS cut FROM two t JOIN one a ON a.lang = t.lang AND a.w1 = t.w1
+                JOIN one b ON b.lang = t.lang AND b.w1 = t.w2 LEFT JOIN longer o ON o.lang = t.lang AND o.x = t.w1 AND o.y = t.w2
+            WHERE t.f >= 10 AND (o.f IS NULL OR 100 * o.f < 50 * t.f)
+        ), c3 AS (
+            SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.f AS a, a.f AS l, b.f AS r, 1 AS cut FROM three t JOIN one a ON a.lang = t.lang AND a.w1 = t.w1 JOIN two b ON b.lang = t.lang AND b.w1 = t.w2 AND b.w2 = t.w3
+            UNION ALL
+            SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, a.f, b.f, 2 FROM three t JOIN two a ON a.lang = t.lang AND a.w1 = t.w1 AND a.w2 = t.w2 JOIN one b ON b.lang = t.lang AND b.w1 = t.w3
+        ), s AS (SELECT *, CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS score FROM (FROM c2 UNION ALL FROM c3)),
+        low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM s),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low WHERE nth = 1)
+        SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked JOIN size USING (lang) WHERE rank <= 2000
+    """,
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
