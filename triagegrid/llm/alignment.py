@@ -9,6 +9,7 @@ summed into sorted shards, and documents look their pairs up in the mapped shard
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +31,9 @@ SIDE = 32
 BATCH_BYTES = 8 << 20
 HELD = 4 << 20
 LOOKUP = 1 << 20
+STRETCH = re.compile(" *[^ ]+| +")
+REMEMBERED = 400_000
+LONG = 64
 
 
 class Side(NamedTuple):
@@ -57,14 +61,50 @@ def byte_side(path: str) -> Side:
     return side(table, "|")
 
 
-@lru_cache(2)
-def piece_side(path: str) -> tuple[object, Side]:
-    """A sentencepiece model and its token bytes: a piece's UTF-8 with the space mark as a space, a byte piece's byte."""
-    import sentencepiece
+class Pieces:
+    """A sentencepiece model, its token bytes (a piece's UTF-8 with the space mark as a space, a byte piece's byte), and the stretches met so far.
+
+    Where no piece has a space mark behind another character, nothing is joined across
+    the end of a word, so a text is encoded stretch by stretch (spaces and a word), and
+    what was met before is remembered. Stretches of more than LONG characters and models
+    with other pieces go through the library each time.
+    """
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    text = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    return model, side([bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(text)], ";")
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        text = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.side = side([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(text)], ";")
+        self.apart = not any(SPACE in p.lstrip(SPACE) for p in text)
+        self.met: dict[str, list[int] | None] = {}
+
+    def whole(self, text: str) -> list[int] | None:
+        """Ids of text, before which the model puts a space; null if they do not spell it."""
+        ids = self.model.encode(text)
+        return ids if b"".join([self.side.table[i] for i in ids]) == b" " + text.encode() else None
+
+    def encode(self, text: str) -> list[int] | None:
+        if not self.apart:
+            return self.whole(text)
+        out: list[int] = []
+        for stretch in STRETCH.findall(" " + text):
+            ids = self.met.get(stretch, out)
+            if ids is out:
+                ids = self.whole(stretch[1:])
+                if len(stretch) <= LONG:
+                    if len(self.met) >= REMEMBERED:
+                        self.met.clear()
+                    self.met[stretch] = ids
+            if ids is None:
+                return None
+            out += ids
+        return out
+
+
+@lru_cache(2)
+def pieces_of(path: str) -> Pieces:
+    return Pieces(path)
 
 
 class Aligned(NamedTuple):
@@ -76,10 +116,11 @@ class Aligned(NamedTuple):
 def align(a: np.ndarray, b: np.ndarray, left: Side, right: Side) -> Aligned:
     """Two token sequences over the same bytes: the number of groups, a packed key for every link, the groups as text."""
     ends_a, ends_b = np.cumsum(left.sizes[a]), np.cumsum(right.sizes[b])
+    both = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    again = np.append(both[1:] == both[:-1], False)
     # Between two neighbouring ends of either side lies one link, as two runs of bytes overlap in one run.
-    every = np.union1d(ends_a, ends_b)
+    every, shared = both[~again], both[again]
     keys = a[np.searchsorted(ends_a, every)] << SIDE | b[np.searchsorted(ends_b, every)]
-    shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
     of_a, of_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
     before = np.append(0, np.searchsorted(ends_b, shared, "right"))
     order = np.empty(len(a) + len(b), np.int64)
@@ -87,7 +128,7 @@ def align(a: np.ndarray, b: np.ndarray, left: Side, right: Side) -> Aligned:
     base = 2 * len(left.table)
     order[np.arange(len(b)) + np.searchsorted(ends_a, shared, "right")[of_b]] = base + np.where(shared[of_b] == ends_b, len(right.table), 0) + b
     names = _names(left, right)
-    return Aligned(len(shared), keys, "".join([names[i] for i in order.tolist()])[:-1])
+    return Aligned(len(shared), keys, "".join(map(names.__getitem__, order.tolist()))[:-1])
 
 
 _named: dict[tuple[int, int], list[str]] = {}
@@ -118,17 +159,16 @@ def encode(spark: SparkSession, docs: DataFrame, byte_path: str, piece_path: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, left = encoder(byte_path), byte_side(byte_path)
-        model, right = piece_side(piece_path)
+        pieces = pieces_of(piece_path)
+        right = pieces.side
         rows: list[tuple] = []
         for batch in batches:
             held = 0
             for i, text in enumerate(batch.column(1)):
                 row = (0, 0, 0, 0, None, b"", b"")
                 if text := text.as_py() or "":
-                    whole = b" " + text.encode()
-                    a = enc.encode_ordinary(" " + text)
-                    b = model.encode([text], num_threads=1)[0]
-                    if b"".join([left.table[t] for t in a]) == whole == b"".join([right.table[t] for t in b]):
+                    a, b = enc.encode_ordinary(" " + text), pieces.encode(text)
+                    if b is not None and enc.decode_bytes(a) == b" " + text.encode():
                         got = align(np.array(a, np.int64), np.array(b, np.int64), left, right)
                         keys, times = np.unique(got.keys, return_counts=True)
                         row = len(a), len(b), got.n_groups, len(got.keys), got.groups, packed(keys.astype(np.uint64)), planes(times)
