@@ -70,9 +70,14 @@ def test_live_feeds_go_before_the_snapshot(spark):
     snap = spark.createDataFrame([("a", 0.1, True), ("b", 0.2, False)], "cve string, epss double, kev boolean")
     now = spark.createDataFrame([("a", 0.9)], "cve string, epss double")
     listed = spark.createDataFrame([("b",), ("b",)], "cve string")
-    got = {tuple(r[c] for c in ("cve", "epss", "epss_source", "kev", "kev_source")) for r in live.override(snap, now, listed).collect()}
-    assert got == {("a", 0.9, "live", False, "live"), ("b", 0.2, "snapshot", True, "live")}
-    assert {r["kev_source"] for r in live.override(snap).collect()} == {"snapshot"}
+    told = lambda df: {tuple(r[c] for c in ("cve", "epss", "epss_source", "kev", "kev_source")) for r in df.collect()}
+    # An id that the live scores leave out has 0; without live scores the snapshot's stays.
+    assert told(live.override(snap, now, listed)) == {("a", 0.9, "live", False, "live"), ("b", 0.0, "live", True, "live")}
+    assert told(live.override(snap)) == {("a", 0.1, "snapshot", True, "snapshot"), ("b", 0.2, "snapshot", False, "snapshot")}
+    wanted = spark.createDataFrame([("b",), ("new",), ("new",)], "cve string")
+    assert told(live.override(snap, now, listed, wanted=wanted)) == {("b", 0.0, "live", True, "live"), ("new", 0.0, "live", False, "live")}
+    again = spark.createDataFrame([("a", 0.9, 1), ("a", 0.3, 2)], "cve string, epss double, at int")
+    assert [r[1] for r in sorted(told(live.override(snap, again, order="at")))] == [0.3, 0.0]
 
 
 def features(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,3 +36,30 @@ def sigmoid(z: Column) -> Column:
 def or_zero(x: Column) -> Column:
     """Null and NaN as 0."""
     return F.coalesce(F.nanvl(x.cast("double"), F.lit(None).cast("double")), F.lit(0.0))
+
+
+def half_even(value: Column, digits: int) -> Column:
+    """Rounding to digits places, ties to even, by what the double is exactly and not by its shortest spelling: 2.675 is below the tie.
+
+    A double is m / 2**s with whole m and s. m * 10**digits and 2**s fit a decimal of
+    38 digits for up to 5 places, so quotient and rest are exact; smaller values are 0, larger ones whole.
+    """
+    if not 0 <= digits <= 5:
+        raise ValueError("0 to 5 places")
+    x = value.cast("double")
+    size = F.abs(x)
+    # 2**52 <= m < 2**53, whatever the logarithm rounds to.
+    e = F.floor(F.log2(size)).cast("int")
+    e = F.when(F.pow(F.lit(2.0), e) > size, e - 1).when(F.pow(F.lit(2.0), e + 1) <= size, e + 1).otherwise(e)
+    s = F.lit(52) - e
+    m = (size * F.pow(F.lit(2.0), s)).cast("bigint").cast("decimal(16,0)")
+    powers = F.array(*[F.lit(Decimal(2**i)).cast("decimal(38,0)") for i in range(91)])
+    whole = F.get(powers, s)
+    top = (m * F.lit(Decimal(10**digits)).cast("decimal(6,0)")).cast("decimal(38,0)")
+    rest = top % whole
+    low = ((top - rest) / whole).cast("decimal(22,0)")
+    twice = rest + rest
+    up = (twice > whole) | ((twice == whole) & (low % 2 == 1))
+    number = ((low + up.cast("int")).cast("decimal(23,0)") * F.lit(Decimal(10) ** -digits)).cast("double")
+    signed = F.when(x < 0, -number).otherwise(number)
+    return F.when(x.isNull() | F.isnan(x) | (size >= F.lit(float(1 << 52))), x).when(size < F.lit(10.0**-digits / 4), x * 0.0).otherwise(signed)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from triagegrid.session import persisted
+
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Of the rows of a key the last in the given order, which must be total for a fixed result."""
@@ -19,6 +21,24 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def ranked(spark: SparkSession, df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name: str = "rank") -> DataFrame:
+    """df with each row's place from 1 in the given order, within its group of by; order must be total for a fixed result.
+
+    Rows are sorted by ranges of (by, order), so a large group is many tasks' work;
+    counts per range and group, a row each, say where a range's numbers begin.
+    """
+    sorted_ = df.repartitionByRange(*[F.asc(b) for b in by], *order).sortWithinPartitions(*[F.asc(b) for b in by], *order)
+    placed = persisted(spark, sorted_.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id()), "ranked")
+    counts = placed.groupBy("__part", *by).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    w = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(w), F.lit(0)) - F.col("__first") + 1)
+    told = base.select(F.col("__part").alias("__p"), *[F.col(b).alias(f"__b_{b}") for b in by], "__base")
+    same = F.col("__part") == F.col("__p")
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"__b_{b}"))
+    return placed.join(told, same).select(*df.columns, (F.col("__at") + F.col("__base")).cast("long").alias(name))
+
+
 def top_k(df: DataFrame, key: str, k: int) -> DataFrame:
     """The k most frequent values; of equal counts the smaller value."""
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(k)

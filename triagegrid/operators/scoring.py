@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagegrid import constants as K
 from triagegrid.functions.numbers import half_up, or_zero, risk_tier, soft_ceiling
+from triagegrid.operators import rows
 
 
 def _pick(key: Column, values: dict, default: float | None = None) -> Column:
@@ -94,10 +95,11 @@ def rank(df: DataFrame, raw: str, base: str, ids: Sequence[str], by: Sequence[st
     return df.withColumn(name, F.row_number().over(w).cast("long"))
 
 
-def score_all(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """findings with the structs cvss, legacy and ml, each with a rank."""
+def score_all(spark: SparkSession, findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """findings with the structs cvss, legacy and ml, each with a rank, within each application if by is given."""
     out = findings.withColumn("cvss", severity(F.col("cvss_base"))).withColumn("legacy", legacy()).withColumn("ml", combined())
     for mode in ("cvss", "legacy", "ml"):
-        w = Window.partitionBy(*by).orderBy(F.desc(f"{mode}.raw"), F.desc(F.coalesce("cvss_base", F.lit(0.0))), "cve_id", "component_ref")
-        out = out.withColumn(mode, F.col(mode).withField("rank", F.row_number().over(w).cast("long")))
+        order = [F.desc(f"{mode}.raw"), F.desc(F.coalesce("cvss_base", F.lit(0.0))), F.asc("cve_id"), F.asc("component_ref")]
+        placed = rows.ranked(spark, out, order, by, "__rank")
+        out = placed.withColumn(mode, F.col(mode).withField("rank", F.col("__rank"))).drop("__rank")
     return out

@@ -8,31 +8,51 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagegrid import constants as K
-from triagegrid.functions.numbers import half_up
-from triagegrid.operators import asof, ml, ranking, rates, scoring
+from triagegrid.functions.numbers import half_up, sigmoid
+from triagegrid.operators import asof, boosting, ml, nested, ranking, rates, scoring
 from triagegrid.operators.features import Encoder, poc_flags
-from triagegrid.session import persisted
+from triagegrid.session import discard, persisted
 
 
-def frozen_scores(spark: SparkSession, table: DataFrame, at: Column, folds: int = K.FOLDS, trees: bool = True) -> DataFrame:
+def frozen_scores(spark: SparkSession, table: DataFrame, at: Column, folds: int = K.FOLDS, trees: bool = True, settings: boosting.Settings = boosting.Settings()) -> DataFrame:
     """(cve, p_model): every row scored by a model that saw neither its own label nor anything after the date.
 
     Training rows are scored by models of the other folds, all others by the
-    model of all training rows; each has its own encoder and calibration.
+    model of all training rows; each has its own encoder and calibration. Training or
+    validation rows without a positive one as of the date: ValueError.
     """
-    rows = poc_flags(table, at).withColumn("__y", asof.known(F.col("kev_date_added"), at).cast("int")).withColumn("__split", asof.frozen_split_of(F.col("published"), at)).withColumn("__f", rates.fold_of(F.col("cve"), folds))
+    rows = poc_flags(table, at).withColumn("__y", asof.known(F.col("kev_date_added"), at).cast("int")).withColumn("__split", asof.frozen_split_of(F.col("published"), at))
+    rows = rows.withColumn("__f", rates.fold_of(F.col("cve"), folds)).withColumn("__g", rates.fold_of(F.col("cve"), K.FOLDS, seed=43))
     rows = persisted(spark, rows, "backtest-rows")
+    seen = {r["__split"]: r["p"] for r in rows.groupBy("__split").agg(F.sum("__y").alias("p")).collect()}
+    if not seen.get("train") or not seen.get("validation"):
+        raise ValueError("no positive training or validation rows as of the date")
+    scored = _by_trees(spark, rows, folds, settings) if trees else _by_lines(rows, folds)
+    out = persisted(spark, scored, "frozen-scores")
+    discard(spark, rows)
+    return out
+
+
+def _by_trees(spark: SparkSession, rows: DataFrame, folds: int, settings: boosting.Settings) -> DataFrame:
+    """All folds' models and the one of all rows at once: one matrix, one fit, one scoring, one calibration."""
+    m = nested.matrix(rows, "__y", "__split", "__f", "__g", folds).withColumn("key", F.xxhash64("cve"))
+    m = persisted(spark, m, "backtest-matrix")
+    models = boosting.fit(spark, m.where("role <> 'score'"), settings)
+    done = boosting.score(m.where("role <> 'train'").select("model", "role", "cve", "y", "x"), models)
+    done = persisted(spark, done.drop("x"), "backtest-margins")
+    lines = boosting.platt(done.where("role = 'validation'"))
+    line = F.coalesce(*[F.when(F.col("model") == k, F.array(F.lit(a), F.lit(b))) for k, (a, b) in lines.items()])
+    discard(spark, m)
+    return done.where("role = 'score'").select("cve", sigmoid(F.col("margin") * line[0] + line[1]).alias("p_model"))
+
+
+def _by_lines(rows: DataFrame, folds: int) -> DataFrame:
     train, validation = rows.where("__split = 'train'"), rows.where("__split = 'validation'")
-    if train.isEmpty() or validation.isEmpty():
-        raise ValueError("no training or validation rows before the date")
 
     def fit_and_score(fit_on: DataFrame, score_on: DataFrame) -> DataFrame:
         enc = Encoder(fit_on, "__y")
-        names = enc.names()
-        x = enc.transform(fit_on, out_of_fold=True)
-        v = enc.transform(validation)
-        model = ml.fit_trees(x, v, names, "__y") if trees else ml.fit_logistic(x, names, "__y")
-        seen = model.transform(v)
+        model = ml.fit_logistic(enc.transform(fit_on, out_of_fold=True), enc.names(), "__y")
+        seen = model.transform(enc.transform(validation))
         platt = ml.calibrate(seen.select(ml.margin(seen, model).alias("__margin"), "__y"), "__margin", "__y")
         out = model.transform(enc.transform(score_on))
         return out.select("cve", ml.probability(ml.margin(out, model), platt).alias("p_model"))

@@ -457,14 +457,15 @@ def prior_fallback(spark, sf):
     return joined.select("l_orderkey", "l_linenumber", F.coalesce(F.col("s_acctbal"), prior).alias("p_model"), F.when(F.col("s_acctbal").isNull(), "prior").otherwise("model").alias("p_source"))
 
 
-@query("""WITH live AS (SELECT user_id, max(value) AS epss FROM events WHERE event_id % 3 = 0 GROUP BY 1), snap AS (SELECT user_id, min(value) AS epss FROM events GROUP BY 1), kev AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
-    SELECT s.user_id, coalesce(l.epss, s.epss) AS epss, l.epss IS NOT NULL AS live, k.user_id IS NOT NULL AS kev FROM snap s LEFT JOIN live l USING (user_id) LEFT JOIN kev k ON k.user_id = s.user_id""")
+@query("""WITH live AS (SELECT user_id, arg_max(value, event_id) AS epss FROM events WHERE event_id % 3 = 0 GROUP BY 1), snap AS (SELECT user_id, min(value) AS epss FROM events WHERE event_id % 4 > 0 GROUP BY 1), kev AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
+    SELECT w.user_id, coalesce(l.epss, 0.0::DOUBLE) AS epss, s.epss AS before, k.user_id IS NOT NULL AS kev FROM (SELECT DISTINCT user_id FROM events) w LEFT JOIN snap s USING (user_id) LEFT JOIN live l USING (user_id) LEFT JOIN kev k USING (user_id)""")
 def live_override(spark, sf):
+    """Ids that the live scores leave out have 0, whatever the snapshot says."""
     e = table(spark, sf, "events")
-    now = e.where("event_id % 3 = 0").select("user_id", F.col("value").alias("epss"))
-    snap = e.groupBy("user_id").agg(F.min("value").alias("epss")).withColumn("kev", F.lit(False))
-    out = live.override(snap, now, e.where("event_type = 'purchase'"), key="user_id")
-    return out.select("user_id", "epss", (F.col("epss_source") == "live").alias("live"), "kev")
+    now = e.where("event_id % 3 = 0").select("user_id", "event_id", F.col("value").alias("epss"))
+    snap = e.where("event_id % 4 > 0").groupBy("user_id").agg(F.min("value").alias("epss")).withColumn("before", F.col("epss")).withColumn("kev", F.lit(False))
+    out = live.override(snap, now, e.where("event_type = 'purchase'"), key="user_id", order="event_id", wanted=e)
+    return out.select("user_id", "epss", "before", "kev")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from triagegrid.functions.numbers import half_up
 from triagegrid.operators import correlate as C
-from triagegrid.operators import features, graph, live
+from triagegrid.operators import features
 from triagegrid.plans import application, backtest
 from triagegrid.session import shared_path, table
-from triagegrid.sources import assets, feeds, scans
+from triagegrid.sources import feeds, many, scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,13 +31,20 @@ def query(sql: str | None = None):
     return add
 
 
-def _text(spark: SparkSession, df: DataFrame, tag: str, by: str | None = None, suffix: str = "") -> str:
-    """A folder with df's text: one file, or one for each value of `by`."""
-    path = shared_path(spark, tag) + suffix
-    (df.coalesce(1).write if by is None else df.repartition(by).write.partitionBy(by)).text(path)
+def _text(spark: SparkSession, df: DataFrame, tag: str, by: str, suffix: str = "") -> str:
+    """A folder with a folder of text for each value of `by`, each written by one task, in the order that df has within it."""
+    path = shared_path(spark, tag)
+    df.write.partitionBy(by).text(path)
     return path
 
 
+def _files(spark: SparkSession, docs: DataFrame, tag: str, name: str) -> DataFrame:
+    """A document (app, value) for each application, written as a file and read back: (app, path, body). What a file is called says its format."""
+    path = _text(spark, docs.repartition("app"), tag, "app")
+    # Spark names the files; the name that an upload would have takes their place.
+    return many.files(spark, f"{path}/*").withColumn("path", F.concat("app", F.lit(name)))
+
+
 def _s(c: str | Column) -> Column:
     return F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
 
@@ -84,12 +91,13 @@ RECORDS_SQL = """SELECT 'CVE-' || (2019 + k % 4) || '-' || (10000 + k) AS cve, C
 
 
 def _record_files(spark, sf) -> str:
-    """A document for each year, and a bare list with some records again; each is one file."""
+    """A document for each 100 parts, and bare lists with some records again, which are read later; each is one file."""
     items = _items(table(spark, sf, "part"))
-    newer = items.groupBy((F.col("p_partkey") % 4).cast("int").alias("y")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("item").alias("cve"))).alias("vulnerabilities"))).alias("value"))
+    block = lambda n, mark: F.concat(F.lit(mark), F.floor(F.col("p_partkey") / n).cast("string")).alias("y")
+    newer = items.groupBy(block(100, "a")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("item").alias("cve"))).alias("vulnerabilities"))).alias("value"))
     said = F.array(F.struct(F.lit("en").alias("lang"), F.lit("again").alias("value")))
-    again = items.where("p_partkey % 11 = 0").withColumn("item", F.col("item").withField("descriptions", said)).agg(F.to_json(F.collect_list("item")).alias("value")).select(F.lit(9).alias("y"), "value")
-    return _text(spark, newer.unionByName(again), "records", "y")
+    again = items.where("p_partkey % 11 = 0").withColumn("item", F.col("item").withField("descriptions", said)).groupBy(block(1000, "b")).agg(F.to_json(F.collect_list("item")).alias("value"))
+    return _text(spark, newer.unionByName(again).repartition("y"), "records", "y")
 
 
 @query(RECORDS_SQL)
@@ -101,8 +109,8 @@ def src_records(spark, sf):
 @query("SELECT 'U-' || user_id AS cve, CAST(min(CAST(ts AS DATE)) AS VARCHAR) AS kev_date_added FROM events WHERE event_type = 'purchase' GROUP BY 1")
 def src_exploited(spark, sf):
     e = table(spark, sf, "events").where("event_type = 'purchase'")
-    doc = e.select(F.struct(_cat(" U-", F.col("user_id"), " ").alias("cveID"), F.date_format("ts", "yyyy-MM-dd").alias("dateAdded")).alias("v")).agg(F.to_json(F.struct(F.lit("2024.1").alias("catalogVersion"), F.collect_list("v").alias("vulnerabilities"))).alias("value"))
-    rows = feeds.read_exploited(spark, _text(spark, doc, "exploited"))
+    doc = e.select(F.struct(_cat(" U-", F.col("user_id"), " ").alias("cveID"), F.date_format("ts", "yyyy-MM-dd").alias("dateAdded")).alias("v"), F.date_format("ts", "yyyy-MM").alias("month")).groupBy("month").agg(F.to_json(F.struct(F.lit("2024.1").alias("catalogVersion"), F.collect_list("v").alias("vulnerabilities"))).alias("value"))
+    rows = feeds.read_exploited(spark, _text(spark, doc, "exploited", "month"))
     return rows.select("cve", F.date_format("kev_date_added", "yyyy-MM-dd").alias("kev_date_added"))
 
 
@@ -111,9 +119,11 @@ def src_scores(spark, sf):
     k = F.col("s_suppkey")
     s = table(spark, sf, "supplier")
     number = F.when(k % 10 == 0, "x").otherwise(F.format_string("%.2f", (k % 100).cast("double") / 100))
-    lines = s.select((k + 2).alias("o"), _cat("S-", k, ",", number, ",0.5").alias("value")).union(s.select(k + 10**9, _cat("S-", k, ",0.99,0.9")))
-    head = spark.createDataFrame([(0, "#model_version:v1,score_date:2024-01-01"), (1, "cve,epss,percentile")], "o long, value string")
-    scores, meta = feeds.read_scores(spark, _text(spark, head.union(lines).orderBy("o").select("value"), "scores"))
+    block = F.floor(k / 500).alias("b")
+    lines = s.select(block, (k + 2).alias("o"), _cat("S-", k, ",", number, ",0.5").alias("value")).union(s.select(block, k + 10**9, _cat("S-", k, ",0.99,0.9")))
+    heads = s.select(block).distinct().select("b", F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("o"), F.lit("#model_version:v1,score_date:2024-01-01").alias("value")), F.struct(F.lit(1).cast("bigint").alias("o"), F.lit("cve,epss,percentile").alias("value")))).alias("x")).select("b", "x.*")
+    files = lines.union(heads).repartition("b").sortWithinPartitions("b", "o").select("b", "value")
+    scores, meta = feeds.read_scores(spark, _text(spark, files, "scores", "b"))
     return scores.withColumn("model", F.lit(meta.get("model_version")))
 
 
@@ -128,63 +138,65 @@ def src_exploit_archive(spark, sf):
     return feeds.read_exploit_archive(spark, path).select("cve", F.date_format("first_ts", "yyyy-MM-dd").alias("first_day"))
 
 
-# ---- bills of materials, scans, services -----------------------------------------------------------------------------------
+# ---- bills of materials, scans, services: a document for each nation and thousand suppliers -----------------------------------
+
+
+def _suppliers(spark, sf) -> DataFrame:
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("app", F.concat_ws("-", "n_nationkey", F.floor(F.col("s_suppkey") / 1000).cast("string")))
+
 
+APP = "s_nationkey || '-' || (s_suppkey // 1000)"
 
-def _bom(spark, sf) -> str:
-    """Nations hold their suppliers, which hold a leaf each; dependencies go from the root to nations and on to suppliers."""
-    n, s = table(spark, sf, "nation"), table(spark, sf, "supplier")
+
+def _bom(spark, sf) -> DataFrame:
+    """A nation holds its suppliers, which hold a leaf each; dependencies go from the root to the nation and on to suppliers."""
     k, name = F.col("s_suppkey"), F.col("s_name")
     prop = lambda a, b: F.struct(F.lit(a).alias("name"), F.lit(b).alias("value"))
     leaf = F.struct(_cat("leaf", k).alias("name"), F.lit("1").alias("version"))
     inner = F.struct(F.when(k % 2 == 1, _cat("s", k)).alias("bom-ref"), name.alias("name"), _s(k % 5).alias("version"), _cat("pkg:x/", k, "@", k % 5).alias("purl"), F.array(prop("dependency:depth", "2"), prop("dependency:type", "transitive")).alias("properties"), F.array(leaf).alias("components"))
-    kids = s.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("o"), inner.alias("c")))), lambda x: x["c"]).alias("kids"))
-    outer = F.struct(_cat("n", F.col("n_nationkey")).alias("bom-ref"), F.lit("org").alias("group"), F.col("n_name").alias("name"), F.lit("1").alias("version"), F.col("kids").alias("components"))
     ref = F.when(k % 2 == 1, _cat("s", k)).otherwise(_cat(name, "@", k % 5))
-    on = s.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.collect_list(ref).alias("on"))
-    both = n.join(kids, "n_nationkey", "left").join(on, "n_nationkey", "left")
-    listed = both.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("o"), outer.alias("c"), F.coalesce("on", F.array().cast("array<string>")).alias("on")))), lambda x: x).alias("all"))
-    deps = F.transform("all", lambda x: F.struct(x["c"]["bom-ref"].alias("ref"), x["on"].alias("dependsOn")))
-    root = F.struct(F.lit("root").alias("ref"), F.transform("all", lambda x: x["c"]["bom-ref"]).alias("dependsOn"))
-    doc = F.struct(F.struct(F.struct(F.lit("root").alias("bom-ref"), F.lit("Shop").alias("name")).alias("component")).alias("metadata"), F.transform("all", lambda x: x["c"]).alias("components"), F.concat(F.array(root), deps).alias("dependencies"))
-    return _text(spark, listed.select(F.to_json(doc).alias("value")), "bom")
+    kids = _suppliers(spark, sf).groupBy("app", "n_nationkey", "n_name").agg(F.array_sort(F.collect_list(F.struct(k.alias("o"), inner.alias("c"), ref.alias("r")))).alias("all"))
+    top = _cat("n", F.col("n_nationkey"))
+    outer = F.struct(top.alias("bom-ref"), F.lit("org").alias("group"), F.col("n_name").alias("name"), F.lit("1").alias("version"), F.transform("all", lambda x: x["c"]).alias("components"))
+    deps = F.array(F.struct(F.lit("root").alias("ref"), F.array(top).alias("dependsOn")), F.struct(top.alias("ref"), F.transform("all", lambda x: x["r"]).alias("dependsOn")))
+    doc = F.struct(F.struct(F.struct(F.lit("root").alias("bom-ref"), F.lit("Shop").alias("name")).alias("component")).alias("metadata"), F.array(outer).alias("components"), deps.alias("dependencies"))
+    return _files(spark, kids.select("app", F.to_json(doc).alias("value")), "bom", "/bom.json")
 
 
-BOM_SQL = """x AS (SELECT n_nationkey AS a, -1 AS b, 0 AS l, 'n' || n_nationkey AS bom_ref, n_name AS name, 'org' AS grp, '1' AS version, '' AS purl, 0 AS depth, 'direct' AS kind FROM nation
-    UNION ALL SELECT s_nationkey, s_suppkey, 1, CASE WHEN s_suppkey % 2 = 1 THEN 's' || s_suppkey ELSE s_name || '@' || (s_suppkey % 5) END, s_name, '', CAST(s_suppkey % 5 AS VARCHAR), 'pkg:x/' || s_suppkey || '@' || (s_suppkey % 5), 2, 'transitive' FROM supplier
-    UNION ALL SELECT s_nationkey, s_suppkey, 2, 'leaf' || s_suppkey || '@1', 'leaf' || s_suppkey, '', '1', '', 0, 'direct' FROM supplier)"""
+BOM_SQL = f"""y AS (SELECT *, {APP} AS app FROM supplier), x AS (SELECT DISTINCT app, -1 AS b, 0 AS l, 'n' || n_nationkey AS bom_ref, n_name AS name, 'org' AS grp, '1' AS version, '' AS purl, 0 AS depth, 'direct' AS kind FROM y JOIN nation ON s_nationkey = n_nationkey
+    UNION ALL SELECT app, s_suppkey, 1, CASE WHEN s_suppkey % 2 = 1 THEN 's' || s_suppkey ELSE s_name || '@' || (s_suppkey % 5) END, s_name, '', CAST(s_suppkey % 5 AS VARCHAR), 'pkg:x/' || s_suppkey || '@' || (s_suppkey % 5), 2, 'transitive' FROM y
+    UNION ALL SELECT app, s_suppkey, 2, 'leaf' || s_suppkey || '@1', 'leaf' || s_suppkey, '', '1', '', 0, 'direct' FROM y)"""
 
 
-@query(f"WITH {BOM_SQL} SELECT CAST(row_number() OVER (ORDER BY a, b, l) - 1 AS INT) AS ord, bom_ref, name, grp, version, purl, CAST(depth AS INT) AS depth, kind FROM x")
+@query(f"WITH {BOM_SQL} SELECT app, CAST(row_number() OVER (PARTITION BY app ORDER BY b, l) - 1 AS INT) AS ord, bom_ref, name, grp, version, purl, CAST(depth AS INT) AS depth, kind FROM x")
 def src_bom(spark, sf):
-    components, _, _ = scans.read_bom(spark, _bom(spark, sf))
-    return components.select("ord", "bom_ref", "name", F.col("group").alias("grp"), "version", "purl", F.col("dependency_depth").alias("depth"), F.col("dependency_type").alias("kind"))
+    components = many.components(many.boms(_bom(spark, sf)))
+    return components.select("app", "ord", "bom_ref", "name", F.col("group").alias("grp"), "version", "purl", F.col("dependency_depth").alias("depth"), F.col("dependency_type").alias("kind"))
 
 
-@query(f"WITH RECURSIVE {BOM_SQL}, e AS (SELECT 'root' AS ref, 'n' || n_nationkey AS dep FROM nation UNION SELECT 'n' || a, bom_ref FROM x WHERE l = 1), r AS (SELECT dep AS node, ref AS anc FROM e UNION SELECT r.node, e.ref FROM r JOIN e ON e.dep = r.anc) SELECT node, count(DISTINCT anc) AS fanin FROM r GROUP BY 1")
+@query(f"WITH RECURSIVE {BOM_SQL}, e AS (SELECT app, 'root' AS ref, bom_ref AS dep FROM x WHERE l = 0 UNION SELECT a.app, a.bom_ref, b.bom_ref FROM x a JOIN x b USING (app) WHERE a.l = 0 AND b.l = 1), r AS (SELECT app, dep AS node, ref AS anc FROM e UNION SELECT r.app, r.node, e.ref FROM r JOIN e ON e.app = r.app AND e.dep = r.anc), f AS (SELECT app, node, count(DISTINCT anc) AS fanin FROM r GROUP BY 1, 2) SELECT n.app, n.node, coalesce(f.fanin, 0) AS fanin FROM (SELECT app, bom_ref AS node FROM x UNION SELECT app, 'root' FROM x) n LEFT JOIN f USING (app, node)")
 def src_bom_fanin(spark, sf):
-    _, dependencies, _ = scans.read_bom(spark, _bom(spark, sf))
-    closure = graph.ancestors(spark, graph.edges_of(dependencies))
-    return graph.fan_in(closure.select("node"), closure)
+    parsed = many.boms(_bom(spark, sf))
+    return application.closures(spark, many.dependencies(parsed), many.components(parsed))[1]
 
 
-def _trivy(spark, sf) -> str:
+def _trivy(spark, sf) -> DataFrame:
     k = F.col("s_suppkey")
     score = lambda v, text: F.struct(F.lit(v).alias("V3Score"), F.lit(text).alias("V3Vector"))
     cvss = F.struct(F.when(k % 3 == 0, score(9.8, HIGH)).otherwise(score(0.0, "")).alias("nvd"), F.when(k % 3 == 1, score(5.0, LOW)).alias("redhat"))
     found = F.struct(_cat("CVE-2020-", 1000 + k).alias("VulnerabilityID"), F.when(k % 7 != 0, F.col("s_name")).alias("PkgName"), _s(k % 5).alias("InstalledVersion"), F.struct(F.when(k % 4 == 0, _cat("PKG:x/", k, "@", k % 5, "?a=b")).alias("PURL")).alias("PkgIdentifier"), cvss.alias("CVSS"))
-    doc = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.collect_list(found).alias("Vulnerabilities")).agg(F.to_json(F.struct(F.collect_list(F.struct("Vulnerabilities")).alias("Results"))).alias("value"))
-    return _text(spark, doc, "trivy", suffix=".json")
+    doc = _suppliers(spark, sf).groupBy("app").agg(F.to_json(F.struct(F.array(F.struct(F.collect_list(found).alias("Vulnerabilities"))).alias("Results"))).alias("value"))
+    return _files(spark, doc, "trivy", "/scan.json")
 
 
-TRIVY_SQL = "SELECT 'CVE-2020-' || (1000 + k) AS cve_id, s_name AS pkg_name, CAST(k % 5 AS VARCHAR) AS pkg_version, CASE k % 3 WHEN 0 THEN 9.8::DOUBLE WHEN 1 THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END AS cvss_base, CASE k % 3 WHEN 0 THEN 5.9::DOUBLE WHEN 1 THEN 1.4::DOUBLE ELSE 0.0::DOUBLE END AS cvss_impact, k % 3 = 1 AS scope_changed, CASE WHEN k % 3 = 2 THEN 'none' ELSE 'scan' END AS vector_source, k FROM (SELECT *, s_suppkey AS k FROM supplier) WHERE k % 7 <> 0"
+TRIVY_SQL = f"SELECT 'CVE-2020-' || (1000 + k) AS cve_id, s_name AS pkg_name, CAST(k % 5 AS VARCHAR) AS pkg_version, CASE k % 3 WHEN 0 THEN 9.8::DOUBLE WHEN 1 THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END AS cvss_base, CASE k % 3 WHEN 0 THEN 5.9::DOUBLE WHEN 1 THEN 1.4::DOUBLE ELSE 0.0::DOUBLE END AS cvss_impact, k % 3 = 1 AS scope_changed, CASE WHEN k % 3 = 2 THEN 'none' ELSE 'scan' END AS vector_source, k, app FROM (SELECT *, s_suppkey AS k, {APP} AS app FROM supplier) WHERE k % 7 <> 0"
 
 
 @query(f"SELECT * EXCLUDE (k) FROM ({TRIVY_SQL})")
 def src_trivy(spark, sf):
-    kind, rows = scans.read_scan(spark, _trivy(spark, sf))
-    assert kind == "trivy"
-    return rows.select("cve_id", "pkg_name", "pkg_version", "cvss_base", "cvss_impact", "scope_changed", "vector_source")
+    rows = many.findings(many.reports(_trivy(spark, sf)).where("format = 'trivy'"))
+    return rows.select("cve_id", "pkg_name", "pkg_version", "cvss_base", "cvss_impact", "scope_changed", "vector_source", "app")
 
 
 @query("SELECT 'CVE-' || c_custkey AS cve_id, c_name || ', \"x\"' AS pkg_name, '1' AS pkg_version, CASE WHEN c_custkey % 4 = 0 THEN 0.0::DOUBLE ELSE 5.0::DOUBLE END AS cvss_base, CASE WHEN c_custkey % 4 = 0 THEN 0.0::DOUBLE ELSE 3.0::DOUBLE END AS cvss_impact, c_custkey % 2 = 0 AS scope_changed FROM customer WHERE c_custkey % 6 <> 0")
@@ -200,31 +212,40 @@ def src_csv_scan(spark, sf):
     return found.select("cve_id", "pkg_name", "pkg_version", "cvss_base", "cvss_impact", "scope_changed")
 
 
-@query("SELECT 'CVE-' || s_suppkey AS cve_id, 'p' || s_suppkey AS pkg_name, '1.' || (s_suppkey % 3) AS pkg_version, n_name AS host, 5.0::DOUBLE AS cvss_base FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 <> 0")
-def src_nessus(spark, sf):
+def _nessus(spark, sf) -> DataFrame:
     k = F.col("s_suppkey")
     cpe = F.when(k % 5 != 0, _cat("<cpe>cpe:/a:v:p", k, ":1.", k % 3, "</cpe>")).otherwise("")
     item = F.concat(_cat('<ReportItem pluginName="q"><cve>CVE-', k, "</cve>"), cpe, F.lit("<cvss_base_score>5.0</cvss_base_score></ReportItem>"))
-    hosts = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.array_join(F.collect_list(item), "").alias("items"))
-    doc = hosts.select(F.concat(F.lit('<ReportHost name="'), "n_name", F.lit('">'), "items", F.lit("</ReportHost>")).alias("h")).agg(F.concat(F.lit("<R>"), F.array_join(F.collect_list("h"), ""), F.lit("</R>")).alias("value"))
-    rows, _ = scans.read_nessus(spark, _text(spark, doc, "nessus", suffix=".nessus"))
-    return rows.select("cve_id", "pkg_name", "pkg_version", "host", "cvss_base")
+    docs = _suppliers(spark, sf).groupBy("app", "n_name").agg(F.array_join(F.collect_list(item), "").alias("items"))
+    return _files(spark, docs.select("app", F.concat(F.lit('<R><ReportHost name="'), "n_name", F.lit('">'), "items", F.lit("</ReportHost></R>")).alias("value")), "nessus", "/scan.nessus")
 
 
-def _services(spark, sf) -> str:
+@query(f"SELECT {APP} AS app, 'CVE-' || s_suppkey AS cve_id, 'p' || s_suppkey AS pkg_name, '1.' || (s_suppkey % 3) AS pkg_version, n_name AS host, 5.0::DOUBLE AS cvss_base FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 <> 0")
+def src_nessus(spark, sf):
+    return many.findings(many.reports(_nessus(spark, sf))).select("app", "cve_id", "pkg_name", "pkg_version", "host", "cvss_base")
+
+
+@query(f"SELECT {APP} AS app, count(CASE WHEN s_suppkey % 5 = 0 THEN 1 END) AS n FROM supplier GROUP BY 1")
+def src_nessus_skipped(spark, sf):
+    return many.skipped(many.reports(_nessus(spark, sf)))
+
+
+def _services(spark, sf) -> DataFrame:
+    """A context for each application: its nation as a service, by name or in a list."""
     k = F.col("n_nationkey")
     one = F.struct(F.col("n_name").alias("name"), F.when(k % 3 == 0, k % 3 + 1).cast("int").alias("tier"), F.when(k % 3 == 1, "High").alias("criticality"), (k % 2 == 0).alias("internet_facing"), F.array(_cat("N", k), F.upper("n_name")).alias("components"))
-    doc = table(spark, sf, "nation").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("o"), one.alias("s")))), lambda x: x["s"]).alias("services"))).alias("value"))
-    return _text(spark, doc, "services")
+    apps = _suppliers(spark, sf).select("app", "n_nationkey", "n_name").distinct()
+    listed, named = F.to_json(F.struct(F.array(one).alias("services"))), F.to_json(F.struct(F.create_map(F.col("n_name"), one).alias("services")))
+    return _files(spark, apps.select("app", F.when(k % 2 == 0, listed).otherwise(named).alias("value")), "services", "/context.json")
 
 
-@query("SELECT n_name AS name, CASE n_nationkey % 3 WHEN 0 THEN 1 ELSE 2 END AS tier, CASE n_nationkey % 3 WHEN 0 THEN 'Critical' ELSE 'High' END AS criticality, n_nationkey % 2 = 0 AS internet_facing, 'n' || n_nationkey || ',' || lower(n_name) AS components FROM nation")
+@query(f"SELECT DISTINCT {APP} AS app, n_name AS name, CASE n_nationkey % 3 WHEN 0 THEN 1 ELSE 2 END AS tier, CASE n_nationkey % 3 WHEN 0 THEN 'Critical' ELSE 'High' END AS criticality, n_nationkey % 2 = 0 AS internet_facing, 'n' || n_nationkey || ',' || lower(n_name) AS components FROM nation JOIN supplier ON s_nationkey = n_nationkey")
 def src_services(spark, sf):
-    rows = assets.read_services(spark, _services(spark, sf))
-    return rows.select("name", "tier", "criticality", "internet_facing", F.array_join("components", ",").alias("components"))
+    rows = many.services(many.contexts(_services(spark, sf)))
+    return rows.select("app", "name", "tier", "criticality", "internet_facing", F.array_join("components", ",").alias("components"))
 
 
-# ---- one application, end to end -------------------------------------------------------------------------------------
+# ---- applications, end to end -------------------------------------------------------------------------------------
 
 
 def _intel(spark, sf) -> DataFrame:
@@ -238,21 +259,20 @@ def _intel(spark, sf) -> DataFrame:
 APP_SQL = f"""WITH v AS ({TRIVY_SQL}), i AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN (s_suppkey % 10) / 10.0::DOUBLE END AS p FROM supplier WHERE s_suppkey % 5 <> 0)
     SELECT v.cve_id, CASE WHEN v.k % 2 = 1 THEN 's' || v.k ELSE v.pkg_name || '@' || v.pkg_version END AS component_ref, CASE WHEN v.k % 4 = 0 THEN 'purl' ELSE 'name@version' END AS match, CAST(2 AS BIGINT) AS fanin,
         CASE WHEN i.p IS NULL THEN 'prior' ELSE 'model' END AS p_source, i.k IS NOT NULL AS intel_found, CASE WHEN v.vector_source = 'none' AND i.k IS NOT NULL THEN 'nvd' ELSE v.vector_source END AS vector_source,
-        CASE WHEN v.vector_source = 'none' AND i.k IS NOT NULL THEN 4.0::DOUBLE ELSE v.cvss_base END AS cvss_base, n_name AS service
+        CASE WHEN v.vector_source = 'none' AND i.k IS NOT NULL THEN 4.0::DOUBLE ELSE v.cvss_base END AS cvss_base, n_name AS service, v.app
     FROM v LEFT JOIN i USING (k) JOIN supplier ON s_suppkey = v.k JOIN nation ON s_nationkey = n_nationkey"""
 
 
 @query(APP_SQL)
 def app_findings(spark, sf):
-    rows = application.score_application(spark, _bom(spark, sf), _trivy(spark, sf), _intel(spark, sf), 0.01, context=_services(spark, sf))
-    return rows.select("cve_id", "component_ref", "match", F.col("fanin").cast("long").alias("fanin"), "p_source", "intel_found", "vector_source", "cvss_base", F.array_join(F.transform("services", lambda s: s["name"]), ",").alias("service"))
+    done = application.score_applications(spark, _bom(spark, sf), _trivy(spark, sf), _intel(spark, sf), 0.01, contexts=_services(spark, sf))
+    return done.findings.select("cve_id", "component_ref", "match", F.col("fanin").cast("long").alias("fanin"), "p_source", "intel_found", "vector_source", "cvss_base", F.array_join(F.transform("services", lambda s: s["name"]), ",").alias("service"), "app")
 
 
-@query(f"WITH v AS ({TRIVY_SQL}) SELECT count(*) AS findings, count(*) AS matched, CAST(0 AS BIGINT) AS unmatched, CAST(0 AS BIGINT) AS bom_ref, count(CASE WHEN k % 4 = 0 THEN 1 END) AS purl, count(CASE WHEN k % 4 <> 0 THEN 1 END) AS name_version, CAST(0 AS BIGINT) AS fuzzy FROM v")
+@query(f"WITH v AS ({TRIVY_SQL}), a AS (SELECT DISTINCT {APP} AS app FROM supplier) SELECT app, count(k) AS findings, count(k) AS matched, CAST(0 AS BIGINT) AS unmatched, CAST(0 AS BIGINT) AS bom_ref, count(CASE WHEN k % 4 = 0 THEN 1 END) AS purl, count(CASE WHEN k % 4 <> 0 THEN 1 END) AS name_version, CAST(0 AS BIGINT) AS fuzzy, 'trivy' AS scan_format FROM a LEFT JOIN v USING (app) GROUP BY 1")
 def app_counters(spark, sf):
-    components, _, _ = scans.read_bom(spark, _bom(spark, sf))
-    found = C.correlate(scans.read_trivy(spark, _trivy(spark, sf)), components)
-    return live.counters(found, C.matched(found))
+    done = application.score_applications(spark, _bom(spark, sf), _trivy(spark, sf), _intel(spark, sf), 0.01)
+    return done.applications.select("app", "findings", "matched", "unmatched", "bom_ref", "purl", "name_version", "fuzzy", "scan_format")
 
 
 # Records of two in three suppliers; every fourth of these is published only after the freeze.
@@ -260,8 +280,8 @@ CASE_SQL = f"""WITH v AS ({TRIVY_SQL}), r AS (SELECT v.*, CASE WHEN k % 3 = 2 TH
 
 
 def _case(spark, sf) -> tuple[DataFrame, DataFrame]:
-    components, _, _ = scans.read_bom(spark, _bom(spark, sf))
-    matched = C.matched(C.correlate(scans.read_trivy(spark, _trivy(spark, sf)), components))
+    components = many.components(many.boms(_bom(spark, sf)))
+    matched = C.matched(C.correlate(many.findings(many.reports(_trivy(spark, sf))), components, by=["app"]), by=["app"])
     k = F.col("s_suppkey")
     day = F.when(k % 4 == 1, "2024-01-01").otherwise("2023-12-31").cast("timestamp")
     records = table(spark, sf, "supplier").where("s_suppkey % 3 <> 2").select(_cat("CVE-2020-", 1000 + k).alias("cve"), day.alias("published"), F.lit(4.0).alias("cvss_base"), F.when(k % 2 == 0, F.lit(3.6)).alias("cvss_impact"), F.lit(False).alias("scope_changed"), (k % 5 == 0).alias("exploited_later"))
@@ -289,6 +309,83 @@ def shard_lookup(spark, sf):
     return backtest.read_shards(spark, path).where("id_year in (2016, 2017)").select("cve", F.col("id_year").cast("int").alias("id_year"), "poc_github", "poc_exploitdb", "p_model")
 
 
+# ---- a portfolio: an application for every ten parts, its scan their line items --------------------------------------------
+
+
+def _parts(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").withColumn("app", F.floor(F.col("p_partkey") / 10).cast("string"))
+
+
+def _portfolio_boms(spark, sf) -> DataFrame:
+    """Parts with a leaf each. The root depends on those whose key ends in less than 5, these on the part five further on."""
+    k = F.col("p_partkey")
+    ref = lambda n: F.concat(F.lit("p"), n.cast("string"))
+    leaf = F.struct(_cat("leaf", k).alias("name"), F.lit("1").alias("version"))
+    comp = F.struct(ref(k).alias("bom-ref"), _cat(F.col("p_name"), " ", k).alias("name"), _s(k % 5).alias("version"), _cat("pkg:x/", k, "@", k % 5).alias("purl"), F.array(leaf).alias("components"))
+    docs = _parts(spark, sf).groupBy("app").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), comp.alias("c")))).alias("all"))
+    early = F.filter("all", lambda x: x["k"] % 10 < 5)
+    has = lambda n: F.exists("all", lambda y: y["k"] == n)
+    deps = F.transform(F.filter(early, lambda x: has(x["k"] + 5)), lambda x: F.struct(x["c"]["bom-ref"].alias("ref"), F.array(ref(x["k"] + 5)).alias("dependsOn")))
+    root = F.struct(F.lit("root").alias("ref"), F.transform(early, lambda x: x["c"]["bom-ref"]).alias("dependsOn"))
+    doc = F.struct(F.struct(F.struct(F.lit("root").alias("bom-ref"), F.lit("Shop").alias("name")).alias("component")).alias("metadata"), F.transform("all", lambda x: x["c"]).alias("components"), F.concat(F.array(root), deps).alias("dependencies"))
+    return _files(spark, docs.select("app", F.to_json(doc).alias("value")), "portfolio-bom", "/bom.json")
+
+
+def _portfolio_scans(spark, sf) -> DataFrame:
+    """A finding for each line item: by reference, by address, by name and version, or, with another version, for nothing."""
+    li = table(spark, sf, "lineitem").join(_parts(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
+    k, line = F.col("p_partkey"), F.col("l_linenumber")
+    about = F.struct(F.when(line == 1, _cat("p", k)).alias("BOMRef"), F.when(line == 2, _cat("pkg:X/", k, "@", k % 5, "#z")).alias("PURL"))
+    found = F.struct(_cat("CVE-2020-", 1000 + F.col("l_orderkey") % 400).alias("VulnerabilityID"), F.upper(_cat(F.col("p_name"), " ", k)).alias("PkgName"), F.when(line == 7, "no").otherwise(_s(k % 5)).alias("InstalledVersion"), about.alias("PkgIdentifier"), F.struct(F.struct((F.round(F.col("l_discount") * 100).cast("double")).alias("V3Score")).alias("nvd")).alias("CVSS"))
+    docs = li.groupBy("app").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", found.alias("f")))), lambda x: x["f"]).alias("Vulnerabilities"))
+    return _files(spark, docs.select("app", F.to_json(F.struct(F.array(F.struct("Vulnerabilities")).alias("Results"))).alias("value")), "portfolio-scan", "/scan.json")
+
+
+def _portfolio_intel(spark, sf) -> DataFrame:
+    j = F.col("j")
+    known = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 400).alias("j")).distinct().where("j % 3 <> 0")
+    return known.select(
+        _cat("CVE-2020-", 1000 + j).alias("cve"), F.when(j % 2 == 0, (j % 10) / 10.0).alias("p_model"), ((j % 7) / 8.0).alias("epss"), (j % 11 == 0).alias("kev"), (j % 3 == 0).alias("poc_github"), F.lit(False).alias("poc_exploitdb"), F.lit(3.6).alias("cvss_impact"), (j % 4 == 0).alias("scope_changed"), F.lit(4.0).alias("cvss_base"),
+        F.array(F.struct(F.lit(0).alias("idx"), F.lit(0.5).alias("value")), F.struct(F.lit(1).alias("idx"), F.lit(-0.25).alias("value"))).alias("contrib"),
+    )
+
+
+def _portfolio_contexts(spark, sf) -> DataFrame:
+    """Applications with an even number have one service, which the root's name fits."""
+    apps = _parts(spark, sf).where(F.col("app").cast("int") % 2 == 0).select("app").distinct()
+    return _files(spark, apps.select("app", F.lit('{"services": {"shop": {"tier": 1, "internet_facing": true}}}').alias("value")), "portfolio-context", "/context.json")
+
+
+PORTFOLIO_SQL = """WITH f AS (SELECT p_partkey // 10 AS a, p_partkey AS k, l_orderkey % 400 AS j, p_name, l_linenumber AS line, CAST(round(l_discount * 100) AS DOUBLE) AS base, row_number() OVER (PARTITION BY p_partkey, l_orderkey % 400 ORDER BY l_orderkey, l_linenumber, l_partkey, round(l_discount * 100)) AS nth
+        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <> 7),
+    m AS (SELECT *, j % 3 <> 0 AS known, CASE WHEN k % 10 < 5 THEN 1 WHEN k - 5 IN (SELECT p_partkey FROM part) THEN 2 ELSE 0 END AS fanin, a % 2 = 0 AS ctx FROM f WHERE nth = 1),
+    x AS (SELECT a, max(CASE WHEN p_partkey % 10 < 5 THEN 1 WHEN p_partkey - 5 IN (SELECT p_partkey FROM part) THEN 2 ELSE 0 END) AS most FROM (SELECT *, p_partkey // 10 AS a FROM part) GROUP BY 1),
+    e AS (SELECT m.*, CASE WHEN known AND base = 0 THEN 4.0::DOUBLE ELSE base END AS b, CASE WHEN known THEN 3.6::DOUBLE ELSE least(base * 0.6::DOUBLE, 6.0::DOUBLE) END AS imp, CASE WHEN known AND j % 2 = 0 THEN (j % 10) / 10.0::DOUBLE ELSE 0.01::DOUBLE END AS p,
+        CASE WHEN known THEN (j % 7) / 8.0::DOUBLE ELSE 0.0::DOUBLE END AS epss, known AND j % 11 = 0 AS kev, known AND j % 4 = 0 AS scope, CASE WHEN NOT ctx THEN 1.0::DOUBLE WHEN fanin > 0 THEN 1.5::DOUBLE * 1.2::DOUBLE * 1.0::DOUBLE ELSE 1.25::DOUBLE END AS crit, most FROM m JOIN x USING (a)),
+    r AS (SELECT *, p * 0.5::DOUBLE + epss * 0.3::DOUBLE + CASE WHEN kev THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS likelihood, (least(1.0::DOUBLE, imp / 6.0::DOUBLE) * 0.5::DOUBLE + CASE WHEN most > 0 THEN CAST(fanin AS DOUBLE) / most ELSE 0.0::DOUBLE END * 0.5::DOUBLE) * crit AS impact FROM e),
+    s AS (SELECT *, 100.0::DOUBLE * likelihood * impact * CASE WHEN scope THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END AS raw FROM r)"""
+
+
+def _portfolio(spark, sf) -> application.Portfolio:
+    return application.score_applications(spark, _portfolio_boms(spark, sf), _portfolio_scans(spark, sf), _portfolio_intel(spark, sf).drop("contrib"), 0.01, contexts=_portfolio_contexts(spark, sf))
+
+
+@query(PORTFOLIO_SQL + """ SELECT CAST(a AS VARCHAR) AS app, row_number() OVER (PARTITION BY a ORDER BY raw DESC, b DESC, 'CVE-2020-' || (1000 + j), 'p' || k) AS rank, 'CVE-2020-' || (1000 + j) AS cve, p_name || ' ' || k AS component, CAST(k % 5 AS VARCHAR) AS version,
+    row_number() OVER (PARTITION BY a ORDER BY floor(b * 10 * 100 + 0.5) / 100 DESC, b DESC, 'CVE-2020-' || (1000 + j), 'p' || k) AS rank_cvss, CAST(b * 10 AS DOUBLE) AS score_cvss, p AS p_model, CASE WHEN known AND j % 2 = 0 THEN 'model' ELSE 'prior' END AS p_source, epss, kev, b AS cvss_base,
+    CAST(fanin AS BIGINT) AS fanin, crit AS crit_mult, CASE WHEN ctx AND fanin > 0 THEN 'shop' ELSE '' END AS services, CASE WHEN known THEN 'Network attack vector 0.5, CWE-79 -0.25' ELSE '' END AS top_features FROM s""")
+def portfolio_response(spark, sf):
+    """Ranked answers for every application at once."""
+    out = application.response(_portfolio(spark, sf).findings, _portfolio_intel(spark, sf), ["av_N", "cwe_79"])
+    told = F.array_join(F.transform("top_features", lambda t: F.concat_ws(" ", t["feature"], t["contribution"].cast("string"))), ", ")
+    return out.select("app", "rank", "cve", "component", "version", "rank_cvss", "score_cvss", "p_model", "p_source", "epss", "kev", "cvss_base", F.col("fanin").cast("bigint").alias("fanin"), "crit_mult", F.array_join("services", ",").alias("services"), told.alias("top_features"))
+
+
+@query("""WITH f AS (SELECT p_partkey // 10 AS a, p_partkey AS k, l_orderkey % 400 AS j, l_linenumber AS line FROM lineitem JOIN part ON l_partkey = p_partkey), d AS (SELECT a, count(DISTINCT (k, j)) AS matched FROM f WHERE line <> 7 GROUP BY 1), apps AS (SELECT DISTINCT p_partkey // 10 AS a FROM part)
+    SELECT CAST(a AS VARCHAR) AS app, 'Shop' AS root_name, count(line) AS findings, coalesce(any_value(matched), 0) AS matched, count(CASE WHEN line = 7 THEN 1 END) AS unmatched, count(CASE WHEN line = 1 THEN 1 END) AS bom_ref, count(CASE WHEN line = 2 THEN 1 END) AS purl, count(CASE WHEN line BETWEEN 3 AND 6 THEN 1 END) AS name_version FROM apps LEFT JOIN f USING (a) LEFT JOIN d USING (a) GROUP BY a""")
+def portfolio_counters(spark, sf):
+    return _portfolio(spark, sf).applications.select("app", "root_name", "findings", "matched", "unmatched", "bom_ref", "purl", "name_version")
+
+
 # ---- the feature table -------------------------------------------------------------------------------------------------
 
 # A record is exploited if its key leaves 3 on division by 8; rates are smoothed towards the share of all.

@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagegrid import constants as K
-from triagegrid.operators import asof, ml, ranking
+from triagegrid.operators import asof, boosting, ml, ranking
 from triagegrid.operators.features import Encoder, poc_flags
-from triagegrid.session import persisted
+from triagegrid.session import discard, persisted
 
 # What each model sees besides the features that all share.
 VARIANTS = {"model_no_epss": (), "model_with_epss": ("epss",), "model_time_features": ("days_since_publish", "published_year")}
 
 
 class TrainingRun(NamedTuple):
-    """Ranking metrics by ranker, on all test rows and on those with a CVSS score; importances; mean size of contributions; what was fitted."""
+    """Ranking metrics by ranker, on all test rows and on those with a CVSS score; importances; mean size of contributions; what was fitted, with its calibration, by name."""
 
     table: DataFrame
     scored: DataFrame
@@ -25,14 +25,16 @@ class TrainingRun(NamedTuple):
     contributions: DataFrame
     encoder: Encoder
     models: dict
+    lines: dict[str, tuple[float, float]]
 
 
-def train(spark: SparkSession, table: DataFrame, today: Column, years: tuple[int, int] = K.TRAIN_YEARS, validation_year: int = K.VALIDATION_YEAR, test_year: int = K.TEST_YEAR, trees: bool = True, rounds: int = 600) -> TrainingRun:
+def train(spark: SparkSession, table: DataFrame, today: Column, years: tuple[int, int] = K.TRAIN_YEARS, validation_year: int = K.VALIDATION_YEAR, test_year: int = K.TEST_YEAR, trees: bool = True, settings: boosting.Settings = boosting.Settings()) -> TrainingRun:
     """Fit every variant and a linear model on the training years, rank the test year by each and by the two given scores.
 
     The label is being listed as exploited. A split without rows or without
     positives: ValueError. Models are calibrated on the validation year; ranks do
-    not depend on that. With trees=False all models are linear.
+    not depend on that. The encoded matrix is written once, and the variants, which
+    take other columns of it, are fitted together. With trees=False all models are linear.
     """
     rows = poc_flags(table).withColumn("__y", F.col("kev_date_added").isNotNull().cast("int"))
     rows = rows.withColumn("__split", asof.split_of(F.year("published"), years, validation_year, test_year)).where("__split is not null")
@@ -42,26 +44,47 @@ def train(spark: SparkSession, table: DataFrame, today: Column, years: tuple[int
     for name in ("train", "validation", "test"):
         if not seen.get(name):
             raise ValueError(f"the {name} split has no rows or none that is positive")
-    part = lambda n: rows.where(F.col("__split") == n)
-    encoder = Encoder(part("train"), "__y")
-    scores = part("test").select("cve", "__y", "cvss_missing", F.coalesce("cvss_base", F.lit(-1.0)).alias("cvss"), "epss")
-    models, primary = {}, None
-    for key, include in [*VARIANTS.items(), ("logreg_no_epss", ())]:
-        names = encoder.names(include)
-        x, v, t = encoder.transform(part("train"), include, out_of_fold=True), encoder.transform(part("validation"), include), encoder.transform(part("test"), include)
-        linear = key.startswith("logreg") or not trees
-        models[key] = ml.fit_logistic(x, names, "__y") if linear else ml.fit_trees(x, v, names, "__y", rounds=rounds)
-        predicted = models[key].transform(t)
+    encoder = Encoder(rows.where("__split = 'train'"), "__y")
+    extra = tuple(dict.fromkeys(c for include in VARIANTS.values() for c in include))
+    # Training rows are encoded out of fold, all others by what all training rows say.
+    own = encoder.transform(rows.where("__split = 'train'"), extra, out_of_fold=True).unionByName(encoder.transform(rows.where("__split <> 'train'"), extra))
+    cvss = F.when(F.col("cvss_missing") == 1, F.lit(-1.0)).otherwise(F.col("cvss_base"))
+    wide = own.select("cve", "__y", "__split", "cvss_missing", cvss.alias("cvss"), *[F.col(c).cast("double").alias(c) for c in encoder.names(extra) if c != "cvss_missing"])
+    wide = persisted(spark, wide, "training-matrix")
+    part = lambda n: wide.where(F.col("__split") == n)
+    names = encoder.names()
+    models: dict = {}
+    lines: dict[str, tuple[float, float]] = {}
+    linear = ["logreg_no_epss"] if trees else [*VARIANTS, "logreg_no_epss"]
+    scores = part("test").select("cve", "__y", "cvss_missing", "cvss", "epss")
+    for key in linear:
+        models[key] = ml.fit_logistic(part("train"), encoder.names(VARIANTS.get(key, ())), "__y")
+        tried = models[key].transform(part("validation"))
+        lines[key] = ml.calibrate(tried.select(ml.margin(tried, models[key]).alias("__margin"), "__y"), "__margin", "__y")
+        predicted = models[key].transform(part("test"))
         scores = scores.join(predicted.select("cve", ml.margin(predicted, models[key]).alias(key)), "cve")
-        if key == "logreg_no_epss":
-            primary = predicted
+    if trees:
+        told = F.array(*[F.struct(F.lit(i).alias("model"), F.array(*[F.col(n).cast("double") for n in encoder.names(include)]).alias("x")) for i, include in enumerate(VARIANTS.values())])
+        m = wide.select("cve", F.col("__split").alias("role"), F.xxhash64("cve").alias("key"), F.col("__y").alias("y"), F.explode(told).alias("__v")).select("cve", "role", "key", "y", "__v.model", "__v.x")
+        fitted = boosting.fit(spark, m.where("role in ('train', 'validation')"), settings)
+        done = persisted(spark, boosting.score(m.where("role <> 'train'"), fitted, contributions=True).drop("x"), "training-margins")
+        found = boosting.platt(done.where("role = 'validation'"))
+        test = done.where("role = 'test'")
+        for i, key in enumerate(VARIANTS):
+            models[key], lines[key] = fitted[i], found[i]
+            scores = scores.join(test.where(F.col("model") == i).select("cve", F.col("margin").alias(key)), "cve")
+        values, of = test.where("model = 0").select("contributions"), F.col("contributions")
+        gains = dict(zip(names, models["model_no_epss"].gains().tolist()))
+        importance = sorted(gains.items(), key=lambda x: (-x[1], x[0]))[:15]
+    else:
+        values, of = models["model_no_epss"].transform(part("test")), ml.linear_contributions(models["model_no_epss"])
+        importance = ml.importance(models["model_no_epss"], names)
     scores = persisted(spark, scores, "training-scores")
-    # Sizes of contributions are those of the linear model, which are exact.
-    names = encoder.names()
-    each = primary.select(F.posexplode(ml.linear_contributions(models["logreg_no_epss"])).alias("i", "v")).groupBy("i").agg(F.avg(F.abs("v")).alias("mean_abs"))
-    told = F.array(*map(F.lit, names))
-    contributions = each.select(F.get(told, F.col("i")).alias("feature"), "mean_abs").orderBy(F.desc("mean_abs"), "feature").limit(15)
-    return TrainingRun(compare(scores), compare(scores.where("cvss_missing = 0")), ml.importance(models["model_no_epss"], names), contributions, encoder, models)
+    each = values.select(F.posexplode(of).alias("i", "v")).groupBy("i").agg(F.avg(F.abs("v")).alias("mean_abs"))
+    said = F.array(*map(F.lit, names))
+    contributions = each.select(F.get(said, F.col("i")).alias("feature"), "mean_abs").orderBy(F.desc("mean_abs"), "feature").limit(15)
+    discard(spark, rows)
+    return TrainingRun(compare(scores), compare(scores.where("cvss_missing = 0")), importance, contributions, encoder, models, lines)
 
 
 def compare(scores: DataFrame) -> DataFrame:
