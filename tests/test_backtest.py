@@ -1,11 +1,12 @@
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from triagegrid.operators import features
-from triagegrid.plans import backtest
+from triagegrid.operators import asof, boosting, features, nested, rates
+from triagegrid.plans import backtest, training
 
 VECTORS = ["CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", "CVSS:3.1/AV:L/AC:H/PR:H/UI:R/S:C/C:L/I:N/A:N", None]
 
@@ -66,5 +67,59 @@ def test_backtest(spark, table, tmp_path):
     assert shard.count() == table.where("cve like 'CVE-2021-%'").count() and shard.where("poc_github and poc_mask % 2 = 0").count() == 0
 
 
+SMALL = boosting.Settings(rounds=12, step=0.3, leaves=4, least=20, patience=10)
+
+
+def test_frozen_scores_of_trees_are_those_of_fold_by_fold(spark, table):
+    at = F.lit("2023-01-01").cast("timestamp")
+    scores = {r["cve"]: r["p_model"] for r in backtest.frozen_scores(spark, table, at, folds=2, settings=SMALL).collect()}
+    assert len(scores) == table.count() and all(0 <= p <= 1 for p in scores.values())
+    rows = features.poc_flags(table, at).withColumn("y", asof.known(F.col("kev_date_added"), at).cast("int")).withColumn("split", asof.frozen_split_of(F.col("published"), at))
+    rows = rows.withColumn("f", rates.fold_of(F.col("cve"), 2)).withColumn("g", rates.fold_of(F.col("cve"), seed=43)).cache()
+    # Fold 0 by itself: its rows are not there when the model of the others is made, so that model is the one of all rows.
+    others = rows.where("split <> 'train' or split is null or f <> 0").withColumn("f", F.lit(0))
+    alone = nested.matrix(others, "y", "split", "f", "g", 1).where("model = 1").withColumn("key", F.xxhash64("cve")).cache()
+    model = boosting.fit(spark, alone.where("role <> 'score'"), SMALL)
+    line = boosting.platt(boosting.score(alone.where("role = 'validation'").drop("key"), model))[1]
+    together = nested.matrix(rows, "y", "split", "f", "g", 2).where("model = 0 and role = 'score'")
+    held = boosting.score(together.withColumn("model", F.lit(1)), model).collect()
+    assert len(held) == rows.where("split = 'train' and f = 0").count() > 50
+    for r in held:
+        assert abs(scores[r["cve"]] - 1 / (1 + math.exp(-(line[0] * r["margin"] + line[1])))) < 1e-9
+
+
+def test_no_model_knows_the_rows_that_it_scores(spark, table):
+    rows = table.withColumn("y", F.col("kev_date_added").isNotNull().cast("int")).withColumn("split", F.when(F.year("published") < 2022, "train").when(F.year("published") == 2022, "validation"))
+    rows = features.poc_flags(rows).withColumn("f", rates.fold_of(F.col("cve"), 3)).withColumn("g", rates.fold_of(F.col("cve"), seed=43)).cache()
+    at = nested.feature_names().index("vendor_kev_rate")
+    get = lambda df: {(r["model"], r["role"], r["cve"]): r["x"] for r in nested.matrix(df, "y", "split", "f", "g", 3).collect()}
+    before = get(rows)
+    one = rows.where("split = 'train' and y = 1").select("cve", "f", "g", "vendor").first()
+    after = get(rows.withColumn("y", F.when(F.col("cve") == one["cve"], 0).otherwise(F.col("y"))))
+    # Its label is not in its own row for any model, nor in any row of the model that scores it.
+    assert set(before) == set(after)
+    changed = {k for k in before if before[k] != after[k]}
+    assert changed and not [k for k in changed if k[2] == one["cve"] and k[1] == "train"] and not [k for k in changed if k[0] == one["f"]]
+    brute = rows.where(f"split = 'train' and f <> 1 and vendor = '{one['vendor']}'").agg(F.sum("y"), F.count("y")).first()
+    prior = rows.where("split = 'train' and f <> 1").agg(F.avg("y")).first()[0]
+    want = (brute[0] + 20 * prior) / (brute[1] + 20)
+    some = rows.where(f"split = 'train' and f = 1 and vendor = '{one['vendor']}'").first()["cve"]
+    assert abs(before[1, "score", some][at] - want) < 1e-12
+
+
+def test_training_run_with_trees(spark, table):
+    run = training.train(spark, table, F.lit("2024-01-01").cast("timestamp"), years=(2019, 2021), validation_year=2022, test_year=2023, settings=SMALL._replace(rounds=10))
+    got = {r["ranker"]: r for r in run.table.collect()}
+    assert set(got) == {"cvss", "epss", *training.VARIANTS, "logreg_no_epss"}
+    n = table.where("year(published) = 2023").count()
+    assert all(r["n"] == n for r in got.values()) and got["model_no_epss"]["roc_auc"] > 0.7
+    assert all(r["n"] == table.where("year(published) = 2023 and cvss_missing = 0").count() for r in run.scored.collect())
+    assert set(run.lines) == set(run.models) == {*training.VARIANTS, "logreg_no_epss"} and all(a > 0 for a, _ in run.lines.values())
+    assert len(run.importance) == 15 and run.importance[0][1] > 0 and run.contributions.count() == 15
+    assert run.contributions.first()["feature"] in dict(run.importance)
+    with pytest.raises(ValueError, match="test"):
+        training.train(spark, table, F.lit("2024-01-01").cast("timestamp"), years=(2019, 2021), validation_year=2022, test_year=2030, trees=False)
+
+
 def test_gate():
     assert backtest.gate(0.9, False, True) == [] and len(backtest.gate(0.7, True, False)) == 3

@@ -43,4 +43,12 @@ def persisted(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: later reads survive lost executors."""
     path = shared_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Delete a table that persisted() wrote, when nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
