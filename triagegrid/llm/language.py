@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -72,46 +73,68 @@ class LanguageModel:
         return self.langs[best], float(p[best])
 
 
-def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> LanguageModel:
-    """Fit on (text, lang) rows by mini-batch SGD in numpy.
+class Example(NamedTuple):
+    """A text as the shares of its subwords: kind is text, window, head (a held-back text's beginning) or foreign (the same with its letters in another order)."""
 
-    Each text counts once whole and twice as a random window of 20 to 200
-    characters, so that short texts are learned too. A fifth of the rows is
-    held back: on it the temperature is chosen by log loss, and reject_below is the
-    quantile that leaves REJECTED of what must stay below it: right answers, and
-    texts half in one known language and half in another, which are made of
-    held-back ones. foreign_rejected tells how many texts of no known language
+    key: int
+    kind: str
+    lang: str
+    at: np.ndarray
+    share: np.ndarray
+
+
+def held_back(key: int) -> bool:
+    return key % 5 == 0
+
+
+def examples(key: int, text: str, lang: str) -> Iterator[Example]:
+    """What is learned from a text: itself and two windows of 20 to 200 characters; of a held-back one also head and foreign. Chance comes from the key."""
+    rng = np.random.default_rng(key % (1 << 63))
+
+    def shares(kind: str, part: str) -> Example:
+        c = subword_counts(part)
+        at = np.flatnonzero(c)
+        return Example(key, kind, lang, at.astype(np.uint16), (c[at] / max(1.0, c.sum())).astype(np.float32))  # BITS are fewer than 16
+
+    yield shares("text", text)
+    for _ in range(2):
+        n = int(rng.integers(20, 201))
+        at = int(rng.integers(0, max(1, len(text) - n)))
+        if has_letter(text[at : at + n]):
+            yield shares("window", text[at : at + n])
+    if held_back(key):
+        yield shares("head", text[:2000])
+        yield shares("foreign", "".join(rng.permutation(list(text[:2000]))))
+
+
+def train(rows: list[tuple[str, str]], **how) -> LanguageModel:
+    """fit() on (text, lang) rows."""
+    return fit([e for i, (text, lang) in enumerate(sorted(rows)) for e in examples(i, text, lang)], **how)
+
+
+def fit(given: list[Example], dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> LanguageModel:
+    """Fit on examples by mini-batch SGD in numpy.
+
+    A fifth of the texts is held back: on it the temperature is chosen by log loss (texts in two languages count half for each),
+    and reject_below is the quantile that leaves REJECTED of what must stay below
+    it: right answers, and texts half in one known language and half in another,
+    which are two held-back ones' heads in equal parts. foreign_rejected tells how many texts of no known language
     (held-back ones with their letters in another order) it rejects.
     """
     rng = np.random.default_rng(seed)
-    rows = sorted(rows)
-    langs = sorted({x for _, x in rows})
+    given = sorted(given, key=lambda e: (e.key, e.kind, e.lang, len(e.at)))
+    langs = sorted({e.lang for e in given})
     if not langs:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
-    order = rng.permutation(len(rows))
-    held = set(order[: len(rows) // 5].tolist()) if len(rows) >= 50 else set()
-
-    def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
-        c = subword_counts(text)
-        at = np.flatnonzero(c)
-        return at.astype(np.uint16), (c[at] / max(1.0, c.sum())).astype(np.float32)  # BITS are fewer than 16; the sample is the driver's largest table
-
-    fit, check, mixed, foreign, last = [], [], [], [], ("", "")
-    for i, (text, lang) in enumerate(rows):
-        own = check if i in held else fit
-        own.append((*sparse(text), langs.index(lang)))
-        if own is check:
-            part = text[:2000]
-            if last[1] not in ("", lang):
-                size = min(len(part), len(last[0]))
-                mixed.append(sparse(last[0][:size] + " " + part[:size]))
-            foreign.append(sparse("".join(rng.permutation(list(part)))))
-            last = (part, lang)
-        for _ in range(2):
-            n = int(rng.integers(20, 201))
-            at = int(rng.integers(0, max(1, len(text) - n)))
-            if has_letter(text[at : at + n]):
-                own.append((*sparse(text[at : at + n]), langs.index(lang)))
+    number = {lang: i for i, lang in enumerate(langs)}
+    known = [(e.at, e.share, number[e.lang]) for e in given if e.kind in ("text", "window") and not held_back(e.key)]
+    check = [(e.at, e.share, number[e.lang]) for e in given if e.kind in ("text", "window") and held_back(e.key)]
+    heads = [e for e in given if e.kind == "head"]
+    foreign = [(e.at, e.share) for e in given if e.kind == "foreign"]
+    mixed = [(np.concatenate([a.at, b.at]), np.concatenate([a.share, b.share]) / 2, number[a.lang], number[b.lang]) for a, b in zip(heads, heads[1:]) if a.lang != b.lang]
+    if not known:
+        known, check = check, []
+    fit = known
     size = 1 << BITS
     emb = rng.normal(0, 0.1, (size, dim)).astype(np.float32)
     out = np.zeros((dim, len(langs)), np.float32)
@@ -143,24 +166,31 @@ def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: flo
             return p / p.sum(1, keepdims=True)
 
         z = logits(check)
-        log_loss = lambda t: -float(np.log(spread(z, t)[np.arange(len(y)), y] + 1e-12).mean())
+        both = logits(mixed) if mixed else np.zeros((0, len(langs)))
+        told = lambda p, ks: np.log(p[np.arange(len(p)), ks] + 1e-12)
+
+        def log_loss(t: float) -> float:
+            """Of held-back answers, and of texts in two languages, where half the probability belongs to each."""
+            half = [told(spread(both, t), np.array([m[i] for m in mixed], int)) / 2 for i in (2, 3)]
+            return -float((told(spread(z, t), y).sum() + half[0].sum() + half[1].sum()) / (len(y) + len(mixed)))
+
         model.temperature = min((0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=log_loss)
         p = spread(z, model.temperature)
         stay = p.max(1)[p.argmax(1) == y]
         if mixed:
-            stay = np.concatenate([stay, spread(logits(mixed), model.temperature).max(1)])
+            stay = np.concatenate([stay, spread(both, model.temperature).max(1)])
         if len(stay):
             model.reject_below = float(np.quantile(stay, REJECTED))
         model.foreign_rejected = float((spread(logits(foreign), model.temperature).max(1) < model.reject_below).mean())
     return model
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1200, longest: int = 20_000) -> LanguageModel:
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1200, longest: int = 4_000) -> LanguageModel:
     """Train on a bounded sample of labelled rows: about per_lang texts of each language, of at most longest characters.
 
     Rows are chosen by a hash of their id, alike at every size; of a longer text
     the sample holds a window of that length, which starts at a place chosen by the
-    hash. Texts that are null or have no letter and null languages are not learned
+    hash. Tasks send the subwords of the sample, not its texts. Texts that are null or have no letter and null languages are not learned
     from; an empty table gives a model that answers UNKNOWN.
     """
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
@@ -168,8 +198,21 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = known.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
     chance = F.pmod(F.xxhash64("i", F.lit(9)), F.lit(1_000_003)) * F.col("n") < F.lit(per_lang) * 1_000_003
     at = F.pmod(F.xxhash64("i", F.lit(10)), F.greatest(F.lit(1), F.length("t") - longest + 1)).cast("int") + 1
-    chosen = known.join(counts, "l").where(chance).select(F.substring("t", at, F.lit(longest)).alias("t"), "l").where(F.col("t").rlike(r"\p{L}"))
-    return train([(r["t"], r["l"]) for r in chosen.collect()])
+    key = F.xxhash64("i", F.lit(11)).bitwiseAND((1 << 62) - 1)
+    chosen = known.join(counts, "l").where(chance).select(key.alias("key"), F.substring("t", at, F.lit(longest)).alias("t"), "l").where(F.col("t").rlike(r"\p{L}"))
+    ensure_workers(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(3))):
+                made = list(examples(*row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([e.key for e in made]), pa.array([e.kind for e in made]), pa.array([e.lang for e in made], pa.string()), pa.array([e.at.tobytes() for e in made], pa.binary()), pa.array([e.share.tobytes() for e in made], pa.binary())],
+                    names=["key", "kind", "lang", "at", "share"],
+                )
+
+    sent = chosen.mapInArrow(run, "key bigint, kind string, lang string, at binary, share binary").collect()
+    return fit([Example(r["key"], r["kind"], r["lang"], np.frombuffer(r["at"], np.uint16), np.frombuffer(r["share"], np.float32)) for r in sent])
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
