@@ -8,11 +8,12 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from triagegrid import constants as K
 from triagegrid.functions import cvss, text
 from triagegrid.operators.rows import keep_first, keep_last
+from triagegrid.sources import ranges
 
 _METRIC = "array<struct<source:string,type:string,cvssData:struct<version:string,vectorString:string,baseScore:double>,exploitabilityScore:double,impactScore:double>>"
 ITEM = (
@@ -22,7 +23,6 @@ ITEM = (
     "configurations:array<struct<nodes:array<struct<operator:string,negate:boolean,cpeMatch:array<struct<vulnerable:boolean,criteria:string>>>>>>,"
     "affected:array<struct<affectedData:array<struct<vendor:string,product:string,cpes:array<string>>>>>>"
 )
-WRAPPED = f"array<struct<cve:{ITEM}>>"
 
 
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -44,18 +44,14 @@ def spark_type(ddl: str) -> StructType:
     return StructType.fromDDL(f"x {ddl}")["x"].dataType  # type: ignore[return-value]
 
 
-def records(documents: DataFrame) -> DataFrame:
-    """(path, item_ord, item) of all records, whichever of the four document shapes holds them; those without an id are left out."""
-    body = F.col("body")
-    shapes = F.from_json(body, f"struct<cve_items:array<{ITEM}>,vulnerabilities:{WRAPPED}>")
-    # Items of the older list may stand for themselves or be wrapped like those of the newer one.
-    either = F.from_json(body, f"struct<CVE_Items:array<{ITEM[:-1]},cve:{ITEM}>>>")
-    names = [x.name for x in spark_type(ITEM).fields]
-    older = F.transform(either["CVE_Items"], lambda w: F.coalesce(w["cve"], F.struct(*[w[n].alias(n) for n in names])))
-    listed = F.from_json(body, f"array<{ITEM}>")
-    bare = body.rlike(r"^\s*\[")
-    items = F.when(bare, listed).otherwise(F.coalesce(shapes["cve_items"], F.transform(shapes["vulnerabilities"], lambda w: w["cve"]), older))
-    return documents.select("path", F.posexplode(items).alias("item_ord", "item")).where("item.id is not null")
+def records(found: DataFrame) -> DataFrame:
+    """(path, item_ord, item) of ranges.read_records(): a record stands for itself or under cve; what has no id is none."""
+    item = spark_type(ITEM)
+    both = StructType([*item.fields, StructField("cve", item)])
+    names = item.fieldNames()
+    parsed = found.select("path", "item_ord", F.from_json("body", both).alias("w"))
+    own = F.struct(*[F.col(f"w.{n}").alias(n) for n in names])
+    return parsed.select("path", "item_ord", F.when(F.col("w.cve").isNotNull() & F.col("w.id").isNull(), F.col("w.cve")).otherwise(own).alias("item")).where("length(item.id) > 0")
 
 
 def _first(values: Column) -> Column:
@@ -103,15 +99,17 @@ def flat_records(items: DataFrame) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, path: str, of_years: Sequence[int] | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, of_years: Sequence[int] | None = None, split: int = ranges.SPLIT) -> DataFrame:
     """All records of the files at path, flat; of a CVE in several files the last counts, by file name and place.
 
+    Large plain files are read in ranges of split bytes.
+
     With of_years path is a folder of which each year's file CVE-<year>.json is
     read, packed as .xz rather than .gz rather than plain; years without one are
     passed over, and ValueError if there is none at all. Then the last year's record counts.
     """
     if of_years is None:
-        return keep_last(flat_records(records(read_documents(spark, path))), ["cve"], ["path", "item_ord"]).drop("path", "item_ord")
+        return keep_last(flat_records(records(ranges.read_records(spark, path, split))), ["cve"], ["path", "item_ord"]).drop("path", "item_ord")
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "CVE-*.json*").load(path).select("path")
     name = F.regexp_extract("path", r"CVE-(\d{4})\.json(\.xz|\.gz|)$", 1)
     packed = F.regexp_extract("path", r"CVE-\d{4}\.json(\.xz|\.gz|)$", 1)
@@ -119,9 +117,9 @@ def read_records(spark: SparkSession, path: str, of_years: Sequence[int] | None
     chosen = listed.where(name.isin([str(y) for y in of_years])).groupBy(name.alias("year")).agg(F.min_by("path", order).alias("path")).collect()
     if not chosen:
         raise ValueError(f"no records of {list(of_years)} at {path}")
-    documents = read_documents(spark, [r["path"] for r in chosen])
+    found = ranges.read_records(spark, [r["path"] for r in chosen], split)
     year = F.regexp_extract("path", r"CVE-(\d{4})\.json", 1)
-    return keep_last(flat_records(records(documents)).withColumn("__y", year), ["cve"], ["__y", "item_ord"]).drop("path", "item_ord", "__y")
+    return keep_last(flat_records(records(found)).withColumn("__y", year), ["cve"], ["__y", "item_ord"]).drop("path", "item_ord", "__y")
 
 
 def read_exploited(spark: SparkSession, path: str) -> DataFrame:
