@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagegrid import constants as K
-from triagegrid.functions.numbers import half_up, sigmoid
+from triagegrid.functions.numbers import half_even, half_up, sigmoid
 from triagegrid.operators import asof, boosting, ml, nested, ranking, rates, scoring
 from triagegrid.operators.features import Encoder, poc_flags
 from triagegrid.session import discard, persisted
@@ -143,7 +143,8 @@ def write_ablation(ablation: DataFrame, path: str) -> None:
 def write_shards(intel: DataFrame, path: str, files: int = 8) -> None:
     """Intelligence by the year in the CVE's name, so that a lookup reads its year's files alone."""
     mask = F.col("poc_github").cast("int") + F.col("poc_exploitdb").cast("int") * 2
-    rows = intel.select("cve", F.bround("p_model", 5).alias("p_model"), F.bround("epss", 5).alias("epss"), "kev", mask.alias("poc_mask"), F.bround("cvss_impact", 1).alias("cvss_impact"), "scope_changed", F.bround("cvss_base", 1).alias("cvss_base"), F.substring("cve", 5, 4).cast("int").alias("id_year"))
+    rounded = lambda c, n: half_even(F.nanvl(c, F.lit(None).cast("double")), n).alias(c)
+    rows = intel.select("cve", rounded("p_model", 5), rounded("epss", 5), "kev", mask.alias("poc_mask"), rounded("cvss_impact", 1), "scope_changed", rounded("cvss_base", 1), F.substring("cve", 5, 4).cast("int").alias("id_year"))
     # A year's rows are dealt over a few tasks, so that the largest year is not one task's.
     rows.repartition("id_year", F.pmod(F.xxhash64("cve"), F.lit(files))).write.partitionBy("id_year").mode("overwrite").parquet(path)
 
@@ -151,3 +152,15 @@ def write_shards(intel: DataFrame, path: str, files: int = 8) -> None:
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
     return rows.withColumn("poc_github", F.col("poc_mask").bitwiseAND(1) > 0).withColumn("poc_exploitdb", F.col("poc_mask").bitwiseAND(2) > 0)
+
+
+def lookup(shards: DataFrame, findings: DataFrame, key: str = "cve_id") -> DataFrame:
+    """findings with what the shards of read_shards() know of their CVE, null where they know nothing.
+
+    Which years are read is told at run time by the findings' own years (at most one
+    for each four digits, broadcast), so shards of other years are not opened.
+    """
+    year = F.col(key).substr(5, 4).try_cast("int")
+    years = findings.where(F.col(key).like("CVE-%-%")).select(year.alias("id_year")).where("id_year is not null").distinct()
+    known = shards.join(F.broadcast(years), "id_year", "left_semi").drop("id_year")
+    return findings.join(known, findings[key] == known["cve"], "left").drop("cve")
