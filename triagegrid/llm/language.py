@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagegrid.llm.common import ensure_workers
+from triagegrid.llm.common import ensure_workers, frugal
 
 UNKNOWN = "und"
 BITS = 14
@@ -211,7 +211,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     names=["key", "kind", "lang", "at", "share"],
                 )
 
-    sent = chosen.mapInArrow(run, "key bigint, kind string, lang string, at binary, share binary").collect()
+    sent = chosen.mapInArrow(frugal(run), "key bigint, kind string, lang string, at binary, share binary").collect()
     return fit([Example(r["key"], r["kind"], r["lang"], np.frombuffer(r["at"], np.uint16), np.frombuffer(r["share"], np.float32)) for r in sent])
 
 
@@ -241,7 +241,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, id_col:
             cols += [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] == UNKNOWN or g[1] < m.reject_below for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, *(prefix + c for c in ("lang_pred", "score", "rejected"))])
 
-    return src.mapInArrow(run, ddl)
+    return src.mapInArrow(frugal(run), ddl)
 
 
 def held_out(id_col: str = "doc_id"):

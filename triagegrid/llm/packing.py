@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triagegrid.llm.common import ensure_workers, materialize
+from triagegrid.llm.common import ensure_workers, frugal, materialize
 
 WINDOW = 2048
 END_ID = 1
@@ -69,7 +69,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc
                 names=["doc_id", "part", "local_start", "n", "ids"],
             )
 
-    return src.mapInArrow(run, f"doc_id {kind}, part int, local_start bigint, n bigint, ids binary")
+    return src.mapInArrow(frugal(run), f"doc_id {kind}, part int, local_start bigint, n bigint, ids binary")
 
 
 def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, added: bool = False) -> DataFrame:
@@ -109,4 +109,4 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = WINDOW,
                 names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
-    return placed.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return placed.mapInArrow(frugal(run), f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
