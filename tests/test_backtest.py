@@ -60,7 +60,14 @@ def test_backtest(spark, table, tmp_path):
     assert set(by) == {"cvss", "legacy", "ml", "epss", "model"} and by["model"]["roc_auc"] > 0.7
     assert {r["ranker"] for r in out["open"].collect()} == set(by)
     ablation = {r["ranker"]: r for r in out["ablation"].collect()}
-    assert ablation["full"]["delta"] == 0.0 and len(ablation) == 7 and ablation["asset"]["effort_90"] == ablation["full"]["effort_90"]
+    assert ablation["full"]["delta"] == 0.0 and len(ablation) == 7 and ablation["asset"]["effort_90"] is None and ablation["fanin"]["delta"] is None and ablation["epss"]["effort_90"] is not None
+    seen = pop.select("epss", F.col("exploited_later").cast("int").alias("y")).collect()
+    low = [r["y"] for r in seen if r["epss"] <= min(x["epss"] for x in seen) + 1e-12]
+    assert tuple(out["floor"].first())[2:] == (len(low), len(low) / len(seen), sum(low))
+    curve = sorted((r["point"], r["worked"], r["covered"]) for r in out["curves"].where("ranker = 'model'").collect())
+    assert [c[0] for c in curve] == list(range(200)) and curve[0][2] == 0.0 and curve[-1][1:] == (1.0, 1.0) and all(a[2] <= b[2] for a, b in zip(curve, curve[1:]))
+    first = backtest.top_findings(pop.withColumn("rank", F.lit(1)), 3).collect()
+    assert [r["exploited_later"] for r in first] == [True] * 3
     backtest.write_ablation(out["ablation"], f"{tmp_path}/a.csv")
     backtest.write_shards(intel, f"{tmp_path}/shards")
     shard = backtest.read_shards(spark, f"{tmp_path}/shards").where("id_year = 2021")

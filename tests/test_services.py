@@ -112,6 +112,7 @@ def test_advisories_of_an_archive(spark, tmp_path):
     known = spark.createDataFrame([("CVE-2", "2020-01-01"), ("CVE-4", "2025-01-01"), ("CVE-1", "")], "cve string, day string")
     rows, late = advisories.scan(one, targets, "PyPI", "2024-01-01", known)
     assert sorted(r["cve"] for r in rows.collect()) == ["CVE-1", "CVE-2", "CVE-3"] and late.first()["late"] == 1
+    assert [tuple(r)[1:] for r in advisories.top_packages(advisories.scan(bodies, targets, "PyPI")[0], 2).collect()] == [("own", "7", 1), ("p0", "1.10", 1)]
     assert advisories.scan(one, targets, "PyPI")[0].count() == 4 and advisories.scan(one, targets, "Go")[0].count() == 0
 
 

@@ -41,6 +41,7 @@ def test_small_feeds(spark, tmp_path):
     (tmp_path / "kev.json").write_text(json.dumps({"vulnerabilities": [{"cveID": " CVE-1 ", "dateAdded": "2024-02-01"}, {"cveID": "CVE-1", "dateAdded": "2023-01-05"}, {"cveID": "CVE-2", "dateAdded": "soon"}]}))
     kev = {r["cve"]: str(r["kev_date_added"])[:10] for r in feeds.read_exploited(spark, f"file://{tmp_path}/kev.json").collect()}
     assert kev == {"CVE-1": "2023-01-05", "CVE-2": "None"}
+    assert feeds.exploited_catalogue(spark, f"file://{tmp_path}/kev.json") == {"catalogVersion": None, "dateReleased": None, "count": 3}
     with gzip.open(tmp_path / "epss.csv.gz", "wt") as f:
         f.write("#model_version:v1,score_date:2024-01-01T00:00:00\ncve,epss,percentile\nCVE-1,0.5,0.9\nCVE-1,0.1,0.1\nCVE-2,x,0.2\n")
     scores, meta = feeds.read_scores(spark, f"file://{tmp_path}/epss.csv.gz")

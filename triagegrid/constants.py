@@ -19,6 +19,7 @@ TRUST_BOUNDARY = 1.08
 CEILING_START = 90.0
 RISK_TIERS = (("Critical", 75.0), ("High", 50.0), ("Medium", 25.0))
 ABLATIONS = ("model", "epss", "kev", "fanin", "scope", "asset")
+CONTEXT_ABLATIONS = ("fanin", "asset")
 
 # CVSS v3 base metrics, their values and the impact weights.
 CVSS_METRICS = {

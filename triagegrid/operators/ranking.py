@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triagegrid.session import persisted
+
 
 def _cut(blocks: DataFrame, by: Sequence[str], score: str, parts: int, number: str) -> DataFrame:
     """blocks with the number of the range that the score falls into, from the highest down; ranges are each ranker's own.
@@ -62,6 +64,9 @@ def tied_blocks(df: DataFrame, score: str, label: str, by: Sequence[str] = (), p
     """
     s = F.coalesce(F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double")), F.lit(float("-inf")))
     blocks = df.groupBy(*by, s.alias("score")).agg(F.count(F.lit(1)).alias("g"), F.sum(F.coalesce(F.col(label).cast("long"), F.lit(0))).alias("h"))
+    # Ranges, their sums and what comes after read the blocks; the scores behind them are computed once.
+    if parts:
+        blocks = persisted(df.sparkSession, blocks, "blocks")
     return running(blocks, by, "score", {"before": "g", "hits_before": "h"}, parts)
 
 
@@ -133,26 +138,26 @@ def report(blocks: DataFrame, by: Sequence[str] = (), at: Sequence[int] = (100,
     return joined.groupBy(*by).agg(*aggs)
 
 
-def coverage_curve(blocks: DataFrame, points: int = 200) -> DataFrame:
-    """(worked, covered): the share of positives covered by a share of the list, at points even places from 0 to 1.
+def coverage_curve(blocks: DataFrame, points: int = 200, by: Sequence[str] = ()) -> DataFrame:
+    """(by, point, worked, covered): the share of positives covered by a share of the list, at points even places from 0 to 1.
 
     Between the ends of blocks the curve is a straight line. A grid place meets
-    the one block that it falls into by the block's range of grid numbers.
+    the one block that it falls into by the block's range of grid numbers. Lists without positives have no curve.
     """
-    sums = blocks.agg(rows().alias("n"), positives().alias("p"))
-    b = blocks.crossJoin(F.broadcast(sums)).where("p > 0")
+    sums = blocks.groupBy(*by).agg(rows().alias("n"), positives().alias("p"))
+    b = _beside(blocks, sums, by).where("p > 0")
     last = float(points - 1)
     x0, x1 = _d("before") / F.col("n"), (_d("before") + _d("g")) / F.col("n")
     y0, y1 = _d("hits_before") / F.col("p"), (_d("hits_before") + _d("h")) / F.col("p")
     first = F.when(F.col("before") == 0, F.lit(0)).otherwise(F.floor(x0 * last).cast("int") + 1)
     upto = F.when(_d("before") + _d("g") >= F.col("n"), F.lit(points - 1)).otherwise(F.floor(x1 * last).cast("int"))
-    hit = b.select(x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"), F.explode(F.when(first <= upto, F.sequence(first, upto)).otherwise(F.array().cast("array<int>"))).alias("i"))
+    hit = b.select(*by, x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"), F.explode(F.when(first <= upto, F.sequence(first, upto)).otherwise(F.array().cast("array<int>"))).alias("i"))
     worked = F.col("i").cast("double") / last
-    return hit.select(F.col("i").cast("long").alias("point"), worked.alias("worked"), (F.col("y0") + (F.col("y1") - F.col("y0")) * (worked - F.col("x0")) / (F.col("x1") - F.col("x0"))).alias("covered"))
+    return hit.select(*by, F.col("i").cast("long").alias("point"), worked.alias("worked"), (F.col("y0") + (F.col("y1") - F.col("y0")) * (worked - F.col("x0")) / (F.col("x1") - F.col("x0"))).alias("covered"))
 
 
-def floor_block(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(value, n, share, positives) of the rows that share the lowest score."""
-    low = df.agg(F.min(score).alias("value"), F.count(F.lit(1)).alias("total"))
-    at = df.crossJoin(F.broadcast(low)).where(F.col(score) <= F.col("value") + 1e-12)
-    return at.groupBy("value", "total").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("positives")).select("value", "n", (_d("n") / _d("total")).alias("share"), "positives")
+def floor_block(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, value, n, share, positives) of the rows that share the lowest score."""
+    low = df.groupBy(*by).agg(F.min(score).alias("value"), F.count(F.lit(1)).alias("total"))
+    at = _beside(df, low, by).where(F.col(score) <= F.col("value") + 1e-12)
+    return at.groupBy(*by, "value", "total").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("positives")).select(*by, "value", "n", (_d("n") / _d("total")).alias("share"), "positives")

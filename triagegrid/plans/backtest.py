@@ -104,22 +104,38 @@ def headline(all_rows: DataFrame, case: str = "case") -> DataFrame:
 
 
 def evaluate(findings: DataFrame, label: str = "exploited_later", at: Sequence[int] = (10, 25), case: str = "case") -> dict[str, DataFrame]:
-    """Metrics of five rankers, on all findings and on those not known to be exploited, and of every ablation; one plan each.
+    """Metrics of five rankers, on all findings and on those not known to be exploited, and of every ablation; coverage curves and the floor of scores; one plan each.
 
     findings may hold several cases, told apart by the column `case` if it exists.
+    What needs a context (fan-in, assets) cannot be left out of a case without one: effort and
+    delta are null there. curves(case, ranker, point, worked, covered) has four places; floor(case, value, n, share,
+    positives) is of the EPSS scores, whose lowest value many findings share.
     """
     df = findings if case in findings.columns else findings.withColumn(case, F.lit("all"))
     rankers = {"cvss": scoring.severity(F.col("cvss_base"))["raw"], "legacy": scoring.legacy()["raw"], "ml": scoring.combined()["raw"], "epss": F.col("epss"), "model": F.col("p_model")}
     drops = {d or "full": scoring.combined((d,) if d else ())["raw"] for d in ("", *K.ABLATIONS)}
+    key = [case, "ranker"]
 
-    def measured(rows: DataFrame, scores: dict[str, Column]) -> DataFrame:
+    def blocks(rows: DataFrame, scores: dict[str, Column]) -> DataFrame:
         long = rows.select(case, F.col(label).cast("int").alias("y"), F.explode(F.array(*[F.struct(F.lit(n).alias("ranker"), s.cast("double").alias("score")) for n, s in scores.items()])).alias("r")).select(case, "y", "r.*")
-        return ranking.report(ranking.tied_blocks(long, "score", "y", by=[case, "ranker"]), by=[case, "ranker"], at=at, recall=at, efforts=(0.5, 0.75, 0.9))
+        return ranking.tied_blocks(long, "score", "y", by=key)
 
-    ablation = measured(df, drops)
+    measured = lambda b: ranking.report(b, by=key, at=at, recall=at, efforts=(0.5, 0.75, 0.9))
+    ablation = measured(blocks(df, drops))
     full = ablation.where("ranker = 'full'").select(case, F.col("effort_90").alias("__full"))
-    ablation = ablation.join(F.broadcast(full), case, "left").withColumn("delta", half_up(F.col("effort_90") - F.col("__full"), 4)).drop("__full")
-    return {"all": measured(df, rankers), "open": measured(df.where("not kev"), rankers), "ablation": ablation}
+    context = df.groupBy(case).agg(F.max("has_context").alias("__context"))
+    ablation = ablation.join(F.broadcast(full), case, "left").join(F.broadcast(context), case, "left")
+    ablation = ablation.withColumn("effort_90", F.when(~F.col("ranker").isin(*K.CONTEXT_ABLATIONS) | F.coalesce("__context", F.lit(False)), F.col("effort_90")))
+    ablation = ablation.withColumn("delta", half_up(F.col("effort_90") - F.col("__full"), 4)).drop("__full", "__context")
+    every = blocks(df, rankers)
+    curves = ranking.coverage_curve(every, by=key).select(*key, "point", half_even(F.col("worked"), 4).alias("worked"), half_even(F.col("covered"), 4).alias("covered"))
+    floor = ranking.floor_block(df.select(case, F.col("epss").cast("double").alias("epss"), F.col(label).cast("int").alias("y")), "epss", "y", by=[case])
+    return {"all": measured(every), "open": measured(blocks(df.where("not kev"), rankers)), "ablation": ablation, "curves": curves, "floor": floor}
+
+
+def top_findings(ranked: DataFrame, k: int = 15, label: str = "exploited_later") -> DataFrame:
+    """The first k findings, those exploited later first, each by rank."""
+    return ranked.orderBy(F.desc(label), "rank", "cve").limit(k)
 
 
 def gate(auc: float | None, synthetic: bool, backtested: bool) -> list[str]:

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagegrid import constants as K
-from triagegrid.functions import cvss, text
-from triagegrid.functions.numbers import half_up, risk_tier, sigmoid, soft_ceiling
+from triagegrid.functions import cvss, text, versions
+from triagegrid.functions.numbers import half_even, half_up, risk_tier, sigmoid, soft_ceiling
 from triagegrid.operators import correlate as C
-from triagegrid.operators import graph, live, ranking, rates, rows, scoring
+from triagegrid.operators import graph, live, nested, ranking, rates, rows, scoring
 from triagegrid.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -658,11 +658,54 @@ def shard_sizes(spark, sf):
     return table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("id_year")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT l_returnflag AS reason, array_to_string(list_sort(list(DISTINCT CAST(l_suppkey AS VARCHAR))), ',') AS ids FROM lineitem GROUP BY 1")
+@query("SELECT DISTINCT l_returnflag AS reason, l_suppkey AS id FROM lineitem")
 def distinct_id_lists(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("reason")).agg(F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))), ",").alias("ids"))
+    """A row for each id of a reason: a reason may have any number of ids."""
+    return table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("reason"), F.col("l_suppkey").alias("id")).distinct()
 
 
 @query("SELECT min(o_orderdate) AS first, max(o_orderdate) AS last, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS open FROM orders")
 def counters_and_range(spark, sf):
     return table(spark, sf, "orders").agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.count(F.lit(1)).alias("n"), F.sum((F.col("o_orderstatus") == "O").cast("long")).alias("open"))
+
+
+# ---- cross-fitting, versions, rounding ---------------------------------------------------------------------------
+
+
+NESTED_SQL = f"""WITH d AS (SELECT l_suppkey, CAST(l_orderkey % 3 AS INT) AS fold, CAST(l_partkey % 5 AS INT) AS inner_fold, {Y} AS y FROM lineitem), m AS (SELECT unnest([0, 1, 2, 3]) AS model),
+    k AS (SELECT model, l_suppkey, inner_fold, y FROM d JOIN m ON fold <> model)"""
+
+
+@query(f"""{NESTED_SQL}, p AS (SELECT model, avg(y) AS prior FROM k GROUP BY 1) SELECT CAST(k.model AS INT) AS model, l_suppkey, {R('(sum(y) + 20 * any_value(prior)) / (count(*) + 20)', 9)} AS rate FROM k JOIN p ON p.model = k.model GROUP BY k.model, l_suppkey""")
+def nested_rates(spark, sf):
+    """Rates of every fold's model, which knows nothing of its fold's rows, from one pass over all rows."""
+    return _nested(spark, sf)[0].select("model", "l_suppkey", _r("rate", 9))
+
+
+@query(f"""{NESTED_SQL}, c AS (SELECT DISTINCT model, l_suppkey, inner_fold FROM k), p AS (SELECT model, avg(y) AS prior FROM k GROUP BY 1), o AS (SELECT a.model, a.inner_fold, avg(b.y) AS others FROM (SELECT DISTINCT model, inner_fold FROM k) a JOIN k b ON b.model = a.model AND b.inner_fold <> a.inner_fold GROUP BY 1, 2),
+    r AS (SELECT c.model, c.l_suppkey, c.inner_fold, sum(k.y) AS s, count(k.y) AS n FROM c LEFT JOIN k ON k.model = c.model AND k.l_suppkey = c.l_suppkey AND k.inner_fold <> c.inner_fold GROUP BY 1, 2, 3)
+    SELECT CAST(r.model AS INT) AS model, l_suppkey, r.inner_fold AS "inner", {R('CASE WHEN n > 0 THEN (s + 20 * others) / (n + 20) ELSE prior END', 9)} AS rate FROM r JOIN o ON o.model = r.model AND o.inner_fold = r.inner_fold JOIN p ON p.model = r.model""")
+def nested_rates_out_of_fold(spark, sf):
+    """What each model's own training rows see of their key: nothing of their inner fold, nothing of the fold the model does not know."""
+    return _nested(spark, sf)[1].select("model", "l_suppkey", "inner", _r("rate", 9))
+
+
+def _nested(spark, sf):
+    d = table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_orderkey") % 3).cast("int").alias("fold"), (F.col("l_partkey") % 5).cast("int").alias("inner"))
+    return nested.nested_rates(d, "l_suppkey", "y", "fold", "inner", folds=3)
+
+
+@query("""WITH v AS (SELECT p_brand, p_size AS a, p_partkey % 100 AS b, p_partkey % 7 AS c FROM part WHERE p_partkey % 11 <> 0)
+    SELECT p_brand, arg_max(a || '.0' || b || '-' || c, a * 1000000 + b * 1000 + c) AS version FROM v GROUP BY 1""")
+def highest_version(spark, sf):
+    """The highest of each brand's versions, numbers by value, pre-releases aside."""
+    k = F.col("p_partkey")
+    said = F.concat(F.col("p_size").cast("string"), F.lit(".0"), (k % 100).cast("string"), F.lit("-"), (k % 7).cast("string"), F.when(k % 11 == 0, "-RC1").otherwise(""))
+    per = table(spark, sf, "part").select("p_brand", said.alias("v")).groupBy("p_brand").agg(F.collect_set("v").alias("vs"))
+    return per.select("p_brand", versions.highest_version(F.col("vs")).alias("version"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(round_even(CAST((l_orderkey % 4096) / 64.0 AS DECIMAL(18, 6)), 2) AS DOUBLE) AS rounded FROM lineitem")
+def half_even_rounding(spark, sf):
+    """Sixty-fourths with two places, ties to even."""
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", half_even((F.col("l_orderkey") % 4096) / 64.0, 2).alias("rounded"))

@@ -106,6 +106,13 @@ def src_records(spark, sf):
     return rows.select("cve", "description", F.date_format("published", "yyyy-MM-dd").alias("published"), "cvss_base", "cvss_impact", "cwe", "vendor", "product", *[F.col(c).cast("int").alias(c) for c in ("ref_total", "ref_exploit", "ref_vendor_advisory", "dom_exploitdb", "dom_github")])
 
 
+@query(RECORDS_SQL)
+def src_records_by_range(spark, sf):
+    """The same from ranges of 32 kB, which begin and end anywhere in the documents."""
+    rows = feeds.read_records(spark, _record_files(spark, sf), split=32 << 10)
+    return rows.select("cve", "description", F.date_format("published", "yyyy-MM-dd").alias("published"), "cvss_base", "cvss_impact", "cwe", "vendor", "product", *[F.col(c).cast("int").alias(c) for c in ("ref_total", "ref_exploit", "ref_vendor_advisory", "dom_exploitdb", "dom_github")])
+
+
 @query("SELECT 'U-' || user_id AS cve, CAST(min(CAST(ts AS DATE)) AS VARCHAR) AS kev_date_added FROM events WHERE event_type = 'purchase' GROUP BY 1")
 def src_exploited(spark, sf):
     e = table(spark, sf, "events").where("event_type = 'purchase'")
@@ -386,6 +393,19 @@ def portfolio_counters(spark, sf):
     return _portfolio(spark, sf).applications.select("app", "root_name", "findings", "matched", "unmatched", "bom_ref", "purl", "name_version")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, 'CVE-' || (2015 + l_suppkey % 5) || '-' || (10000 + l_suppkey) AS cve_id, CASE WHEN l_suppkey % 5 < 3 THEN CAST((l_suppkey % 8) / 8.0 AS DOUBLE) END AS p_model, l_suppkey % 5 < 3 AND l_suppkey % 2 = 1 AS poc_github FROM lineitem")
+def shard_lookup_by_findings(spark, sf):
+    """Line items as findings, which say at run time what years of shards are read; two years have none."""
+    k = F.col("s_suppkey")
+    intel = table(spark, sf, "supplier").where("s_suppkey % 5 < 3").select(
+        _cat("CVE-", 2015 + k % 5, "-", 10000 + k).alias("cve"), ((k % 8) / 8.0).alias("p_model"), F.lit(0.25).alias("epss"), F.lit(False).alias("kev"), (k % 2 == 1).alias("poc_github"), (k % 3 == 1).alias("poc_exploitdb"), F.lit(3.6).alias("cvss_impact"), F.lit(False).alias("scope_changed"), F.lit(5.0).alias("cvss_base")
+    )
+    path = shared_path(spark, "shards")
+    backtest.write_shards(intel, path)
+    found = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", _cat("CVE-", 2015 + F.col("l_suppkey") % 5, "-", 10000 + F.col("l_suppkey")).alias("cve_id"))
+    return backtest.lookup(backtest.read_shards(spark, path), found).select("l_orderkey", "l_linenumber", "l_partkey", "cve_id", "p_model", F.coalesce("poc_github", F.lit(False)).alias("poc_github"))
+
+
 # ---- the feature table -------------------------------------------------------------------------------------------------
 
 # A record is exploited if its key leaves 3 on division by 8; rates are smoothed towards the share of all.

@@ -104,3 +104,9 @@ def scan(bodies: DataFrame, targets: DataFrame, ecosystem: str, freeze: str | No
     first = F.get(F.filter(fit, lambda x: F.length(x["version"]) > 0), F.lit(0))
     rows = kept.withColumn("f", first).where("f is not null")
     return rows.select(F.lit(ecosystem).alias("ecosystem"), "f.package", "f.version", "cve"), late
+
+
+def top_packages(found: DataFrame, k: int = 60) -> DataFrame:
+    """The k packages of scan() that cover most CVEs: (ecosystem, package, version, cves), of equal ones by name."""
+    counts = found.groupBy("ecosystem", "package", "version").agg(F.countDistinct("cve").alias("cves"))
+    return counts.orderBy(F.desc("cves"), "ecosystem", "package", "version").limit(k)

@@ -129,6 +129,13 @@ def read_exploited(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("cve <> ''").groupBy("cve").agg(F.min("d").alias("kev_date_added"))
 
 
+def exploited_catalogue(spark: SparkSession, path: str) -> dict[str, object]:
+    """The list's version, release and number of entries; of several files those of the latest release."""
+    doc = spark.read.schema("catalogVersion string, dateReleased string, vulnerabilities array<struct<cveID:string,dateAdded:string>>").json(path, multiLine=True)
+    r = doc.select("catalogVersion", "dateReleased", F.size("vulnerabilities").alias("count")).orderBy(F.desc_nulls_last("dateReleased"), F.desc_nulls_last("catalogVersion")).first()
+    return {} if r is None else r.asDict()
+
+
 def read_scores(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
     """((cve, epss, percentile), metadata) of a CSV file whose first line may hold #key:value pairs; of repeated CVEs the first row counts."""
     first = spark.read.text(path).first()
