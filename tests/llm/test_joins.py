@@ -64,6 +64,25 @@ def test_ngram_join_of_a_large_group_of_edited_copies(spark):
     assert got == X.components(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if X.similar(sets[a], sets[b])])
 
 
+def test_members_of_dealt_lists_meet_once_each(spark):
+    rows = [(k, i, 0) for k, n in ((1, 1), (2, 7), (3, 40)) for i in range(n)]
+    left, right = ngramjoin.dealt(spark.createDataFrame(rows, "key long, a_hi long, a_lo int"), size=5)
+    got = sorted((r[0], r[1]) for r in left.join(right.withColumnRenamed("a_hi", "b_hi"), "key").select("a_hi", "b_hi").collect())
+    assert got == sorted((i, j) for n in (1, 7, 40) for i in range(n) for j in range(n))
+
+
+def test_ngram_join_without_rounds_of_heads(spark, monkeypatch):
+    """What is left meets in full, in small parts."""
+    monkeypatch.setattr(ngramjoin, "ROUNDS", 0)
+    whole = ngramjoin.dealt
+    monkeypatch.setattr(ngramjoin, "dealt", lambda lists: whole(lists, size=3))
+    rows = X.documents(seed=6)
+    sets = {i: X.shingles(t) for i, t, *_ in rows}
+    want = X.components(list(sets), [(a, b) for a in sets for b in sets if a < b and X.similar(sets[a], sets[b])])
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.near_duplicates(spark, X.frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_null_and_repeated_ids(spark):
     text = "a b c d e f g"
     rows = [(None, text, "en", "s", 1), (5, text, "en", "s", 1), (5, text, "en", "s", 1), (3, text, "en", "s", 1), (None, None, None, None, None)]

@@ -154,7 +154,7 @@ def test_url_verdicts_follow_words(spark):
 
 
 def test_many_secrets_in_one_text(spark):
-    n = 6000
+    n = 20_000
     text = " ".join(f"password=abc{i:06d}" for i in range(n))
     df = spark.createDataFrame([(1, text), (2, "plain words only")], "doc_id long, text string")
     got = {r["doc_id"]: r["base"] for r in secrets.scan(df, secrets.train(spark, df)).collect()}

@@ -12,6 +12,7 @@ from triagegrid.llm.common import connected_components, materialize
 WORDS = 5
 BITS = 20
 ROUNDS = 2
+DEALT = 512
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,6 +56,18 @@ def light_boundary(counts: np.ndarray) -> int:
     return int(n[setjoin.prefix_size(n) <= 1 + 2 * length].max()) + 1
 
 
+def dealt(lists: DataFrame, size: int = DEALT) -> tuple[DataFrame, DataFrame]:
+    """lists twice, so that joined by key every two members of a list meet once, in groups of about size members of either side.
+
+    Long lists are cut into parts by hash; a group is a part of the one side and a part of the other.
+    """
+    parts = lists.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("__parts"))
+    cut = lists.join(parts, "key").withColumn("__own", F.pmod(F.xxhash64("a_hi", "a_lo"), F.col("__parts")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__parts").cast("bigint") - 1))
+    left, right = (cut.withColumn("__other", every).withColumn("key", F.xxhash64("key", *order)).select(lists.columns) for order in (("__own", "__other"), ("__other", "__own")))
+    return left, right
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents by Jaccard similarity of 3/4 or more of their 5-word shingles.
 
@@ -67,7 +80,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     Every document meets all others in short lists and the first of long ones.
     What then still lies in different classes of one list meets again: twice one
-    member per class against the list's first, then all that is left.
+    member per class against the list's first, then all that is left, dealt over
+    parts of the list.
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("hi"), F.col(text_col).alias("text"))
     rarity, counts, sizes = setjoin.count_tokens(spark, src, shingle_sets, BITS)
@@ -98,7 +112,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             head = one.groupBy("key").agg(F.min(F.struct("pos", "a_hi", "a_lo", "n", "b0", "b1", "label")).alias("m")).select("key", "m.*")
             again = setjoin.overlapping(head, one, F.col("label") != F.col("ylabel"))
         else:
-            again = setjoin.overlapping(known, known, (F.col("label") < F.col("ylabel")))
+            again = setjoin.overlapping(*dealt(known), (F.col("label") < F.col("ylabel")))
         new = setjoin.similar_pairs(spark, again, sets).select(F.col("a_hi").alias("a"), F.col("b_hi").alias("b"))
         links = materialize(spark, links.union(new), "ngram-links")
         classes = connected_components(spark, links)

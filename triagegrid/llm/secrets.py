@@ -36,6 +36,7 @@ background-image-style container-fluid-wide navigation-bar-link footer-copyright
 FIRST = min(map(ord, ALPHABET)) - 1
 CODES = max(map(ord, ALPHABET)) - FIRST + 1
 BLOCK = 64
+PART = 2048
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -179,18 +180,27 @@ def _ratio(value: Column, gains: list[float]) -> Column:
 
 
 def _pieces(text: Column, spans: Column, instead) -> Column:
-    """The text with what spans, sorted by start, cover replaced: instead(span, reach) stands for a span before which spans reach that far."""
+    """The text with what spans, sorted by start, cover replaced: instead(span, reach) stands for a span before which spans reach that far.
+
+    What stands between spans is cut from blocks of PART characters, so a span costs a block and not the text up to it.
+    """
 
     def piece(s: Column) -> Column:
+        def between(at: Column, size: Column) -> Column:
+            first, last = F.floor(at / PART).cast("int"), F.floor((at + size - 1) / PART).cast("int")
+            near = F.array_join(F.slice(s["blocks"], first + 1, last - first + 1), "")
+            return F.when(size > 0, F.substring(near, at % PART + 1, size)).otherwise("")
+
         def one(x: Column, i: Column) -> Column:
             at = F.get(s["before"], i)
-            return F.concat(F.substring(text, at + 1, F.greatest(F.lit(0), x["start"] - at)), instead(x, at))
+            return F.concat(between(at, x["start"] - at), instead(x, at))
 
         rest = F.substring(text, F.array_max(F.transform(s["spans"], lambda x: x["end"])) + 1, F.length(text))
         return F.concat(F.array_join(F.transform(s["spans"], one), ""), rest)
 
     ends = F.transform(spans, lambda x: x["end"])
-    made = _let(F.struct(spans.alias("spans"), _before(ends, lambda a, b: F.greatest(a, b)).alias("before")), piece)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    made = _let(F.struct(spans.alias("spans"), _before(ends, lambda a, b: F.greatest(a, b)).alias("before"), blocks.alias("blocks")), piece)
     return F.when(F.size(spans) > 0, made).otherwise(text)
 
 
@@ -205,8 +215,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ratio exceeds the model's odds. Null and empty text have no spans; an empty
     table gives no rows; repeated rows give repeated results, whatever their ids,
     null ones too. Columns other than id, text and keep are not read; kept ones
-    may not be called base or spans, which `prefix` names otherwise. Work rises in proportion to a text's length,
-    but for cutting out spans, which reads the text up to each.
+    may not be called base or spans, which `prefix` names otherwise. Work rises in proportion to a text's length and number of spans.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(F.col(id_col), *[F.col(c) for c in keep], text.alias("__text"))
