@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -162,6 +163,33 @@ def test_many_secrets_in_one_text(spark):
     assert [(s["start"], s["end"]) for s in got[1][:3]] == [(0, 18), (19, 37), (38, 56)] and got[1][-1]["end"] == len(text)
 
 
+def test_markov_spans_against_the_ratio_in_python(spark):
+    rng = random.Random(7)
+    token = lambda n: "".join(rng.choice(secrets.ALPHABET) for _ in range(n))
+    texts = [" ".join(rng.choice([token(rng.randint(6, 30)), "ordinary_words_here", "update_customer_record", "x" * 9, "password=abcdef1", f"é{token(12)}", "2024-01-02", "plain"]) for _ in range(30)) for _ in range(40)]
+    texts += ["AKIA" + "A" * 16 + "zz9Qx7LpW3", "secret=" + token(20) + "!" + token(20), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = secrets.train(spark, df)
+    table = [round(g * 10_000) for g in model.gains]
+    code = lambda c: ord(c) - secrets.FIRST
+
+    def ratio(run):
+        codes = [0, *map(code, run)]
+        return sum(table[a * secrets.CODES + b] for a, b in zip(codes, codes[1:])) / 10_000
+
+    kinds = [(0, r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), (1, r"AKIA[A-Z0-9]{16,}"), (2, r"[0-9a-f]{24,}")]
+    found = 0
+    for r in secrets.scan(df, model).collect():
+        text = texts[r["doc_id"]] or ""
+        base = sorted((m.start(), k, m.end()) for k, p in kinds for m in re.finditer(p, text) if k or len(m[2]) >= 6)
+        assert [tuple(s)[:3] for s in r["base"]] == base
+        view = "".join(" " if any(a <= i < b for a, _, b in base) else c for i, c in enumerate(text))
+        more = [(m.start(), 3, m.end()) for m in re.finditer(secrets.CANDIDATE, view) if ratio(m[0]) > model.odds]
+        assert [tuple(s)[:3] for s in r["spans"]] == sorted(base + more)
+        found += len(more)
+    assert found > 100
+
+
 def test_tree_levels_nest_and_cover():
     rng = np.random.default_rng(1)
     x = covertree._units(np.concatenate([c + rng.normal(scale=s, size=(40, 6)) for c, s in zip(rng.normal(size=(5, 6)), (0.001, 0.01, 0.1, 0.3, 0.6))]))
