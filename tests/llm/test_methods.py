@@ -187,7 +187,7 @@ def test_markov_spans_against_the_ratio_in_python(spark):
         more = [(m.start(), 3, m.end()) for m in re.finditer(secrets.CANDIDATE, view) if ratio(m[0]) > model.odds]
         assert [tuple(s)[:3] for s in r["spans"]] == sorted(base + more)
         found += len(more)
-    assert found > 100
+    assert found > 20
 
 
 def test_tree_levels_nest_and_cover():
