@@ -80,8 +80,8 @@ class Pieces:
         self.met: dict[str, list[int] | None] = {}
 
     def whole(self, text: str) -> list[int] | None:
-        """Ids of text, before which the model puts a space; null if they do not spell it."""
-        ids = self.model.encode(text)
+        """Ids of text, before which the model puts a space; null if they do not spell it. Of no text that is the space alone, which the library leaves out."""
+        ids = self.model.encode(text) if text else [self.model.piece_to_id(SPACE)]
         return ids if b"".join([self.side.table[i] for i in ids]) == b" " + text.encode() else None
 
     def encode(self, text: str) -> list[int] | None:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from triagegrid.llm.common import discard, materialize
 
 SHARDS = 8
-ROUNDS = 12
+ROUNDS = 16
 SETTLED = 0.0001
 HOT_SHARE = 20_000
 HOT_LEAST = 4096
@@ -67,9 +67,9 @@ def propagate(spark: SparkSession, links: DataFrame, rows: int, shards: int = SH
     not, and sets the capacity. A row wants the label that most of its neighbours have,
     the smallest of equals, if more have it than its own. So that rows do not change
     places for ever, those that win by one ask in turn for smaller and for larger labels
-    only, and of the others one in eight waits, by a hash of row and round. A label that could not take all that asked is left out of the next round's
-    wishes, which lets the rest of a large group gather elsewhere. It ends when two
-    rounds move fewer than SETTLED of the rows, or after rounds. A round counts labels
+    only, and of the others one in eight waits, by a hash of row and round. A label that could not take all that asked is left out of wishes
+    until nothing moves any more, which lets the rest of a large group gather elsewhere. It ends when two
+    rounds with all labels move fewer than SETTLED of the rows, or after rounds. A round counts labels
     per hub (at most shards numbers for each, whatever its size) and sends them back
     to its rows.
     """
@@ -78,7 +78,7 @@ def propagate(spark: SparkSession, links: DataFrame, rows: int, shards: int = SH
     hot = materialize(spark, hot, "shard-hot")
     labels = materialize(spark, cut.select("row").distinct().withColumn("label", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")), "shard-labels")
     capacity = (1 + slack) * rows / shards
-    closed: list[int] = []
+    closed: set[int] = set()
     calm = 0
     own = lambda s: F.sum(F.when(F.col("label") == s, 1).otherwise(0))
     for turn in range(rounds):
@@ -104,7 +104,9 @@ def propagate(spark: SparkSession, links: DataFrame, rows: int, shards: int = SH
                 asked[r["label"], r["to"], r["class"]] += r["count"]
         part = quotas(asked, sizes, capacity)
         moved = (asked * part).sum()
-        closed = [t for t in range(shards) if asked[:, t].sum() > (asked * part)[:, t].sum() + 0.5]
+        still = moved <= SETTLED * sizes.sum()
+        calm = calm + 1 if still and not closed else 0 if not still else calm
+        closed = set() if still else closed | {t for t in range(shards) if asked[:, t].sum() > (asked * part)[:, t].sum() + 0.5}
         said = [(s, t, g, float(part[s, t, g])) for s, t, g in zip(*np.nonzero(asked * part))]
         granted = spark.createDataFrame([(int(s), int(t), int(g), p) for s, t, g, p in said], "label int, to int, class int, part double")
         lot = F.pmod(F.xxhash64("row", F.lit(turn), F.lit("lot")), F.lit(1 << 30)) / (1 << 30)
@@ -113,7 +115,6 @@ def propagate(spark: SparkSession, links: DataFrame, rows: int, shards: int = SH
         discard(spark, labels)
         discard(spark, wish)
         labels = new
-        calm = calm + 1 if moved <= SETTLED * sizes.sum() else 0
         if calm == 2:
             break
     return labels
