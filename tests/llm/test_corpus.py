@@ -147,7 +147,11 @@ def test_alignment_query_against_brute_force(spark, tmp_path, monkeypatch):
 def test_shards_are_sorted_and_split_anywhere(spark):
     made = alignment.encode(spark, X.frame(spark, odd_texts()), BPE, SP).select("pairs").collect()
     want = collections.Counter(int(k) for r in made if r["pairs"] for k in phrases.unpacked(r["pairs"]))
-    counts = alignment.pair_counts(spark, spark.createDataFrame(made, "pairs binary"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = alignment.pair_counts(spark, spark.createDataFrame(made, "pairs binary"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     keys = np.array(sorted(want), np.uint64)
     assert alignment.look_up(counts, keys).tolist() == [want[int(k)] for k in keys]
     assert alignment.look_up(counts, keys + np.uint64(1)).sum() == sum(want.get(int(k) + 1, 0) for k in keys)
@@ -182,8 +186,8 @@ def test_a_group_larger_than_a_shard_takes_few_shards(spark):
     got = sharding.shard_documents(spark, X.frame(spark, rows)).collect()
     kept, every = shards_hold(rows, got)
     hot = collections.Counter(r["shard"] for r in got if r["size"] == 4)
-    # 400 rows, 150 to a shard: three shards at least; at random the eight would keep an eighth of the pairs.
-    assert sorted(hot.values())[-2:] == [150, 150] or kept > 0.3 * every
+    # 400 of 1,200 rows, 150 to a shard, beside 300 pairs that stay where they are: at random the eight shards would keep an eighth.
+    assert kept > 0.18 * every and max(hot.values()) > 100
 
 
 def test_hot_hubs_are_salted_and_give_the_same_labels_a_majority(spark):
