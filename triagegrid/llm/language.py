@@ -74,13 +74,20 @@ class LanguageModel:
 
 
 class Example(NamedTuple):
-    """A text as the shares of its subwords: kind is text, window, head (a held-back text's beginning) or foreign (the same with its letters in another order)."""
+    """A text as the counts of its subwords, 4 bytes for each that it has: kind is text, window, head (a held-back text's beginning) or foreign (the same with its letters in another order)."""
 
     key: int
     kind: str
     lang: str
     at: np.ndarray
-    share: np.ndarray
+    count: np.ndarray
+
+    def share(self) -> np.ndarray:
+        return shares_of(self.count)
+
+
+def shares_of(count: np.ndarray) -> np.ndarray:
+    return (count / max(1.0, float(count.sum()))).astype(np.float32)
 
 
 def held_back(key: int) -> bool:
@@ -91,20 +98,20 @@ def examples(key: int, text: str, lang: str) -> Iterator[Example]:
     """What is learned from a text: itself and two windows of 20 to 200 characters; of a held-back one also head and foreign. Chance comes from the key."""
     rng = np.random.default_rng(key % (1 << 63))
 
-    def shares(kind: str, part: str) -> Example:
+    def counted(kind: str, part: str) -> Example:
         c = subword_counts(part)
         at = np.flatnonzero(c)
-        return Example(key, kind, lang, at.astype(np.uint16), (c[at] / max(1.0, c.sum())).astype(np.float32))  # BITS are fewer than 16
+        return Example(key, kind, lang, at.astype(np.uint16), np.minimum(c[at], 65535).astype(np.uint16))  # BITS are fewer than 16
 
-    yield shares("text", text)
+    yield counted("text", text)
     for _ in range(2):
         n = int(rng.integers(20, 201))
         at = int(rng.integers(0, max(1, len(text) - n)))
         if has_letter(text[at : at + n]):
-            yield shares("window", text[at : at + n])
+            yield counted("window", text[at : at + n])
     if held_back(key):
-        yield shares("head", text[:2000])
-        yield shares("foreign", "".join(rng.permutation(list(text[:2000]))))
+        yield counted("head", text[:2000])
+        yield counted("foreign", "".join(rng.permutation(list(text[:2000]))))
 
 
 def train(rows: list[tuple[str, str]], **how) -> LanguageModel:
@@ -127,11 +134,11 @@ def fit(given: list[Example], dim: int = 16, epochs: int = 6, rate: float = 0.5,
     if not langs:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     number = {lang: i for i, lang in enumerate(langs)}
-    known = [(e.at, e.share, number[e.lang]) for e in given if e.kind in ("text", "window") and not held_back(e.key)]
-    check = [(e.at, e.share, number[e.lang]) for e in given if e.kind in ("text", "window") and held_back(e.key)]
+    known = [(e.at, e.count, number[e.lang]) for e in given if e.kind in ("text", "window") and not held_back(e.key)]
+    check = [(e.at, e.count, number[e.lang]) for e in given if e.kind in ("text", "window") and held_back(e.key)]
     heads = [e for e in given if e.kind == "head"]
-    foreign = [(e.at, e.share) for e in given if e.kind == "foreign"]
-    mixed = [(np.concatenate([a.at, b.at]), np.concatenate([a.share, b.share]) / 2, number[a.lang], number[b.lang]) for a, b in zip(heads, heads[1:]) if a.lang != b.lang]
+    foreign = [(e.at, e.count) for e in given if e.kind == "foreign"]
+    mixed = [(np.concatenate([a.at, b.at]), np.concatenate([a.share(), b.share()]) / 2, number[a.lang], number[b.lang]) for a, b in zip(heads, heads[1:]) if a.lang != b.lang]
     if not known:
         known, check = check, []
     fit = known
@@ -144,7 +151,8 @@ def fit(given: list[Example], dim: int = 16, epochs: int = 6, rate: float = 0.5,
     steps, step = epochs * len(fit), 0
     for _ in range(epochs):
         for i in rng.permutation(len(fit)):
-            at, v, y = fit[i]
+            at, c, y = fit[i]
+            v = shares_of(c)
             lr = rate * (1 - step / steps) * weight[y]
             step += 1
             hidden = v @ emb[at]
@@ -159,7 +167,7 @@ def fit(given: list[Example], dim: int = 16, epochs: int = 6, rate: float = 0.5,
     model = LanguageModel(langs, emb @ out, bias, 1.0, 0.0)
     if check:
         y = np.array([k for *_, k in check])
-        logits = lambda rows: np.stack([v @ model.scores[at] + bias for at, v, *_ in rows])
+        logits = lambda rows: np.stack([shares_of(c) @ model.scores[at] + bias for at, c, *_ in rows])
 
         def spread(z: np.ndarray, t: float) -> np.ndarray:
             p = np.exp((z - z.max(1, keepdims=True)) / t)
@@ -185,7 +193,7 @@ def fit(given: list[Example], dim: int = 16, epochs: int = 6, rate: float = 0.5,
     return model
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1200, longest: int = 4_000) -> LanguageModel:
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1200, longest: int = 2_000) -> LanguageModel:
     """Train on a bounded sample of labelled rows: about per_lang texts of each language, of at most longest characters.
 
     Rows are chosen by a hash of their id, alike at every size; of a longer text
@@ -207,12 +215,12 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for row in zip(*(b.column(i).to_pylist() for i in range(3))):
                 made = list(examples(*row))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([e.key for e in made]), pa.array([e.kind for e in made]), pa.array([e.lang for e in made], pa.string()), pa.array([e.at.tobytes() for e in made], pa.binary()), pa.array([e.share.tobytes() for e in made], pa.binary())],
-                    names=["key", "kind", "lang", "at", "share"],
+                    [pa.array([e.key for e in made]), pa.array([e.kind for e in made]), pa.array([e.lang for e in made], pa.string()), pa.array([e.at.tobytes() for e in made], pa.binary()), pa.array([e.count.tobytes() for e in made], pa.binary())],
+                    names=["key", "kind", "lang", "at", "count"],
                 )
 
-    sent = chosen.mapInArrow(frugal(run), "key bigint, kind string, lang string, at binary, share binary").collect()
-    return fit([Example(r["key"], r["kind"], r["lang"], np.frombuffer(r["at"], np.uint16), np.frombuffer(r["share"], np.float32)) for r in sent])
+    sent = chosen.mapInArrow(frugal(run), "key bigint, kind string, lang string, at binary, count binary").collect()
+    return fit([Example(r["key"], r["kind"], r["lang"], np.frombuffer(r["at"], np.uint16), np.frombuffer(r["count"], np.uint16)) for r in sent])
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
