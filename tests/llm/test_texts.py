@@ -6,7 +6,6 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
