@@ -3,7 +3,6 @@ import json
 import lzma
 
 import pytest
-from pyspark.sql import functions as F
 
 from triagegrid.plans.application import score_application
 from triagegrid.sources import feeds, scans
