@@ -658,10 +658,11 @@ def shard_sizes(spark, sf):
     return table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("id_year")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT DISTINCT l_returnflag AS reason, l_suppkey AS id FROM lineitem")
+@query("SELECT l_returnflag AS reason, array_to_string(list_sort(list(DISTINCT CAST(l_suppkey AS VARCHAR))), ',') AS ids FROM lineitem GROUP BY 1")
 def distinct_id_lists(spark, sf):
-    """A row for each id of a reason: a reason may have any number of ids."""
-    return table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("reason"), F.col("l_suppkey").alias("id")).distinct()
+    """All ids of each reason in one list. Rows are made distinct by reason and id first, so a list's task gets each id once."""
+    ids = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("reason"), F.col("l_suppkey").cast("string").alias("id")).distinct()
+    return ids.groupBy("reason").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
 
 
 @query("SELECT min(o_orderdate) AS first, max(o_orderdate) AS last, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS open FROM orders")
