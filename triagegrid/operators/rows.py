@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triagegrid.session import persisted
+from triagegrid.session import discard, persisted
+
+STEPS = 64
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -66,42 +68,52 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, by:
     return counts.withColumn("density", F.col("n") / (total * F.lit(width)))
 
 
+def _value_counts(df: DataFrame, value: str, weight: str | None) -> DataFrame:
+    """(v, n): how often each value occurs, without nulls, written once so that no later pass makes df again."""
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.withColumn("v", F.col(value).cast("double")).where("v is not null").groupBy("v").agg(n.cast("long").alias("n"))
+    return persisted(df.sparkSession, counts, "values")
+
+
+def _kth(counts: DataFrame, place: int, enough: int) -> float | None:
+    """The value at a place of the order in which each v stands n times."""
+    left, target = counts, place
+    distinct, total = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if not 0 <= target < total:
+        return None
+    while distinct > enough:
+        bounds = sorted(set(left.approxQuantile("v", [i / STEPS for i in range(1, STEPS)], 0.1 / STEPS)))
+        # Each value stands in one row, so every turn leaves out all but about a STEPS-th of them.
+        under = lambda b: F.col("v") <= F.lit(b)
+        number = F.lit(len(bounds))
+        for i in range(len(bounds) - 1, -1, -1):
+            number = F.when(under(bounds[i]), F.lit(i)).otherwise(number)
+        for i, rows, n in sorted(tuple(r) for r in left.groupBy(number.alias("i")).agg(F.count(F.lit(1)), F.sum("n")).collect()):
+            if target < n:
+                low, high = (~under(bounds[i - 1]) if i else F.lit(True)), (under(bounds[i]) if i < len(bounds) else F.lit(True))
+                left, distinct = left.where(low & high), rows
+                break
+            target -= n
+    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    return left.withColumn("__upto", upto).where(F.col("__upto") > target).agg(F.min("v")).first()[0]
+
+
 def kth_smallest(df: DataFrame, value: str, places: Sequence[int], enough: int = 200_000) -> list[float | None]:
     """The values at the given places (from 0) of the column's order without nulls; null where there is none.
 
-    The range that holds a place is narrowed by approximate quantiles and counts,
-    each a pass that sends a few numbers back, until at most `enough` rows are left in it.
+    One pass over df counts each value. In these counts the range that holds a place
+    is narrowed by approximate quantiles, which sends a few numbers back, until at most `enough` values are left in it.
     """
-    rows = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    out: list[float | None] = []
-    for place in places:
-        left, target = rows, place
-        while True:
-            n = left.count()
-            if not 0 <= target < n:
-                out.append(None)
-                break
-            if n <= enough:
-                out.append(left.select(F.array_sort(F.collect_list("v"))[target].alias("v")).first()["v"])
-                break
-            a, b = left.approxQuantile("v", [max(0.0, target / n - 0.01), min(1.0, target / n + 0.01)], 0.002)
-            count = lambda c: F.count(F.when(c, 1))
-            under, at_a, upto = left.agg(count(F.col("v") < a), count(F.col("v") <= a), count(F.col("v") <= b)).first()
-            # Every turn leaves some value out, however often the values repeat.
-            if target < under:
-                left = left.where(F.col("v") < a)
-            elif target < at_a:
-                out.append(float(a))
-                break
-            elif target < upto:
-                left, target = left.where((F.col("v") > a) & (F.col("v") <= b)), target - at_a
-            else:
-                left, target = left.where(F.col("v") > b), target - upto
+    counts = _value_counts(df, value, None)
+    out = [_kth(counts, place, enough) for place in places]
+    discard(df.sparkSession, counts)
     return out
 
 
-def exact_median(df: DataFrame, value: str) -> float | None:
-    """The middle value, or the mean of the two, without nulls; null of nothing. See kth_smallest."""
-    n = df.where(F.col(value).isNotNull()).count()
-    found = kth_smallest(df, value, sorted({(n - 1) // 2, n // 2}))
+def exact_median(df: DataFrame, value: str, weight: str | None = None, enough: int = 200_000) -> float | None:
+    """The middle value, or the mean of the two, without nulls; null of nothing. weight: how often a row's value counts. See kth_smallest."""
+    counts = _value_counts(df, value, weight)
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    found = [_kth(counts, place, enough) for place in sorted({(n - 1) // 2, n // 2})]
+    discard(df.sparkSession, counts)
     return None if not n else sum(found) / len(found)  # type: ignore[arg-type]
