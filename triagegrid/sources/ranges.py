@@ -55,10 +55,10 @@ def _open(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return store, name
 
 
-def _chunks(f, at: int, size: int | None = None) -> Iterator[bytes]:
+def _chunks(f, at: int, size: int | None = None, most: int = CHUNK) -> Iterator[bytes]:
     left = size
     while left is None or left > 0:
-        data = f.read(CHUNK if left is None else min(CHUNK, left))
+        data = f.read(most if left is None else min(most, left))
         if not data:
             return
         left = None if left is None else left - len(data)
@@ -141,7 +141,9 @@ def read_records(spark: SparkSession, path: str | list[str], split: int = SPLIT)
     starts = F.when(packed, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("bigint")))
     ranges = files.select("path", "length", F.explode(starts).alias("start"))
     ranges = ranges.withColumn("stop", F.when(packed, F.lit(None).cast("bigint")).otherwise(F.least(F.col("start") + split, F.col("length"))))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # A number of tasks is given, as adaptive execution would bring these few bytes, and all reading behind them, into one.
+    tasks = 3 * spark.sparkContext.defaultParallelism
+    ranges = ranges.repartition(tasks, F.col("path"), F.col("start"))
 
     def effect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,7 +178,7 @@ def read_records(spark: SparkSession, path: str | list[str], split: int = SPLIT)
         return F.struct((acc["inside"] != r["turns"]).alias("inside"), depth.alias("depth"), seen.alias("seen"))
 
     places = listed.select("path", F.explode(F.arrays_zip("all", F.aggregate("all", first, enter)["seen"].alias("state"))).alias("z"))
-    starts_of = places.select("path", "z.all.start", "z.all.stop", "z.all.odd", F.col("z.state.inside").alias("inside"), F.col("z.state.depth").alias("depth")).repartition(F.col("path"), F.col("start"))
+    starts_of = places.select("path", "z.all.start", "z.all.stop", "z.all.odd", F.col("z.state.inside").alias("inside"), F.col("z.state.depth").alias("depth")).repartition(tasks, F.col("path"), F.col("start"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,7 +194,8 @@ def read_records(spark: SparkSession, path: str | list[str], split: int = SPLIT)
                     else:
                         level = _level(raw.read(64))
                         raw.seek(start)
-                        yield from _rows(where, records_in(_chunks(raw, start), start, stop, inside, odd, depth, level))
+                        # What is read beyond a small range's last record is small too.
+                        yield from _rows(where, records_in(_chunks(raw, start, None, max(4096, min(CHUNK, stop - start))), start, stop, inside, odd, depth, level))
 
     return starts_of.mapInArrow(find, "path string, item_ord bigint, body string")
 
