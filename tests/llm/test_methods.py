@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -201,3 +202,23 @@ def test_tree_levels_nest_and_cover():
         if above is not None:
             assert set(above) <= set(start)  # a centre is the centre of one of its children too
         above = start
+
+
+def test_two_large_leaves_meet_in_bounded_memory():
+    """Rows far apart, which radii do not rule out, beside a group of near ones."""
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=64) + rng.normal(scale=0.1, size=(300, 64))
+    x = covertree._units(np.concatenate([rng.normal(size=(5000, 64)), near]))
+    x = x[rng.permutation(len(x))]
+    a, b = covertree.Tree(x[:2600]), covertree.Tree(x[2600:])
+    one = np.ones(len(x), np.int64)
+    for s, t, same in ((a, a, True), (a, b, False)):
+        tally = covertree.Tally(one[: len(s.x)], one[: len(t.x)], same)
+        tracemalloc.start()
+        for found in covertree.dual_pairs(s, t, same):
+            tally.add(found)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        links = s.x @ t.x.T >= covertree.THRESHOLD
+        assert (tally.counts() == (links.sum(1) - 1 if same else np.concatenate([links.sum(1), links.sum(0)]))).all() and links.sum() > 2600
+        assert peak < 200 << 20

@@ -19,7 +19,8 @@ SAMPLE = 2048
 FAN = 64
 DEPTH = 24
 SLACK = 1e-7
-PAIRS = 1 << 21
+PAIRS = 1 << 20
+DENSE = 0.02  # share of pairs from which a product costs less than looking at each
 
 
 def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
@@ -98,29 +99,31 @@ def _distance(dot: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * dot)) + SLACK
 
 
-def _children(level: tuple, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First child and number of children of each node, children standing together."""
-    first = np.searchsorted(level[0], node, "left")
-    return first, np.searchsorted(level[0], node, "right") - first
+def _strips(level: tuple, other: tuple) -> Iterator[tuple[int, int]]:
+    """Ranges of a level's nodes that make PAIRS pairs with another's at most, or are one node."""
+    step = max(1, PAIRS // len(other[1]))
+    for lo in range(0, len(level[1]), step):
+        yield lo, min(len(level[1]), lo + step)
 
 
-def _product(fa: np.ndarray, na: np.ndarray, fb: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(which, a, b): all pairs of the ranges fa+na and fb+nb of each entry, PAIRS at most at a time."""
-    size = na * nb
-    lo = 0
-    ends = np.cumsum(size)
-    while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
-        if hi == lo + 1 and size[lo] > PAIRS:
-            rows = max(1, PAIRS // int(nb[lo]))
-            for r in range(0, int(na[lo]), rows):
-                k = min(rows, int(na[lo]) - r)
-                yield np.full(k * nb[lo], lo), np.repeat(np.arange(fa[lo] + r, fa[lo] + r + k), nb[lo]), np.tile(np.arange(fb[lo], fb[lo] + nb[lo]), k)
-        else:
-            which = np.repeat(np.arange(lo, hi), size[lo:hi])
-            at = np.arange(len(which)) - np.repeat(ends[lo:hi] - size[lo:hi] - (ends[lo - 1] if lo else 0), size[lo:hi])
-            yield which, fa[which] + at // nb[which], fb[which] + at % nb[which]
-        lo = hi
+def _chunks(p: np.ndarray, q: np.ndarray, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(p, q), so many at a time that their vectors take PAIRS numbers a side."""
+    step = max(1, PAIRS // dim)
+    for lo in range(0, len(p), step):
+        yield p[lo : lo + step], q[lo : lo + step]
+
+
+def _open_pairs(la: tuple, lb: tuple, above: np.ndarray, tau: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(p, q): pairs of nodes of two levels whose parents are marked in above, strip by strip; where most are, a product drops those too far apart."""
+    for lo, hi in _strips(la, lb):
+        mask = above[la[0][lo:hi]][:, lb[0]]
+        share = np.count_nonzero(mask)
+        if share > DENSE * mask.size:
+            far = la[4][lo:hi, None] + lb[4] + (tau + 4 * SLACK)
+            mask &= la[3][lo:hi] @ lb[3].T >= 1 - far * far / 2
+        if share:
+            p, q = np.nonzero(mask)
+            yield p + lo, q
 
 
 class Found(NamedTuple):
@@ -138,22 +141,21 @@ def dual_pairs(a: Tree, b: Tree, same: bool, threshold: float = THRESHOLD) -> It
     Pairs of nodes go down both trees together. A pair whose centres lie farther
     apart than the covering radii and the threshold's distance is dropped with all
     below it; one whose farthest members are close enough is told as a whole. What
-    is left at the last level is compared member by member, in one product where it
-    is most of the two trees.
+    is left at the last level is compared member by member. Pairs that stay open
+    are marks of a byte each, and vectors of PAIRS numbers a side are looked at
+    together, so memory is bounded by BLOCK whatever the radii leave.
     """
     tau = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    i, j = np.zeros(1, int), np.zeros(1, int)
-    frontier = [(i, j)]
+    above = np.ones((1, 1), bool)
     deep = min(len(a.levels), len(b.levels))
+    dim = a.x.shape[1]
     for k in range(deep):
         la, lb = a.levels[k], b.levels[k]
-        below = []
-        for i, j in frontier:
-            fa, na = _children(la, i)
-            fb, nb = _children(lb, j)
-            for _, p, q in _product(fa, na, fb, nb):
-                if same:
-                    p, q = p[p <= q], q[p <= q]
+        below = np.zeros((len(la[1]), len(lb[1])), bool)
+        for p_, q_ in _open_pairs(la, lb, above, tau):
+            if same:
+                p_, q_ = p_[p_ <= q_], q_[p_ <= q_]
+            for p, q in _chunks(p_, q_, dim):
                 apart = _distance(np.einsum("ij,ij->i", la[3][p], lb[3][q]))
                 if same:
                     apart[p == q] = 0.0
@@ -162,32 +164,18 @@ def dual_pairs(a: Tree, b: Tree, same: bool, threshold: float = THRESHOLD) -> It
                     x, y = p[close], q[close]
                     yield Found(la[1][x], lb[1][y], la[2][x], lb[2][y])
                 near = ~close & (apart <= la[4][p] + lb[4][q] + tau + SLACK)
-                below.append((p[near], q[near]))
-        frontier = below
+                below[p[near], q[near]] = True
+        above = below
     la, lb = a.levels[deep - 1], b.levels[deep - 1]
-    left = sum(int((la[2][i] * lb[2][j]).sum()) for i, j in frontier)
-    if left > 0.05 * len(a.x) * len(b.x):
-        # Which nodes each row may still meet, as a mask for the product.
-        allowed = np.zeros((len(la[1]), len(lb[1])), bool)
-        for i, j in frontier:
-            allowed[i, j] = True
-        column = np.repeat(np.arange(len(lb[1])), lb[2])
-        row = np.repeat(np.arange(len(la[1])), la[2])
-        step = max(1, PAIRS // len(b.x))
-        for lo in range(0, len(a.x), step):
-            hi = min(len(a.x), lo + step)
-            p, q = np.nonzero(a.x[lo:hi] @ b.x.T >= threshold - 1e-9)
-            p += lo
-            good = allowed[row[p], column[q]] & (np.einsum("ij,ij->i", a.x[p], b.x[q]) >= threshold)
-            if same:
-                good &= (p < q) | (row[p] != column[q])
-            yield Found(p[good], q[good])
-        return
-    for i, j in frontier:
-        for which, p, q in _product(la[1][i], la[2][i], lb[1][j], lb[2][j]):
+    # Members as a level below the last one: their parents are its nodes.
+    nodes_a, nodes_b = (np.repeat(np.arange(len(level[1])), level[2]) for level in (la, lb))
+    rows_a, rows_b = ((nodes, np.arange(len(nodes)), None, tree.x, np.zeros(len(nodes))) for nodes, tree in ((nodes_a, a), (nodes_b, b)))
+    for p_, q_ in _open_pairs(rows_a, rows_b, above, tau) if above.any() else ():
+        if same:
+            good = (p_ < q_) | (nodes_a[p_] != nodes_b[q_])
+            p_, q_ = p_[good], q_[good]
+        for p, q in _chunks(p_, q_, dim):
             good = np.einsum("ij,ij->i", a.x[p], b.x[q]) >= threshold
-            if same:
-                good &= (p < q) | (i[which] != j[which])
             yield Found(p[good], q[good])
 
 
