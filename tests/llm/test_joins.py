@@ -98,6 +98,31 @@ def test_line_dedup_against_all_pairs(spark, seed):
     assert got == X.later_lines(rows)
 
 
+def test_second_look_tells_members_not_pairs(spark, monkeypatch):
+    """Lines that bitmaps cannot tell apart: all are open after the first look, few are similar to an earlier one."""
+    rng = random.Random(9)
+    base = [X.sentence(rng, 1) + str(i) for i in range(60)]
+    lines = []
+    for i in range(160):
+        own = [f"own{i}x{k}" for k in range(8)]
+        lines.append(" ".join(base[k] if k not in out else own.pop() for out in [set(rng.sample(range(60), 8))] for k in range(60)))
+    lines += [" ".join(lines[k].split()[:57] + [f"late{k}a", f"late{k}b", f"late{k}c"]) for k in (70, 90, 110)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(lines)]
+    whole, told = setjoin.materialize, {}
+
+    def counted(spark, df, tag):
+        out = whole(spark, df, tag)
+        told.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(setjoin, "materialize", counted)
+    monkeypatch.setattr(setjoin, "OPEN_BYTES", 30_000)
+    got = {r["hi"]: r["los"] for r in linededup.repeated_lines(spark, X.frame(spark, rows)).collect()}
+    assert got == X.later_lines(rows) and 160 in got
+    assert told["join-open"][0] > 80
+    assert max(n for tag, counts in told.items() if tag.startswith("join-open") for n in counts) <= 8 * len(rows)
+
+
 def test_dropping_lines_keeps_the_rest(spark):
     rows = [(1, "a b c\n\nd e f\n", "en", "s", 0), (2, "x\nd e f\ng h i", "en", "s", 0), (3, None, "en", "s", 0)]
     df = X.frame(spark, rows)

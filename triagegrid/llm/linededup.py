@@ -53,7 +53,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         src = materialize(spark, told.select(F.col("uid").alias("hi"), "text").dropDuplicates(["hi"]), "line-texts")
     cut = partial(line_sets, least=least)
     rarity, _, _ = setjoin.count_tokens(spark, src, cut, BITS, distinct=False)
-    found = setjoin.close_pairs(spark, src, cut, rarity, setjoin.Lengths(LIST, rarity.sets), unique_is_zero=True)
+    plan = setjoin.Lengths(LIST, rarity.sets)
+    found = setjoin.close_pairs(spark, src, cut, rarity, plan, unique_is_zero=True)
     pairs = found.where("lists is null")
     equal = materialize(spark, pairs.where("sure").select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo")).distinct(), "line-equal")
     # A line with an equal line before it needs no other reason to go.
@@ -65,8 +66,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     # Lines of which no candidate was similar and that have others.
     left = near.where("more").select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo")).distinct().join(gone, ["hi", "lo"], "left_anti")
     if not left.isEmpty():
-        again = setjoin.open_candidates(spark, found, left)
-        gone = gone.union(_verified(spark, src, again, cut, rarity)).distinct()
+        gone = gone.union(setjoin.open_matches(spark, src, found, left, cut, rarity, plan, unique_is_zero=True, by_line=True))
     out = gone.groupBy("hi").agg(F.array_sort(F.collect_set("lo")).alias("los"))
     if names is None:
         return out
