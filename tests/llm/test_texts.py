@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import json
+import os
 import re
 import zlib
 
@@ -205,3 +206,18 @@ def test_vocabulary_of_the_encoder_is_the_file():
     enc, tok = packing.encoder(BPE), Tokenizer.from_file(BPE)
     for i in range(0, len(vocab) - 1, 97):
         assert tok.decode([i]) == enc.decode_bytes([i]).decode("utf-8", "replace")
+
+
+def test_language_model_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver gets the model, never the sample."""
+    rows = [(i, ["the cat sat on the mat and the dog", "le chat est sur le tapis et le chien"][i % 2], ["en", "fr"][i % 2], "s", None) for i in range(60)]
+
+    driver, own = os.getpid(), language.fit
+
+    def fit(given):
+        assert os.getpid() != driver
+        return own(given)
+
+    monkeypatch.setattr(language, "fit", fit)
+    model = language.fit_languages(X.frame(spark, rows))
+    assert model.langs == ["en", "fr"] and model.predict("le chien et le chat")[0] == "fr"

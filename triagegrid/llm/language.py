@@ -198,7 +198,8 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows are chosen by a hash of their id, alike at every size; of a longer text
     the sample holds a window of that length, which starts at a place chosen by the
-    hash. Tasks send the subwords of the sample, not its texts. Texts that are null or have no letter and null languages are not learned
+    hash. Tasks send the subwords of the sample, not its texts, to one task, which fits
+    the model: the driver gets the model alone, of one size whatever the sample. Texts that are null or have no letter and null languages are not learned
     from; an empty table gives a model that answers UNKNOWN.
     """
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
@@ -219,8 +220,22 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     names=["key", "kind", "lang", "at", "count"],
                 )
 
-    sent = chosen.mapInArrow(frugal(run), "key bigint, kind string, lang string, at binary, count binary").collect()
-    return fit([Example(r["key"], r["kind"], r["lang"], np.frombuffer(r["at"], np.uint16), np.frombuffer(r["count"], np.uint16)) for r in sent])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = []
+        for b in batches:
+            for key, kind, lang, at, count in zip(*(c.to_pylist() for c in b.columns)):
+                given.append(Example(key, kind, lang, np.frombuffer(at, np.uint16), np.frombuffer(count, np.uint16)))
+        m = fit(given)
+        row = {"langs": m.langs, "scores": m.scores.tobytes(), "bias": m.bias.tobytes(), "temperature": m.temperature, "reject_below": m.reject_below, "foreign_rejected": m.foreign_rejected}
+        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("langs", pa.list_(pa.string())), ("scores", pa.binary()), ("bias", pa.binary()), *((c, pa.float64()) for c in ("temperature", "reject_below", "foreign_rejected"))]))
+
+    sent = chosen.mapInArrow(frugal(run), "key bigint, kind string, lang string, at binary, count binary").repartition(1)
+    got = sent.mapInArrow(frugal(learn), "langs array<string>, scores binary, bias binary, temperature double, reject_below double, foreign_rejected double").collect()
+    if not got:
+        return fit([])
+    m = got[0]
+    scores = np.frombuffer(m["scores"], np.float32).reshape(1 << BITS, len(m["langs"]))
+    return LanguageModel(list(m["langs"]), scores, np.frombuffer(m["bias"], np.float32), m["temperature"], m["reject_below"], foreign_rejected=m["foreign_rejected"])
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
