@@ -82,8 +82,13 @@ def release(spark: SparkSession) -> None:
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table that materialize() wrote and nothing needs any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, df._shared_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared folder."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagegrid.llm.common import connected_components, ensure_workers, materialize
+from triagegrid.llm.common import connected_components, delete, discard, ensure_workers, materialize, release, shared_dir
 
 THRESHOLD = 0.95
 SMALLEST = 1 / 32
@@ -21,6 +24,7 @@ DEPTH = 24
 SLACK = 1e-7
 PAIRS = 1 << 20
 DENSE = 0.02  # share of pairs from which a product costs less than looking at each
+HELD_TREES, HELD_CENTRES = 8, 1024  # files that a task keeps of those it read
 
 
 def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
@@ -113,16 +117,43 @@ def _chunks(p: np.ndarray, q: np.ndarray, dim: int) -> Iterator[tuple[np.ndarray
         yield p[lo : lo + step], q[lo : lo + step]
 
 
+def _marked(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of two dimensions, several times as fast."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
 def _open_pairs(la: tuple, lb: tuple, above: np.ndarray, tau: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(p, q): pairs of nodes of two levels whose parents are marked in above, strip by strip; where most are, a product drops those too far apart."""
+    """(p, q): pairs of nodes of two levels whose parents are marked in above. Few are listed; of many a product, strip by strip, drops those too far apart.
+
+    dot >= 1 - (ra + rb + c)^2 / 2 is one product of vectors with two more numbers. It is
+    taken in single precision, less what rounding may take away, so no pair is lost.
+    """
+    if np.count_nonzero(above) <= DENSE * above.size:
+        up, vp = _marked(above)
+        from_a, from_b = (np.searchsorted(level[0], np.arange(n + 1)) for level, n in zip((la, lb), above.shape))
+        wide = np.diff(from_b)[vp]
+        ends = np.cumsum(np.diff(from_a)[up] * wide)
+        total = int(ends[-1]) if len(ends) else 0
+        if total <= DENSE * len(la[1]) * len(lb[1]):
+            for lo in range(0, total, PAIRS):
+                k = np.arange(lo, min(lo + PAIRS, total))
+                at = np.searchsorted(ends, k, "right")
+                k -= np.where(at, ends[at - 1], 0)
+                yield from_a[up[at]] + k // wide[at], from_b[vp[at]] + k % wide[at]
+            return
+    c = tau + 4 * SLACK
+    own = la[4] + c
+    x = np.column_stack([la[3], own, np.ones(len(own))]).astype(np.float32)
+    y = np.column_stack([lb[3], lb[4], lb[4] * lb[4] / 2]).astype(np.float32).T
+    least = 1 - own * own / 2
+    least = (least - (x.shape[1] + 8) * 2.0**-20 * (1 + own)).astype(np.float32)[:, None]
     for lo, hi in _strips(la, lb):
         mask = above[la[0][lo:hi]][:, lb[0]]
         share = np.count_nonzero(mask)
         if share > DENSE * mask.size:
-            far = la[4][lo:hi, None] + lb[4] + (tau + 4 * SLACK)
-            mask &= la[3][lo:hi] @ lb[3].T >= 1 - far * far / 2
+            mask &= x[lo:hi] @ y >= least[lo:hi]
         if share:
-            p, q = np.nonzero(mask)
+            p, q = _marked(mask)
             yield p + lo, q
 
 
@@ -238,7 +269,7 @@ class Tally:
 
 def _net_of_node(t: pa.Table, wanted: int) -> np.ndarray:
     """Centres for the children of a node, from a sample of its rows: the net of the largest radius of 1, 1/2, 1/4 ... with at least `wanted` of them, or the first `wanted`."""
-    x = _units(np.array(t.column("v").to_pylist()))
+    x = _units(_rows(t.column("v")))
     radius = 1.0
     while True:
         centres, _ = net(x, radius)
@@ -255,8 +286,10 @@ def split_nodes(spark: SparkSession, reps: DataFrame) -> tuple[DataFrame, DataFr
     its rows (about SAMPLE), and every row goes to the nearest; nodes(parent, node,
     centre, reach) has each child's covering radius, measured over all its rows.
     Where a node's rows cannot be told apart by distance its children share them by
-    a hash and one centre.
+    a hash and one centre. Centres are files of the shared folder, which tasks look
+    up by node; rows carry a file's name only.
     """
+    folder, moved = f"{shared_dir(spark)}/tree-centres-{uuid.uuid4().hex}", None
     placed, tree, depth = reps.select("rep", "mult", "v", F.col("dim").cast("string").alias("node")), None, 0
     while depth < DEPTH:
         big = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
@@ -270,37 +303,47 @@ def split_nodes(spark: SparkSession, reps: DataFrame) -> tuple[DataFrame, DataFr
             x = _net_of_node(t, int(min(FAN, max(2, 2 * t.column("n")[0].as_py() // BLOCK))))
             if len(x) == 1:
                 x = np.repeat(x, 2, axis=0)
-            return pa.table({"node": pa.array([t.column("node")[0].as_py()], pa.string()), "centres": pa.array([x.tolist()], pa.list_(pa.list_(pa.float64())))})
+            path = _put(folder, [x.tobytes()])
+            return pa.table({"node": pa.array([t.column("node")[0].as_py()], pa.string()), "centres": pa.array([x.tolist()], pa.list_(pa.list_(pa.float64()))), "path": [path]})
 
-        kids = materialize(spark, sample.groupBy("node").applyInArrow(centres, "node string, centres array<array<double>>"), "tree-centres")
+        kids = materialize(spark, sample.groupBy("node").applyInArrow(centres, "node string, centres array<array<double>>, path string"), "tree-kids")
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = lru_cache(HELD_CENTRES)(lambda path: np.frombuffer(_get(path)[0]))
             for b in batches:
-                parents, nodes, far = [], [], []
-                vectors, own = b.column(2).to_pylist(), b.column(3).to_pylist()
-                known: dict[str, np.ndarray] = {}
-                for rep, v, node, c in zip(b.column(0).to_pylist(), vectors, own, b.column(4)):
-                    if not c.is_valid:
-                        parents.append(None)
-                        nodes.append(node)
-                        far.append(None)
-                        continue
-                    if node not in known:
-                        known[node] = np.array(c.as_py())
-                    dots = known[node] @ _units(np.array(v))
-                    k = rep % len(dots) if np.ptp(known[node], axis=0).max() == 0 else int(dots.argmax())
-                    parents.append(node)
-                    nodes.append(f"{node}.{k}")
-                    far.append(float(_distance(dots[k])))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(nodes, pa.string()), pa.array(parents, pa.string()), pa.array(far, pa.float64())], names=["rep", "mult", "v", "node", "parent", "far"])
-
-        moved = placed.join(kids, "node", "left").select("rep", "mult", "v", "node", "centres").mapInArrow(assign, "rep bigint, mult bigint, v array<double>, node string, parent string, far double")
+                vectors, own, paths = b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()
+                flat, size = vectors.flatten().to_numpy(), np.diff(vectors.offsets.to_numpy())
+                start = np.cumsum(size) - size
+                ids = b.column(0).to_numpy()
+                met: dict[str, list[int]] = {}
+                for n, path in enumerate(paths):
+                    if path is not None:
+                        met.setdefault(path, []).append(n)
+                nodes, far = list(own), np.full(len(own), np.nan)
+                for path, places in met.items():
+                    at = np.array(places)
+                    dim = size[at[0]]  # one for all rows of a node
+                    centre = known(path).reshape(-1, dim)
+                    dots = _units(flat[start[at][:, None] + np.arange(dim)]) @ centre.T
+                    k = ids[at] % len(centre) if np.ptp(centre, axis=0).max() == 0 else dots.argmax(1)
+                    far[at] = _distance(dots[np.arange(len(at)), k])
+                    for n, child in zip(places, k.tolist()):
+                        nodes[n] = f"{own[n]}.{child}"
+                parents = [node if path is not None else None for node, path in zip(own, paths)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(nodes, pa.string()), pa.array(parents, pa.string()), pa.array(far, pa.float64(), from_pandas=True)], names=["rep", "mult", "v", "node", "parent", "far"])
+
+        before, there = moved, kids.select("node", "path")
+        moved = placed.join(there, "node", "left").select("rep", "mult", "v", "node", "path").mapInArrow(assign, "rep bigint, mult bigint, v array<double>, node string, parent string, far double")
         moved = materialize(spark, moved, "tree-placed")
+        if before is not None:
+            discard(spark, before)
         reach = moved.where("parent is not null").groupBy("parent", "node").agg(F.max("far").alias("reach"))
         named = kids.select(F.col("node").alias("p"), F.posexplode("centres").alias("k", "centre")).select(F.concat_ws(".", "p", "k").alias("node"), "centre")
         level = materialize(spark, reach.join(named, "node").select("parent", "node", "centre", "reach"), "tree-nodes")
         tree = level if tree is None else tree.union(level)
         placed, depth = moved.select("rep", "mult", "v", "node"), depth + 1
+    if moved is not None:
+        placed._shared_path = moved._shared_path
     return placed, tree, depth
 
 
@@ -310,7 +353,7 @@ def leaf_pairs(spark: SparkSession, leaves: DataFrame, tree: DataFrame | None, d
     none = F.lit(None).cast("array<double>")
     pairs = roots.select("i", F.col("i").alias("j"), none.alias("ic"), none.alias("jc"), F.lit(2.0).alias("ir"), F.lit(2.0).alias("jr"))
     tau = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    for _ in range(depth):
+    for at in range(depth):
         left = tree.select(F.col("parent").alias("i"), F.col("node").alias("ni"), F.col("centre").alias("nic"), F.col("reach").alias("nir"))
         right = tree.select(F.col("parent").alias("j"), F.col("node").alias("nj"), F.col("centre").alias("njc"), F.col("reach").alias("njr"))
         down = pairs.join(left, "i", "left").join(right, "j", "left").select(
@@ -319,7 +362,8 @@ def leaf_pairs(spark: SparkSession, leaves: DataFrame, tree: DataFrame | None, d
         )
         dot = F.aggregate(F.zip_with("ic", "jc", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         near = F.coalesce(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= F.col("ir") + F.col("jr") + tau + 4 * SLACK, F.lit(True))
-        pairs = materialize(spark, down.where(near & (~F.col("same") | (F.col("i") <= F.col("j")))).drop("same"), "tree-pairs")
+        kept = ["i", "j"] if at == depth - 1 else pairs.columns  # no centres where no level is left
+        pairs = materialize(spark, down.where(near & (~F.col("same") | (F.col("i") <= F.col("j")))).select(*kept), "tree-pairs")
     return pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
 
 
@@ -338,7 +382,9 @@ def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vecto
     the rest within each leaf. Both are gone down twice at once: pairs of nodes that
     their covering radii rule out are dropped with all below them. The pairs of
     leaves that remain are traversed in tasks of their own, which send back counts
-    and roots by row, never pairs.
+    and roots by row, never pairs. Leaves are files of the shared folder, one each,
+    that these tasks read: what travels with a pair is two names, so disk grows with
+    the rows whatever the radii leave.
     """
     ensure_workers(spark)
     src = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -354,7 +400,7 @@ def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vecto
     blocked = placed.withColumnRenamed("node", "block")
 
     def build(t: pa.Table) -> pa.Table:
-        raw = np.array(t.column("v").to_pylist())
+        raw = _rows(t.column("v"))
         x = _units(raw)
         tree = Tree(x)
         raw = raw[tree.order]
@@ -362,34 +408,39 @@ def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vecto
         raw = narrow if (narrow == raw).all() else raw  # as they were read, no wider than needed
         ids, mult = (t.column(c).to_numpy()[tree.order] for c in ("rep", "mult"))
         shape = [np.concatenate(s).astype("<i4").tobytes() for s in tree.shape]
-        blob = pa.array([[ids.astype("<i8").tobytes(), mult.astype("<i8").tobytes(), raw.tobytes(), *shape]], pa.list_(pa.binary()))
-        return pa.table({"block": t.column("block")[:1], "dim": pa.array([x.shape[1]], pa.int32()), "tree": blob})
+        path = _put(folder, [ids.astype("<i8").tobytes(), mult.astype("<i8").tobytes(), raw.tobytes(), *shape])
+        return pa.table({"block": t.column("block")[:1], "dim": pa.array([x.shape[1]], pa.int32()), "path": [path]})
 
-    trees = blocked.select("block", "rep", "mult", "v").groupBy("block").applyInArrow(build, "block string, dim int, tree array<binary>")
+    folder = f"{shared_dir(spark)}/tree-leaves-{uuid.uuid4().hex}"
+    trees = blocked.select("block", "rep", "mult", "v").groupBy("block").applyInArrow(build, "block string, dim int, path string")
     trees = materialize(spark, trees, "tree-blocks")
     work = leaf_pairs(spark, blocked.select(F.col("block").alias("node")), upper, depth, threshold)
-    both = work.join(trees.select(F.col("block").alias("i"), "dim", F.col("tree").alias("a")), "i").join(trees.select(F.col("block").alias("j"), F.col("tree").alias("b")), "j")
-    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "i", "j")
+    if depth:
+        discard(spark, placed)
+    both = work.join(trees.select(F.col("block").alias("i"), "dim", F.col("path").alias("a")), "i").join(trees.select(F.col("block").alias("j"), F.col("path").alias("b")), "j")
+    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "i", "j").sortWithinPartitions("i", "j")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = lru_cache(HELD_TREES)(lambda path, dim: _load(_get(path), dim))
         for batch in batches:
-            for n in range(batch.num_rows):
-                one = batch.slice(n, 1)
-                i, j, dim = (one.column(one.schema.get_field_index(c))[0].as_py() for c in ("i", "j", "dim"))
-                a = _load(one.column(one.schema.get_field_index("a"))[0].as_py(), dim)
-                b = a if i == j else _load(one.column(one.schema.get_field_index("b"))[0].as_py(), dim)
-                ids = a.ids if i == j else np.concatenate([a.ids, b.ids])
-                tally = Tally(a.mult, b.mult, i == j)
-                for found in dual_pairs(a, b, i == j, threshold):
+            for dim, path_a, path_b in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                a, b, same = tree(path_a, dim), tree(path_b, dim), path_a == path_b
+                ids = a.ids if same else np.concatenate([a.ids, b.ids])
+                tally = Tally(a.mult, b.mult, same)
+                for found in dual_pairs(a, b, same, threshold):
                     tally.add(found)
                 count, root = tally.counts(), tally.root
                 linked = np.flatnonzero(count)
+                if not len(linked):
+                    continue
                 # By place: the smallest id of the class stands for it.
                 low = np.full(len(ids), np.iinfo(np.int64).max)
                 np.minimum.at(low, root, ids)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[linked], pa.int64()), pa.array(count[linked], pa.int64()), pa.array(low[root[linked]], pa.int64())], names=["rep", "n", "low"])
 
-    found = materialize(spark, both.select("i", "j", "dim", "a", "b").mapInArrow(traverse, "rep bigint, n bigint, low bigint"), "tree-links")
+    found = materialize(spark, both.select("dim", "a", "b").mapInArrow(traverse, "rep bigint, n bigint, low bigint"), "tree-links")
+    delete(spark, folder)
+    release(spark)
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     classes = connected_components(spark, found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     per = reps.select("rep", "mult", "v").join(counts, "rep", "left").join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -411,3 +462,26 @@ def _load(parts: list[bytes], dim: int) -> Tree:
     tree.shape = [tuple(np.frombuffer(p, "<i4").astype(int).reshape(2, -1)) for p in parts[3:]]
     tree.fill(_units(np.frombuffer(parts[2], np.float32 if len(parts[2]) == 4 * dim * len(tree.ids) else np.float64).reshape(-1, dim)))
     return tree
+
+
+def _rows(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as the rows of an array."""
+    flat = np.concatenate([c.flatten().to_numpy() for c in vectors.chunks])
+    return flat.reshape(len(vectors), -1)
+
+
+def _put(folder: str, parts: list[bytes]) -> str:
+    """Write some bytes to a file in folder and return its path. Every try has a name of its own; only what tries that ended return is read."""
+    store, root = arrow_fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    name = uuid.uuid4().hex
+    table = pa.table({"part": pa.array(parts, pa.large_binary())})
+    with store.open_output_stream(f"{root}/{name}", compression=None) as out, pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return f"{folder}/{name}"
+
+
+def _get(path: str) -> list[bytes]:
+    store, name = arrow_fs.FileSystem.from_uri(path)
+    with store.open_input_stream(name, compression=None) as f, pa.ipc.open_stream(f) as reader:
+        return reader.read_all().column(0).to_pylist()
